@@ -193,7 +193,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Automaton]:
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator take two bytes at least
     for k in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").collect()
+        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).select("item_id", "text").collect()
         yield Automaton([(r.item_id, w) for r, w in zip(rows, item_words([r.text for r in rows]), strict=True)], window)
 
 
@@ -201,8 +201,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """doc_id, the columns of keep, n_words, n_hit, spans (word ranges, end exclusive) and items (ids, ascending).
 
     A word is hit if it lies inside an occurrence of `window` consecutive words of an item, or of a whole item
-    of fewer words. Null or empty texts and items have no words; an empty benchmark hits nothing; repeated items
-    count once by id; repeated documents each keep a row. Extra columns are not read.
+    of fewer words. Null or empty texts and items have no words; an empty benchmark hits nothing; items without an
+    id are not used, repeated ones count once by id; repeated documents each keep a row. Extra columns are not read.
     """
     blocks = list(_broadcast(docs, benchmark, window))
     out, schema = docs.select("doc_id", *keep, "text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
@@ -237,14 +237,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
     """The documents without the passages found; those with a larger share of hit words than most_coverage go.
 
-    All columns are kept, n_chars (where there is one) is counted anew; null texts stay null.
+    All columns are kept, whatever their names; n_chars (where there is one) is counted anew; null texts stay null.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns, "text").schema)
-    out = docs.select(*columns, "text")
+    rest = [c for c in docs.columns if c != "text"]
+    out = docs.select(F.struct(*rest).alias("rest"), "text")
+    schema = f"rest {out.schema['rest'].dataType.simpleString()}, text string"
     for shared in _broadcast(docs, benchmark, window):
         out = out.mapInArrow(_scan(shared, True), f"{schema}, {FOUND}")
-    out = out.where(F.col("n_hit") <= most_coverage * F.col("n_words")).mapInArrow(_cut, schema)
-    if "n_chars" in columns:
+    out = out.where(F.col("n_hit") <= most_coverage * F.col("n_words")).mapInArrow(_cut, schema).select("rest.*", "text")
+    if "n_chars" in rest:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

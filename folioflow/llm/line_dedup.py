@@ -153,7 +153,10 @@ def shared_lines(docs: DataFrame) -> DataFrame:
 
 def without_shared_lines(docs: DataFrame) -> DataFrame:
     """The documents with those lines deleted; all other lines keep their order, and all columns stay."""
-    cut = shared_lines(docs).where(F.size("removed") > 0).groupBy("doc_id").agg(F.first("removed").alias("__removed"))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col("__removed"), i))
-    out = docs.join(cut, "doc_id", "left")
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    cut = "removed"
+    while cut in docs.columns:
+        cut += "_"
+    found = shared_lines(docs).where(F.size("removed") > 0).groupBy("doc_id").agg(F.first("removed").alias(cut))
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col(cut), i))
+    out = docs.join(found, "doc_id", "left")
+    return out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -109,7 +109,10 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The scheduled documents, whole and in the order of their slots, by ranges of slots over the output's files."""
-    plan = mixture(docs, weights, block_bytes).where("scheduled").groupBy("doc_id").agg(F.min("slot").alias("__slot"))
-    out = docs.join(plan, "doc_id").repartitionByRange("__slot", "doc_id").sortWithinPartitions("__slot", "doc_id")
+    """The scheduled documents, whole and in the order of their slots, by ranges of slots over the output's files. Rows without an id go."""
+    slot = "slot"
+    while slot in docs.columns:
+        slot += "_"
+    plan = mixture(docs, weights, block_bytes).where("scheduled").groupBy("doc_id").agg(F.min("slot").alias(slot))
+    out = docs.join(plan, "doc_id").repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id")
     return out.select(*docs.columns)

@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     """
     spark = docs.sparkSession
     base = saved(sketches(docs))
-    reps = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("s")).select("digest", "doc", "s.*")
+    reps = base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("s")).select("digest", "doc", "s.*")
     reps = saved(reps)
     bands = reps.select("doc", "registers").mapInArrow(_bands, "bucket long, doc long")
     full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     for at, x in marks:
         bits[at] = x
     wanted = spark.sparkContext.broadcast(bits.tobytes())
-    sets = docs.select("doc_id", "text").mapInArrow(_filtered_sets(wanted), "doc long, set binary")
+    sets = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_filtered_sets(wanted), "doc long, set binary")
     sets = saved(sets.join(members.select("doc").distinct(), "doc", "left_semi"))
     first = (
         pairs.join(sets.select("doc", F.col("set").alias("sa")), "doc")
@@ -264,11 +264,12 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     final = final.select("node", F.coalesce("over", "root").alias("root")).union(merged.select("node", "root"))
     least = reps.select("digest", "doc").join(final, F.col("node") == F.col("doc"), "left").select("digest", F.coalesce("root", "doc").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's; of rows that repeat an id, one stays."""
+    """The documents whose id is their component's; of rows that repeat an id, one stays. Rows without an id go."""
     keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -166,5 +166,5 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, whole. Rows that repeat an id stay if one of them passes."""
+    """The documents that no rule rejects, whole. Rows that repeat an id stay if one of them passes; rows without one go."""
     return docs.join(judged(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
