@@ -589,7 +589,7 @@ def columns_gap(spark, sf_dir):
 @query(
     Q_NUMBERED.format(
         f"""(SELECT page_id, c0, c1 FROM (SELECT *, bool_or(coalesce(clash, false)) OVER (PARTITION BY page_id) AS any_clash FROM (SELECT *, lag(c1) OVER w - c0 > 0.15 * least(lag(c1 - c0) OVER w, c1 - c0) AS clash FROM (
-SELECT page_id, width, cluster, count(*) AS n, min(x0) AS c0, max(x1) AS c1 FROM (SELECT *, max(cluster) OVER (PARTITION BY page_id) + 1 AS k FROM (SELECT *, sum(CASE WHEN m - pm > greatest(0.08 * width, 50) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY m, x0, x1 ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+SELECT page_id, width, cluster, count(*) AS n, min(x0) AS c0, max(x1) AS c1 FROM (SELECT *, max(cluster) OVER (PARTITION BY page_id) + 1 AS k FROM (SELECT *, sum(CASE WHEN m - pm > greatest(0.08 * width, 50) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY m, x0, x1) AS cluster FROM (
 SELECT *, lag(m) OVER (PARTITION BY page_id ORDER BY m, x0, x1) AS pm FROM (SELECT *, (x0 + x1) / 2 AS m FROM {Q_NARROW})))) WHERE k BETWEEN 2 AND 6 GROUP BY page_id, width, cluster)
 WHERE n >= 2 AND c1 - c0 >= 0.08 * width WINDOW w AS (PARTITION BY page_id ORDER BY cluster))) WHERE NOT any_clash)"""
     ),
