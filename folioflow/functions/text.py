@@ -236,5 +236,5 @@ def protect_urls(c: Column | str) -> Column:
 def restore_urls(c: Column | str, urls: Column | str) -> Column:
     """Places [URLn] filled again, also where a translation has spaced or changed them in case; highest number first."""
     numbered = F.reverse(F.transform(col(urls), lambda u, i: F.struct(i.alias("i"), u.alias("u"))))
-    put = lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?i)\[?\s*URL\s*"), x["i"].cast("string"), F.lit(r"(?![0-9])\s*\]?")), F.regexp_replace(x["u"], r"([\\$])", r"\\\\$1"))
+    put = lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?i)\[?\s*URL\s*"), x["i"].cast("string"), F.lit(r"(?![0-9])\s*\]?")), F.regexp_replace(x["u"], r"([\\$])", r"\\$1"))
     return F.aggregate(numbered, col(c), put)
