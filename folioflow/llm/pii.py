@@ -36,7 +36,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W_]{3,}")
+# A term: ASCII letters and digits and all other characters outside ASCII, three bytes at least; A-Z are as a-z.
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+TERM_BYTES = 3
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -84,7 +86,15 @@ def base_spans(value: str) -> list[tuple[int, int, int]]:
 
 def _hash(words: list[str]) -> np.ndarray:
     raw, at = text.flat(pa.array(words, pa.string()))
-    return text.hashes(raw, at[:-1], at[1:], False).astype(np.int64)
+    return text.hashes(raw, at[:-1], at[1:], True).astype(np.int64)
+
+
+def _terms(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, text.Words]:
+    """Hash and place of each term of some rows."""
+    w = text.words(raw, at, text.PUNCT)
+    long = w.end - w.start >= TERM_BYTES
+    w = text.Words(w.start[long], w.end[long], w.row[long], w.first)
+    return text.hashes(raw, w.start, w.end, True).astype(np.int64), w
 
 
 def contexts(value: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[str]]]:
@@ -96,7 +106,7 @@ def contexts(value: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[st
         left, right = max(lo, start - 64 * CONTEXT), min(hi, end + 64 * CONTEXT)
         near = [m for m in _WORD.finditer(value, left, start) if m.start() > left or left == lo][-CONTEXT:]
         after = [m for m in _WORD.finditer(value, end, right) if m.end() < right or right == hi][:CONTEXT]
-        words = [m[0].lower() for m in near + after if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        words = [m[0] for m in near + after if len(m[0].encode()) >= TERM_BYTES and not any(a < m.end() and m.start() < b for a, _, b in spans)]
         what = value[start:end]
         entity = what.lower() if kind == 0 else what if kind == 1 else re.sub("[^0-9]", "", what)
         yield f"{KINDS[kind]}:{entity}", words
@@ -128,11 +138,6 @@ def _slots(terms: np.ndarray, size: int) -> np.ndarray:
     return (text.mix(terms.astype(np.uint64)) % np.uint64(size * 8)).astype(np.int64)
 
 
-def _term_words(value: str) -> tuple[list[str], list[tuple[int, int]]]:
-    found = list(_WORD.finditer(value))
-    return [m[0].lower() for m in found], [m.span() for m in found]
-
-
 def _totals(shared):
     """(term, n): occurrences in this task of terms that the filter lets through."""
 
@@ -140,12 +145,11 @@ def _totals(shared):
         bits = np.frombuffer(shared.value, np.uint8)
         total: Counter[int] = Counter()
         for batch in batches:
-            for value in batch.column("text").to_pylist():
-                words = _term_words(value or "")[0]
-                if words:
-                    terms = _hash(words)
-                    slot = _slots(terms, len(bits))
-                    total.update(terms[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1].tolist())
+            raw, at = text.flat(batch.column("text"))
+            for i, j in text.chunks(at):
+                terms, _ = _terms(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                slot = _slots(terms, len(bits))
+                total.update(terms[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1].tolist())
             if len(total) > 1 << 18:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
                 total.clear()
@@ -168,8 +172,6 @@ def disclosing(docs: DataFrame) -> DataFrame:
     near = saved(near.groupBy("entity", "term").agg(F.sum("n").alias("beside")).join(supported, ["entity", "term"]))
     candidates = near.select("term").distinct()
     marks = candidates.mapInPandas(_marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()  # FILTER_BYTES rows at most
-    if not marks:
-        return near.select("term", F.lit(0.0).alias("disclosure"))
     bits = np.zeros(FILTER_BYTES, np.uint8)
     for at, x in marks:
         bits[at] = x
@@ -200,22 +202,25 @@ def _find(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         for batch in batches:
-            again = batch.column("spans").to_pylist() if "spans" in batch.schema.names else None
-            out = []
-            for k, value in enumerate(batch.column("text").to_pylist()):
-                value = value or ""
-                spans = [(s["start"], s["kind"], s["end"]) for s in again[k]] if again else base_spans(value)
-                if len(terms) and value:
-                    words, places = _term_words(value)
-                    if words:
-                        hashed = _hash(words)
-                        at = np.minimum(np.searchsorted(terms, hashed), len(terms) - 1)
-                        more = [(places[i][0], 4, places[i][1]) for i in np.flatnonzero(terms[at] == hashed).tolist()]
-                        spans += [(a, k4, b) for a, k4, b in more if not any(x < b and a < y for x, k0, y in spans if k0 < 4)]
-                        spans.sort()
-                out.append([{"start": a, "kind": k0, "end": b} for a, k0, b in spans])
+            if "spans" in batch.schema.names:
+                out = [[(s["start"], s["kind"], s["end"]) for s in row] for row in batch.column("spans").to_pylist()]
+            else:
+                out = [base_spans(value) if value else [] for value in batch.column("text").to_pylist()]
+            raw, at = text.flat(batch.column("text"))
+            for i, j in text.chunks(at):
+                part, bounds = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                hashed, w = _terms(part, bounds)
+                place = np.minimum(np.searchsorted(terms, hashed), max(len(terms) - 1, 0))
+                hit = np.flatnonzero(terms[place] == hashed) if len(terms) else place[:0]
+                points = np.concatenate([[0], np.cumsum(text.LEADS[part])])
+                for k in hit.tolist():
+                    r = int(w.row[k])
+                    a, b = (int(points[x] - points[bounds[r]]) for x in (w.start[k], w.end[k]))
+                    if not any(x < b and a < y for x, k0, y in out[i + r] if k0 < 4):
+                        out[i + r].append((a, 4, b))
+            rows = [[{"start": a, "kind": k0, "end": b} for a, k0, b in sorted(spans)] for spans in out]
             names = [n for n in batch.schema.names if n != "spans" and (keep_text or n != "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, kind)], [*names, "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, kind)], [*names, "spans"])
 
     return run
 
