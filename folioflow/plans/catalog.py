@@ -110,7 +110,7 @@ def text_quality_by_lang(spark, sf_dir):
 
 _S = q_strip("text")
 Q_CONF = (
-    rf"CASE WHEN length({_S}) < 5 THEN 0.0 ELSE greatest(0.0, least(1.0, 0.85 + CASE WHEN length({_S}) > 100 THEN 0.05 ELSE 0 END - CASE WHEN length({_S}) < 20 THEN 0.2 ELSE 0 END"
+    rf"CASE WHEN length({_S}) < 5 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(0.85 AS DOUBLE) + CASE WHEN length({_S}) > 100 THEN 0.05 ELSE 0 END - CASE WHEN length({_S}) < 20 THEN 0.2 ELSE 0 END"
     rf" - CASE WHEN {q_ratio(q_count(_S, chr(91) + r'^\p{L}\p{N}\s' + chr(93)), f'length({_S})')} > 0.3 THEN 0.2 ELSE 0 END"
     rf" - CASE WHEN {q_ratio(f'len(list_filter({q_words(_S)}, lambda v: length(v) = 1))', f'len({q_words(_S)})')} > 0.4 THEN 0.15 ELSE 0 END)) END"
 )
@@ -124,7 +124,7 @@ def ocr_confidence(spark, sf_dir):
 @query(f"SELECT doc_id, length(text) AS chars, len({q_words('text')}) AS words, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, round({Q_CONF}, 6) AS confidence FROM documents")
 def ocr_page_record(spark, sf_dir):
     out = metrics.ocr_page_record(docs(spark, sf_dir))
-    return out.select("doc_id", "chars", "words", "lines", rounded(F.col("confidence")).alias("confidence"))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chars", "words", "lines")], rounded(F.col("confidence")).alias("confidence"))
 
 
 def q_tidy(x: str) -> str:
@@ -236,7 +236,7 @@ len(regexp_extract_all(text, '{_URL}')) AS n_urls, array_to_string(regexp_extrac
 )
 def url_protect(spark, sf_dir):
     d = view(spark, sf_dir, "decorated").select("doc_id", "line_no", T.protect_urls("text").alias("p"))
-    return d.select("doc_id", "line_no", "p.text", F.size("p.urls").alias("n_urls"), F.array_join("p.urls", " ").alias("urls"))
+    return d.select("doc_id", "line_no", "p.text", F.size("p.urls").cast("long").alias("n_urls"), F.array_join("p.urls", " ").alias("urls"))
 
 
 @query("SELECT " + ", ".join(f"CAST(sum({q_count('text', p)}) AS BIGINT) AS {n}" for n, p in config.TYPOGRAPHIC.items()) + " FROM decorated", ("decorated",))
@@ -251,7 +251,7 @@ _CJK_TEXT = "concat(text, CASE WHEN doc_id % 10 = 3 THEN '漢字かなカナ漢
 @query(f"SELECT doc_id, {q_count(_CJK_TEXT, _CJK)} AS n, {q_count(_CJK_TEXT, _CJK)} > 5 AS flagged FROM documents")
 def cjk_flag(spark, sf_dir):
     n = T.cjk(F.expr(_CJK_TEXT))
-    return docs(spark, sf_dir).select("doc_id", n.alias("n"), (n > 5).alias("flagged"))
+    return docs(spark, sf_dir).select("doc_id", n.cast("long").alias("n"), (n > 5).alias("flagged"))
 
 
 @query(

@@ -13,8 +13,8 @@ SPARK, DUCK = "spark", "duckdb"
 
 _EXPLODE = {
     SPARK: {
-        "lines": r"SELECT doc_id, pos AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, '\n', -1)) x AS pos, line",
-        "tokens": r"SELECT doc_id, line_no, pos, token FROM decorated LATERAL VIEW posexplode(filter(split(text, '\\s+'), w -> w <> '')) x AS pos, token",
+        "lines": r"SELECT doc_id, CAST(pos AS BIGINT) AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, '\n', -1)) x AS pos, line",
+        "tokens": r"SELECT doc_id, line_no, CAST(pos AS BIGINT) AS pos, token FROM decorated LATERAL VIEW posexplode(filter(split(text, '\\s+'), w -> w <> '')) x AS pos, token",
     },
     DUCK: {
         "lines": "SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
