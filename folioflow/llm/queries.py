@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, token_count, toxicity
+from folioflow.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, sharding, sql, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_dedup": sql.NEAR_DEDUP, "op3_decontaminate": sql.DECONTAMINATE, "op7_chat": sql.CHAT}
