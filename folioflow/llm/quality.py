@@ -34,7 +34,7 @@ FEATURES: dict[str, tuple[str, str, float]] = {
     "upper": ("n_upper", "word_chars", 0.20),
     "bangs": ("n_bangs", "n_words", 0.20),
     "dup_lines": ("n_dup_lines", "n_lines", 0.60),
-    "repeats": ("n_repeat_words", "n_words", 0.40),
+    "repeats": ("n_repeat_words", "n_words", 0.50),
 }
 SPREADS, LOW = 8.0, 0.10
 #: A source of fewer documents takes the sketch of its language, and that of fewer the corpus's.
