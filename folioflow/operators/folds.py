@@ -223,13 +223,16 @@ def columns_by_ocr_gaps(boxes: DataFrame) -> DataFrame:
 
 
 def _text_rows(pdf: pd.DataFrame, tall: float) -> list[tuple[float, str]]:
-    if pdf.empty:
-        return []
-    rows = pd.Series(visual_rows(pdf["y"].tolist(), 0.5 * tall), index=pdf.index)
-    out = []
-    for _, part in pdf.groupby(rows):
-        out.append((float(part["y"].iloc[0]), " ".join(part.sort_values(["x_min", "box_no"])["txt"])))
-    return out
+    """Height and text of each visual row; boxes come in order of y."""
+    tops: list[float] = []
+    boxes: list[list[tuple[float, int, str]]] = []
+    ys = pdf["y"].tolist()
+    for row, y, *box in zip(visual_rows(ys, 0.5 * tall), ys, pdf["x_min"].tolist(), pdf["box_no"].tolist(), pdf["txt"].tolist(), strict=True):
+        if row == len(tops):
+            tops.append(y)
+            boxes.append([])
+        boxes[row].append(tuple(box))
+    return [(y, " ".join(t for _, _, t in sorted(row))) for y, row in zip(tops, boxes, strict=True)]
 
 
 def _with_gaps(rows: list[tuple[float, str]], tall: float) -> list[str]:
