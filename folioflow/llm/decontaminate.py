@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,17 +222,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words of their spans."""
     for batch in batches:
         texts, spans = batch.column("text"), batch.column("spans")
-        out = texts.to_pylist()
-        for r in np.flatnonzero(np.asarray(batch.column("n_hit"))).tolist():
+        hit = np.asarray(batch.column("n_hit")) > 0
+        new = []
+        for r in np.flatnonzero(hit).tolist():
             raw, at = text.flat(texts.slice(r, 1))
             w = text.words(raw, at, text.PUNCT)
             kept, last = [], 0
             for s in spans[r].as_py():
                 kept.append(raw[last : w.start[s["start"]]].tobytes())
                 last = int(w.end[s["end"] - 1])
-            out[r] = b"".join([*kept, raw[last:].tobytes()]).decode()
+            new.append(b"".join([*kept, raw[last:].tobytes()]).decode())
+        if new:
+            texts = pc.replace_with_mask(texts, pa.array(hit), pa.array(new, texts.type))
         names = [n for n in batch.schema.names if n not in ("n_words", "n_hit", "spans", "items")]
-        yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if n == "text" else batch.column(n) for n in names], names)
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
