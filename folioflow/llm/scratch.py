@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of the Arrow batches that a Python worker holds, unless the session asks for fewer.
+BATCH_ROWS, ROWS = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset, as in tests, a temporary folder."""
@@ -22,7 +25,13 @@ def saved(df: DataFrame) -> DataFrame:
     no recomputation. The table goes when the session's file systems close."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folioflow/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = int(spark.conf.get(ROWS))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(ROWS, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS, str(rows))
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
