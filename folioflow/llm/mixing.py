@@ -71,6 +71,11 @@ def capped(sizes: dict[str | None, int], most: float = MOST_SHARE) -> dict[str |
         at_top |= over
 
 
+def natural(docs: DataFrame) -> dict[str | None, float]:
+    """Bytes of each source, as mixture() counts them."""
+    return {r.source: float(r.bytes) for r in docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("bytes")).limit(MOST_SOURCES + 1).collect()}
+
+
 def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, source, block, slot and scheduled of each row.
 
@@ -109,10 +114,16 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The scheduled documents, whole and in the order of their slots, by ranges of slots over the output's files. Rows without an id go."""
+    """Documents, whole and in the order of their slots, by ranges of slots over the output's files.
+
+    Without weights every row stays: natural shares hold, so all sources end together, and rows without an id come last.
+    Weights that are given cut to the scheduled documents, and rows without an id go.
+    """
     slot = "slot"
     while slot in docs.columns:
         slot += "_"
-    plan = mixture(docs, weights, block_bytes).where("scheduled").groupBy("doc_id").agg(F.min("slot").alias(slot))
-    out = docs.join(plan, "doc_id").repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id")
-    return out.select(*docs.columns)
+    whole = weights is None
+    plan = mixture(docs, natural(docs) if whole else weights, block_bytes)
+    plan = plan.where(F.lit(whole) | F.col("scheduled")).groupBy("doc_id").agg(F.min("slot").alias(slot))
+    out = docs.join(plan, "doc_id", "left" if whole else "inner").withColumn(slot, F.coalesce(slot, F.lit((1 << 63) - 1)))
+    return out.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").select(*docs.columns)

@@ -356,6 +356,14 @@ def test_mixture(spark, monkeypatch):
     assert len({s for s, _, _ in kept}) == len({(s, k) for s, k, _ in kept})  # a slot has one source
 
 
+def test_mixed_keeps_every_row(spark):
+    rows = [(i, "x" * 99, "hot" if i % 40 else f"s{i // 40 % 3}") for i in range(1200)] + [(5000, None, None), (None, "y", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(tuple(r) for r in mixing.mixed(docs, block_bytes=1000).collect()) == Counter(rows)
+    given_ = {"hot": 1.0, "s0": 1.0, "s1": 1.0}
+    assert Counter(r.source for r in mixing.mixed(docs, given_, block_bytes=1000).collect())["hot"] < 30
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as p
 
