@@ -3,15 +3,20 @@
 Each source is a task of weight w. Its block j (from 1) is released at slot
 floor((j - 1) / w) and due at slot ceil(j / w); in every slot the released block
 of the earliest deadline is taken. After any number of slots a source is less
-than one block away from its share. Weights are whole parts of a period, so the
-schedule repeats: one period, its size bound by parameters, is worked out once,
-and a block's slot follows from its number alone.
+than one block away from its share. Weights are exact fractions and windows
+follow from block numbers, so nothing drifts however long the mixture is. One
+task works the schedule out, a row a block, and rows find their block's slot by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,43 +24,53 @@ from folioflow.llm.scratch import saved
 from folioflow.llm.sharding import NUMBERED, size_of
 
 BLOCK_BYTES = 1 << 16
-#: Slots of a period for each source, and sources at most.
-SLOTS, MOST_SOURCES = 200, 20_000
+MOST_SOURCES = 20_000
+#: Blocks of a schedule in an Arrow batch.
+PLANNED = 1 << 14
 #: No source makes up more than this share of the mixture, unless all do.
 MOST_SHARE = 0.25
 
 
 def parts(weights: dict[str | None, float]) -> dict[str | None, int]:
-    """Weights as whole parts, one at least, by largest remainders."""
-    if len(weights) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    total, period = sum(weights.values()), SLOTS * len(weights)
-    exact = {k: max(1.0, v / total * period) for k, v in weights.items()}
-    out = {k: int(v) for k, v in exact.items()}
-    left = max(0, period - sum(out.values()))
-    for k in sorted(exact, key=lambda k: (-(exact[k] % 1), str(k)))[:left]:
-        out[k] += 1
-    return out
+    """The same weights as whole numbers, exactly."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    bottom = math.lcm(*(v.denominator for v in exact.values()))
+    return {k: int(v * bottom) for k, v in exact.items()}
 
 
-def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block from 0, slot) of one period, by earliest deadline."""
-    period = sum(shares.values())
-    waiting = [(0, str(k), k, 1) for k in shares]  # release, name, source, block
+def slots(shares: dict[str | None, int], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block from 0, slot) of so many blocks of each source, by earliest deadline; slots in which no block is released stay empty."""
+    period, slot = sum(shares.values()), 0
+    waiting = [(0, str(k), k, 1) for k in shares if blocks[k] > 0]  # release, name, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, str | None, int]] = []
-    out = []
-    for slot in range(period):
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, name, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-j * period // shares[k]), name, k, j))
-        if not ready:
-            continue
         _, name, k, j = heapq.heappop(ready)
-        out.append((k, j - 1, slot))
-        if j < shares[k]:
+        yield k, j - 1, slot
+        if j < blocks[k]:
             heapq.heappush(waiting, (j * period // shares[k], name, k, j + 1))
-    return out
+        slot += 1
+
+
+def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
+    """One period."""
+    return list(slots(shares, shares))
+
+
+def _planned(shares: dict[str | None, int], blocks: dict[str | None, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            rows = slots(shares, blocks)
+            while part := list(itertools.islice(rows, PLANNED)):
+                source, block, slot = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["s", "j", "slot"])
+
+    return run
 
 
 def capped(sizes: dict[str | None, int], most: float = MOST_SHARE) -> dict[str | None, float]:
@@ -94,13 +109,13 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
     sizes = {r.source: r.bytes for r in cells.groupBy("source").agg(F.sum("bytes").alias("bytes")).limit(MOST_SOURCES + 1).collect()}
     if weights is None:
         weights = capped(sizes)
-    weights = {k: w for k, w in weights.items() if w > 0 and k in sizes}
-    shares = parts(weights) if weights else {}
-    period, total = sum(shares.values()), sum(weights.values())
-    horizon = min((sizes[k] * total / w for k, w in weights.items()), default=0.0)  # bytes of the mixture
-    rows = [(k, j, slot) for k, j, slot in schedule(shares)]
-    pattern = F.broadcast(spark.createDataFrame(rows, "s string, j long, at long"))
-    ends = F.broadcast(spark.createDataFrame([(k, shares[k], horizon * w / total) for k, w in weights.items()], "s string, share long, end double"))
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    shares = parts({k: w for k, w in weights.items() if w > 0 and k in sizes})
+    horizon = min((Fraction(sizes[k], n) for k, n in shares.items()), default=Fraction(0))  # bytes of the mixture for a part of weight
+    # a row begins before the source's end, so no block does after it
+    plan = saved(spark.range(1, numPartitions=1).mapInArrow(_planned(shares, {k: -(-sizes[k] // block_bytes) for k in shares}), "s string, j long, slot long"))
+    ends = F.broadcast(spark.createDataFrame([(k, math.ceil(horizon * n)) for k, n in shares.items()], "s string, end long"))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("task").alias("t"), "before")
     inside = Window.partitionBy("source", "task").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,9 +123,8 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
     out = out.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t"))).drop("s", "t")
     out = out.withColumn("first", F.col("at") + F.col("before")).drop("at")
     out = out.withColumn("block", F.floor(F.col("first") / block_bytes)).join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    out = out.withColumn("cycle", F.floor(F.col("block") / F.col("share"))).withColumn("in_cycle", F.pmod("block", "share"))
-    out = out.join(pattern, F.col("source").eqNullSafe(F.col("s")) & (F.col("in_cycle") == F.col("j")), "left")
-    return out.select("doc_id", "source", "block", (F.col("cycle") * F.lit(period) + F.col("at")).alias("slot"), F.coalesce(F.col("first") < F.col("end"), F.lit(False)).alias("scheduled"))
+    out = out.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")), "left")
+    return out.select("doc_id", "source", "block", "slot", F.coalesce(F.col("first") < F.col("end"), F.lit(False)).alias("scheduled"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -339,6 +339,19 @@ def test_schedule_deviates_by_less_than_a_block(shares):
         assert all(abs(given_[k] - (slot + 1) * n / period) < 1 for k, n in shares.items())
 
 
+def test_long_mixture_keeps_to_exact_weights(spark):
+    weights = {"hot": 0.25, "rare": 0.0004} | {f"s{k}": 0.7496 / 18 for k in range(18)}
+    rows = [(s, int(w * 60_000)) for s, w in weights.items()]
+    docs = spark.createDataFrame(rows, "source string, n int").selectExpr("source", "explode(sequence(1, n)) AS k").selectExpr("xxhash64(source, k) AS doc_id", "source", "'123456789' AS text")
+    got = sorted((r.slot, r.source) for r in mixing.mixture(docs, weights, block_bytes=10).where("scheduled").collect())
+    given_, total = Counter(), sum(weights.values())
+    assert len(got) > 59_000
+    for slot, source in got:
+        given_[source] += 1
+        if slot % 50 == 0:
+            assert all(abs(given_[k] - (slot + 1) * w / total) < 1 + 1e-6 for k, w in weights.items())
+
+
 def test_caps_of_shares():
     got = mixing.capped({"hot": 900, "a": 50, "b": 30, "c": 20}, 0.4)
     assert got["hot"] == 0.4 and abs(sum(got.values()) - 1) < 1e-9 and abs(got["a"] / got["b"] - 50 / 30) < 1e-9 or got["a"] == 0.4
