@@ -1,9 +1,9 @@
 """Shared passages, removed from the later document by patience diff.
 
-A line is known by the hash of its words. Lines that tell documents apart
-(held by few documents, or long) find overlapping documents: each such line pairs
-a document with the first document that has it. So the pairs grow with the lines, never with
-the square of a line's holders, however many share it. The two documents' line hashes, all
+A line is known by the hash of its words. The shortest runs of lines that reach MIN_BLOCK_WORDS words, from
+each line on and back from each line, are anchors: every shared passage that is long enough consists of
+such runs. Each anchor pairs a document with the first document that has it. So the pairs grow with the lines, never with
+the square of a run's holders, however many share it. The two documents' line hashes, all
 of them, are then aligned by patience diff, and aligned common blocks go from the later one.
 """
 
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from folioflow.llm import text
 from folioflow.llm.scratch import saved
 
-#: A line finds documents if it has ANCHOR_WORDS words, and is held by RARE documents at most or has LONG_WORDS words.
-ANCHOR_WORDS, RARE, LONG_WORDS = 4, 1000, 20
 #: Smaller blocks stay: they agree by chance.
 MIN_BLOCK_WORDS = 10
 
@@ -52,18 +50,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "n_lines", "keys", "numbers", "words"])
 
 
+def runs(keys: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first line, line after the last and joint key of the shortest runs of MIN_BLOCK_WORDS words that begin or end at each line.
+
+    Document k has lines at[k] to at[k + 1].
+    """
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    line = np.arange(len(keys))
+    doc = np.searchsorted(at, line, "right") - 1
+    end = np.searchsorted(upto, upto[:-1] + MIN_BLOCK_WORDS)
+    start = np.searchsorted(upto, upto[1:] - MIN_BLOCK_WORDS, "right") - 1
+    on, back = end <= at[doc + 1], start >= at[doc]
+    found = np.unique(np.concatenate([line[on] << 8 | (end - line)[on], start[back] << 8 | (line + 1 - start)[back]]))
+    first, count = found >> 8, found & 255  # each line has a word, so a run has MIN_BLOCK_WORDS lines at most
+    joint = np.zeros(len(found), np.uint64)
+    for k in range(int(count.max(initial=0))):
+        more = count > k
+        joint[more] = text.mix(joint[more] + keys.view(np.uint64)[first[more] + k] + np.uint64(k + 1))
+    return doc[first], first, first + count, text.mix(joint + count.astype(np.uint64)).view(np.int64)
+
+
+def _joined(values: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(values), kind), np.concatenate([[0], np.cumsum([len(v) // size for v in values], dtype=np.int64)])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, keys, counts = [], [], []
-        for doc, k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            key, where = np.unique(np.frombuffer(k, np.int64), return_index=True)
-            count = np.frombuffer(n, np.int32)[where]
-            fits = count >= ANCHOR_WORDS
-            docs.append(np.full(int(fits.sum()), -1 if doc is None else doc, np.int64))
-            keys.append(key[fits])
-            counts.append(count[fits])
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], ["doc", "key", "words"])
+        keys, at = _joined(batch.column("keys").to_pylist(), np.int64)
+        row, _, _, key = runs(keys, _joined(batch.column("words").to_pylist(), np.int32)[0], at)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(key)], ["doc", "key"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -139,10 +155,9 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     lines = saved(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, n_lines long, keys binary, numbers binary, words binary"))
     once = lines.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("keys", "numbers", "words")).alias("s")).select(F.col("doc_id").alias("doc"), "s.*")
     once = saved(once)
-    anchors = saved(once.select("doc", "keys", "words").mapInArrow(_anchors, "doc long, key long, words int"))
-    held = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.max("words").alias("w"))
-    held = held.where((F.col("n") > 1) & ((F.col("n") <= RARE) | (F.col("w") >= LONG_WORDS))).select("key", "owner")
-    pairs = anchors.select("doc", "key").join(held, "key").where("owner < doc").select("owner", "doc").distinct()
+    anchors = saved(once.select("doc", "keys", "words").mapInArrow(_anchors, "doc long, key long"))
+    held = anchors.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("key", "owner")
+    pairs = anchors.join(held, "key").where("owner < doc").select("owner", "doc").distinct()
     both = pairs.join(once.select("doc", F.col("keys").alias("kb"), "numbers", "words"), "doc")
     both = both.join(once.select(F.col("doc").alias("owner"), F.col("keys").alias("ka")), "owner")
     cut = both.mapInArrow(_aligned, "doc long, owner long, cut array<int>")

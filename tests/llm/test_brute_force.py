@@ -328,6 +328,16 @@ def test_shared_blocks(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_shared_lines(docs).collect()}[2] == "own words here\nmore of its own"
 
 
+def test_shared_blocks_of_short_lines_with_many_holders(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = "\n".join(words(f"p{k}x", 6) for k in range(9))
+    tiny = "\n".join(words(f"t{k}x", 2) for k in range(5))
+    rows = [(i, f"{passage}\n{words(f'own{i}x', 12)}") for i in range(1200)] + [(2000 + i, f"{words(f'own{i}y', 12)}\n{tiny}") for i in range(3)]
+    got = {r.doc_id: (r.removed, r.owners) for r in line_dedup.shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[2000] == ([], []) and all(got[i] == (list(range(9)), [0]) for i in range(1, 1200))
+    assert got[2001] == got[2002] == ([1, 2, 3, 4, 5], [2000])
+
+
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 60), min_size=1))
 def test_schedule_deviates_by_less_than_a_block(shares):
     period, given_ = sum(shares.values()), Counter()
