@@ -4,7 +4,8 @@ A line is known by the hash of its words. The shortest runs of lines that reach
 each line on and back from each line, are anchors: every shared passage that is long enough consists of
 such runs. Each anchor pairs a document with the first document that has it. So the pairs grow with the lines, never with
 the square of a run's holders, however many share it. The two documents' line hashes, all
-of them, are then aligned by patience diff, and aligned common blocks go from the later one.
+of them, are then aligned by patience diff, and aligned common blocks go from the later one. What that
+leaves, as its lines occur more than once or stand in another order, is matched exactly by the same runs.
 """
 
 from __future__ import annotations
@@ -132,15 +133,32 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int = MIN_BLOC
     return out
 
 
+def common_runs(ka: np.ndarray, at_a: np.ndarray, kb: np.ndarray, words: np.ndarray, at_b: np.ndarray, words_a: np.ndarray) -> np.ndarray:
+    """Whether each line of kb lies in a run of MIN_BLOCK_WORDS words that its counterpart has anywhere. Piece k of kb, from at_b[k] on, has piece k of ka as counterpart."""
+    pair_a, _, _, key_a = runs(ka, words_a, at_a)
+    pair_b, start, end, key_b = runs(kb, words, at_b)
+    spread = lambda pair, key: text.mix(key.view(np.uint64) + text.mix(pair.astype(np.uint64) + np.uint64(1)))
+    hit = np.isin(spread(pair_b, key_b), spread(pair_a, key_a))
+    cover = np.zeros(len(kb) + 1, np.int64)
+    np.add.at(cover, start[hit], 1)
+    np.add.at(cover, end[hit], -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        (ka, at_a), (kb, at_b) = (_joined(batch.column(c).to_pylist(), np.int64) for c in ("ka", "kb"))
+        wa, wb, numbers = (_joined(batch.column(c).to_pylist(), np.int32)[0] for c in ("wa", "words", "numbers"))
+        gone = common_runs(ka, at_a, kb, wb, at_b, wa)
         docs, owners, cut = [], [], []
-        for doc, owner, ka, kb, numbers, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "owner", "ka", "kb", "numbers", "words")), strict=True):
-            found = blocks(patience(np.frombuffer(ka, np.int64).tolist(), np.frombuffer(kb, np.int64).tolist()), np.frombuffer(words, np.int32).tolist())
-            if found:
+        for k, (doc, owner) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("owner").to_pylist(), strict=True)):
+            here = slice(at_b[k], at_b[k + 1])
+            mine = gone[here]
+            mine[blocks(patience(ka[at_a[k] : at_a[k + 1]].tolist(), kb[here].tolist()), wb[here].tolist())] = True
+            if mine.any():
                 docs.append(doc)
                 owners.append(owner)
-                cut.append(np.frombuffer(numbers, np.int32)[found].tolist())
+                cut.append(numbers[here][mine].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(owners, pa.int64()), pa.array(cut, pa.list_(pa.int32()))], ["doc", "owner", "cut"])
 
 
@@ -148,7 +166,8 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     r"""One row a document: doc_id, n_lines, removed (numbers of the lines to delete, from 0), owners (ids of the earlier documents that hold them).
 
     Lines end at \n; a null or empty text has none, blank ones are never removed, and lines are equal if their words are,
-    with case. The earlier document is that of the smaller id. A later copy loses everything that is long enough. Rows that repeat
+    with case. The earlier document is that of the smaller id. A later copy loses everything that is long enough,
+    wherever and however often it or the earlier document has it; what only one document repeats stays. Rows that repeat
     an id count as one document, the one whose lines are met first, and each gets a row. Null ids are never changed. Extra columns are not read;
     an empty table gives an empty result.
     """
@@ -159,7 +178,7 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     held = anchors.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("key", "owner")
     pairs = anchors.join(held, "key").where("owner < doc").select("owner", "doc").distinct()
     both = pairs.join(once.select("doc", F.col("keys").alias("kb"), "numbers", "words"), "doc")
-    both = both.join(once.select(F.col("doc").alias("owner"), F.col("keys").alias("ka")), "owner")
+    both = both.join(once.select(F.col("doc").alias("owner"), F.col("keys").alias("ka"), F.col("words").alias("wa")), "owner")
     cut = both.mapInArrow(_aligned, "doc long, owner long, cut array<int>")
     cut = cut.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("removed"), F.array_sort(F.collect_set("owner")).alias("owners"))
     out = lines.select("doc_id", "n_lines").join(cut.withColumnRenamed("doc", "doc_id"), "doc_id", "left")

@@ -338,6 +338,33 @@ def test_shared_blocks_of_short_lines_with_many_holders(spark):
     assert got[2001] == got[2002] == ([1, 2, 3, 4, 5], [2000])
 
 
+def plain_removed(rows, least=10):
+    """Lines in a run of equal lines, of so many words, of an earlier document."""
+    lines = {d: t.split("\n") for d, t in rows}
+    out = {d: set() for d in lines}
+    for d in lines:
+        for e in (e for e in lines if e < d):
+            for j in range(len(lines[d])):
+                for i in range(len(lines[e])):
+                    n = 0
+                    while i + n < len(lines[e]) and j + n < len(lines[d]) and lines[e][i + n] == lines[d][j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[d][j : j + n]) >= least:
+                        out[d] |= set(range(j, j + n))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def test_repeated_and_moved_blocks(spark):
+    line = lambda k, n=12: " ".join(f"v{k}w{i}" for i in range(n))
+    text = lambda *ks: "\n".join(map(line, ks))
+    rows = [(1, text(1, 2, 1, 3)), (2, text(20, 1, 21)), (3, text(22, 3, 23, 2, 24, 3)), (4, text(30, 31, 32, 33)), (5, text(32, 33, 40, 30, 31, 41, 30))]
+    r = random.Random(6)
+    rows += [(10 + k, "\n".join(line(100 + (j := r.randint(0, 9)), 2 + j % 5) for _ in range(r.randint(1, 25)))) for k in range(30)]
+    got = {x.doc_id: x.removed for x in line_dedup.shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == [1] and got[3] == [1, 3, 5] and got[5] == [0, 1, 3, 4, 6]
+    assert got == plain_removed(rows)
+
+
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 60), min_size=1))
 def test_schedule_deviates_by_less_than_a_block(shares):
     period, given_ = sum(shares.values()), Counter()
