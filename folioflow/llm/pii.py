@@ -4,8 +4,9 @@ Patterns find e-mail addresses, IP addresses, cards and phone numbers. Beyond
 them, corpus co-occurrence tells how strongly a word near such an entity gives it away: with
 p(e) the share of texts that hold entity e, and p(e|t) the share of term t's occurrences that stand
 beside e, t discloses the part 1 - log p(e|t) / log p(e) of e's information. Terms that
-disclose DISCLOSURE or more of an entity in SUPPORT different contexts are generalised wherever they stand.
-Contexts with SAME common words count as one, so copies and near copies of a text support nothing by themselves.
+disclose DISCLOSURE or more of an entity in SUPPORT documents are generalised wherever they stand. Documents count as
+one if their signatures agree in COPY of SIGNATURE least hashes of words, so copies and near copies of a text support nothing
+by themselves, whereas a fixed wording in different documents does.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from folioflow.llm import text
 from folioflow.llm.scratch import saved
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of an entity, in its line, that count as its context.
-CONTEXT, SUPPORT, SAME, DISCLOSURE = 5, 3, 3, 0.9
+#: Words on each side of an entity, on its line or others, that count as its context.
+CONTEXT, SUPPORT, DISCLOSURE = 5, 3, 0.9
+SIGNATURE, COPY = 32, 16
+_MUL = (np.random.default_rng(362436069).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 #: Terms looked for in one pass over the texts; more take more passes.
 TERMS_A_PASS = 1 << 18
 #: Bytes of the broadcast filter of candidate terms; it has no false negatives, and what it lets through is joined exactly.
@@ -98,27 +101,33 @@ def _terms(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, text.Words]:
 
 
 def contexts(value: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[str]]]:
-    """(entity, terms near it in its line) of each span; terms lie outside all spans."""
+    """(entity, terms near it) of each span; terms lie outside all spans."""
     for start, kind, end in spans:
-        lo, hi = value.rfind("\n", 0, start) + 1, value.find("\n", end)
-        hi = len(value) if hi < 0 else hi
-        # a context is a few words, however long the line is
-        left, right = max(lo, start - 64 * CONTEXT), min(hi, end + 64 * CONTEXT)
-        near = [m for m in _WORD.finditer(value, left, start) if m.start() > left or left == lo][-CONTEXT:]
-        after = [m for m in _WORD.finditer(value, end, right) if m.end() < right or right == hi][:CONTEXT]
+        # a context is a few words, however long the text is
+        left, right = max(0, start - 64 * CONTEXT), min(len(value), end + 64 * CONTEXT)
+        near = [m for m in _WORD.finditer(value, left, start) if m.start() > left or left == 0][-CONTEXT:]
+        after = [m for m in _WORD.finditer(value, end, right) if m.end() < right or right == len(value)][:CONTEXT]
         words = [m[0] for m in near + after if len(m[0].encode()) >= TERM_BYTES and not any(a < m.end() and m.start() < b for a, _, b in spans)]
         what = value[start:end]
         entity = what.lower() if kind == 0 else what if kind == 1 else re.sub("[^0-9]", "", what)
         yield f"{KINDS[kind]}:{entity}", words
 
 
+def signature(value: str) -> list[int]:
+    """Least hashes of the text's terms; the share of equal ones estimates the similarity of two texts."""
+    terms, _ = _terms(*text.flat(pa.array([value], pa.string())))
+    terms = text.mix(np.unique(terms).view(np.uint64))
+    return [int((terms * np.uint64(m)).min(initial=(1 << 64) - 1)) >> 33 for m in _MUL]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, words around) of each term near an entity, and a row with term 0 for each entity of a text."""
+    """(entity, term, signature of the text) of each term near an entity, and a row with term 0 for each entity of a text."""
     for batch in batches:
         entity, term, around = [], [], []
         for value in batch.column("text").to_pylist():
             spans = base_spans(value) if value else []
             seen = set()
+            mark = signature(value) if spans else []
             for who, words in contexts(value, spans) if spans else ():
                 e = int(_hash([who])[0])
                 if e not in seen:
@@ -126,12 +135,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entity.append(e)
                     term.append(0)
                     around.append([])
-                near = sorted(set(_hash(words).tolist())) if words else []
-                for t in near:
+                for t in sorted(set(_hash(words).tolist())) if words else ():
                     entity.append(e)
                     term.append(t)
-                    around.append([x for x in near if x != t])
-        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64()), pa.array(around, pa.list_(pa.int64()))], ["entity", "term", "around"])
+                    around.append(mark)
+        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64()), pa.array(around, pa.list_(pa.int32()))], ["entity", "term", "mark"])
 
 
 def _slots(terms: np.ndarray, size: int) -> np.ndarray:
@@ -159,15 +167,15 @@ def _totals(shared):
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
-    """(term, disclosure): hashes of terms that reveal an entity. Counts cover all texts; a context repeated in copies supports once."""
+    """(term, disclosure): hashes of terms that reveal an entity. Counts cover all texts; copies of a text support once."""
     spark = docs.sparkSession
-    seen = saved(docs.select("text").mapInArrow(_pairs, "entity long, term long, around array<long>").groupBy("entity", "term", "around").agg(F.count("*").alias("n")))
+    seen = saved(docs.select("text").mapInArrow(_pairs, "entity long, term long, mark array<int>").groupBy("entity", "term", "mark").agg(F.count("*").alias("n")))
     near = seen.where("term <> 0")
     rest = near
-    for _ in range(SUPPORT - 1):  # the most frequent context goes, and all that are like it
-        lead = rest.groupBy("entity", "term").agg(F.max(F.struct("n", "around"))["around"].alias("lead"))
-        common = F.size(F.array_intersect("around", "lead"))
-        rest = saved(rest.join(lead, ["entity", "term"]).where(common < F.least(F.lit(SAME), F.size("around"), F.size("lead"))).drop("lead"))
+    for _ in range(SUPPORT - 1):  # the most frequent text goes, and all that are like it
+        lead = rest.groupBy("entity", "term").agg(F.max(F.struct("n", "mark"))["mark"].alias("lead"))
+        common = F.size(F.filter(F.zip_with("mark", "lead", lambda x, y: x == y), lambda same: same))
+        rest = saved(rest.join(lead, ["entity", "term"]).where(common < COPY).drop("lead"))
     supported = rest.select("entity", "term").distinct()
     near = saved(near.groupBy("entity", "term").agg(F.sum("n").alias("beside")).join(supported, ["entity", "term"]))
     candidates = near.select("term").distinct()

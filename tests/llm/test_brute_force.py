@@ -309,6 +309,16 @@ def test_disclosing_terms(spark):
     assert {x.text for x in pii.sanitised(docs).where("doc_id = 700").collect()} == {"say <term> here"}
 
 
+def test_terms_in_a_fixed_wording_and_on_other_lines(spark):
+    r = random.Random(3)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, f"{some(20)}\n\nKowalski: k@x.org\n\n{some(20)}") for i in range(6)] + [(100 + i, f"{some(20)}\nWrzesien\n+48 22 555 01 02\n{some(20)}") for i in range(6)]
+    rows += [(200 + i, some(30)) for i in range(500)] + [(800, "met kowalski there"), (801, "met wrzesien there")]
+    rows += [(900 + i, f"{some(1)} same words of one copy and Nobody: n@x.org so on and on it goes the same") for i in range(9)] + [(950, "met nobody there")]
+    got = {x.doc_id: [(s["start"], s["kind"], s["end"]) for s in x.spans] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[800] == got[801] == [(4, 4, 12)] and got[950] == [] and got[200] == []
+
+
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_aligns(a, b):
     pairs = line_dedup.patience(a, b)
