@@ -34,10 +34,12 @@ FEATURES: dict[str, tuple[str, str, float]] = {
     "upper": ("n_upper", "word_chars", 0.20),
     "bangs": ("n_bangs", "n_words", 0.20),
     "dup_lines": ("n_dup_lines", "n_lines", 0.60),
-    "repeats": ("n_repeat_words", "n_words", 0.50),
+    "repeats": ("n_repeat_words", "n_words", 0.40),
 }
 SPREADS, LOW = 8.0, 0.10
-#: A source of fewer documents takes the sketch of its language, and that of fewer the corpus's.
+#: Repeats have a long tail, which their limit follows: this many times the distance of the upper quantile, but never as far as the base rule.
+TAILS, HIGH, MOST_REPEATS = 3.0, 0.99, 0.98 * MAX_REPEAT_PERCENT / 100
+#: A source of fewer documents has a limit between its own and its language's, in proportion; so has a language, with the corpus's.
 LEAST_DOCS = 200
 
 
@@ -135,9 +137,11 @@ def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
     seen = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
     value = F.when(F.col("bucket") < -(1 << 19), F.lit(0.0)).otherwise(F.pow(F.lit(1 + STEP), F.col("bucket")) * (2 / (2 + STEP)))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), value))
-    found = seen.groupBy(*by).agg(quantile(0.5).alias("mid"), quantile(LOW).alias("low"), F.max("all").alias("docs"))
+    found = seen.groupBy(*by).agg(quantile(0.5).alias("mid"), quantile(LOW).alias("low"), quantile(HIGH).alias("high"), F.max("all").alias("docs"))
     above = F.create_map(*[x for name, (_, _, least) in FEATURES.items() for x in (F.lit(name), F.lit(least))])
     found = found.withColumn("limit", F.col("mid") + F.greatest(above[F.col("feature")], SPREADS * (F.col("mid") - F.col("low"))))
+    tail = F.least(F.greatest("limit", F.col("mid") + TAILS * (F.col("high") - F.col("mid"))), F.lit(MOST_REPEATS))
+    found = found.withColumn("limit", F.when(F.col("feature") == "repeats", tail).otherwise(F.col("limit")))
     return found.groupBy(*groups).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("feature") == name, F.col("limit"))).alias(f"limit_{name}") for name in FEATURES])
 
 
@@ -157,7 +161,9 @@ def judged(docs: DataFrame) -> DataFrame:
     names = [f"limit_{f}" for f in FEATURES]
     here, lang, corpus = (x.select(*[c for c in x.columns if c in ("lang", "source")], F.col("docs").alias(f"docs{k}"), *[F.col(n).alias(f"{n}{k}") for n in names]) for k, x in enumerate(levels))
     rules = here.join(lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("one", F.lit(1)).join(corpus.withColumn("one", F.lit(1)), "one")
-    pick = lambda n: F.when(F.col("docs0") >= LEAST_DOCS, F.col(f"{n}0")).when(F.col("docs1") >= LEAST_DOCS, F.col(f"{n}1")).otherwise(F.col(f"{n}2"))
+    own = lambda k: F.least(F.col(f"docs{k}") / LEAST_DOCS, F.lit(1.0))
+    blend = lambda k, n, rest: own(k) * F.col(f"{n}{k}") + (1 - own(k)) * rest
+    pick = lambda n: blend(0, n, blend(1, n, F.col(f"{n}2")))
     rules = rules.select(F.col("lang").alias("l"), F.col("source").alias("s"), *[pick(n).alias(n) for n in names])
     out = m.join(rules, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     over = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *[F.when(_ratio(a, b) > F.col(f"limit_{name}"), F.lit(name)) for name, (a, b, _) in FEATURES.items()]))

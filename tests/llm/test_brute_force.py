@@ -168,6 +168,15 @@ def test_limits_follow_sources(spark):
     assert sum(not got[k] for k in range(600)) == 0
 
 
+def test_repeats_limit_is_below_the_base_rule(spark):
+    plain = lambda k, n=80: " ".join(f"w{k}x{i}" for i in range(n))
+    half = lambda k, n: f"{plain(k, n)} {plain(k, n)} {plain(f'{k}y', 100 - 2 * n)}"
+    rows = [(k, plain(k), "en", "clean") for k in range(300)] + [(900, half(900, 23), "en", "clean"), (901, half(901, 15), "en", "clean")]
+    rows += [(1000 + k, half(k, 8 + k % 7), "en", "refrains") for k in range(300)] + [(2000, half(2000, 22), "en", "refrains")]
+    got = {r.doc_id: r.failed for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[900] == ["repeats"] and got[901] == [] and got[2000] == [] and not any(got[1000 + k] for k in range(300))
+
+
 def test_token_counts(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
