@@ -3,9 +3,9 @@
 Features of every text come from one vectorised pass. Their distribution in
 each (language, source) is kept as a quantile sketch of logarithmic buckets:
 a count per bucket, so sketches merge by adding counts, first within tasks,
-then across them, and up from source to language to corpus. A feature's limit
-lies above the median by a multiple of the spread of the lower half, which junk
-cannot move until it is half of a source.
+then across them, and up from source to language to corpus. A feature's limit is drawn from the
+sketch alone: where a feature varies among all texts, the median plus a multiple of the spread of the lower half, which junk
+cannot move until it is half of a source; where most texts have none of it, from the upper quantile.
 """
 
 from __future__ import annotations
@@ -24,23 +24,31 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
+#: ASCII characters that print but are neither letters nor digits.
+MARKS = np.zeros(256, bool)
+MARKS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Relative accuracy of a sketch's quantiles is half of this; values below TINY count as 0.
 STEP, TINY = 0.02, 1e-4
-#: Features, and the least distance of a limit from the median.
-FEATURES: dict[str, tuple[str, str, float]] = {
-    "symbols": ("n_symbols", "n_words", 0.10),
-    "upper": ("n_upper", "word_chars", 0.20),
-    "bangs": ("n_bangs", "n_words", 0.20),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.60),
-    "repeats": ("n_repeat_words", "n_words", 0.40),
+#: Features as ratios of counts, and whether all texts vary in them (else most texts have none).
+FEATURES: dict[str, tuple[str, str, bool]] = {
+    "marks": ("n_marks", "word_chars", True),
+    "upper": ("n_upper", "word_chars", True),
+    "word_length": ("word_chars", "n_words", True),
+    "dup_lines": ("n_dup_lines", "n_lines", False),
+    "repeats": ("n_repeat_words", "n_words", False),
 }
-SPREADS, LOW = 8.0, 0.10
-#: Repeats have a long tail, which their limit follows: this many times the distance of the upper quantile, but never as far as the base rule.
-TAILS, HIGH, MOST_REPEATS = 3.0, 0.99, 0.98 * MAX_REPEAT_PERCENT / 100
-#: A source of fewer documents has a limit between its own and its language's, in proportion; so has a language, with the corpus's.
-LEAST_DOCS = 200
+VARIED = [name for name, (_, _, varies) in FEATURES.items() if varies]
+#: A limit is MID's quantile and SPREADS times its distance to LOW's; or TAILS times HIGH's distance from MID's above that.
+MID, LOW, HIGH = 0.5, 0.1, 0.995
+SPREADS, TAILS = 8.0, 2.0
+#: A group whose texts are alike (copies, say) has at least this part of the distance that the next coarser group has, in features in which all texts vary.
+LEAST_PART = 0.5
+#: No limit of repeats reaches the base rule.
+MOST_REPEATS = 0.98 * MAX_REPEAT_PERCENT / 100
+#: A group of n texts weighs n / (n + PRIOR) in its limit, the next coarser group the rest.
+PRIOR = 100
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +108,7 @@ def _counts(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         _per_row(np.cumsum(cover)[:-1] > 0, w.first),
         lines,
         _per_row(UPPER[raw], at),
-        _per_row(raw == 0x21, at),
+        _per_row(MARKS[raw], at),
     ]
 
 
@@ -130,19 +138,45 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
-def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, docs, one limit column a feature) from the quantiles of the sketches."""
+def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, docs, feature, mid, reach): the middle of each feature's sketch, and how far above it its limit lies."""
     by = [*groups, "feature"]
     run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     seen = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
     value = F.when(F.col("bucket") < -(1 << 19), F.lit(0.0)).otherwise(F.pow(F.lit(1 + STEP), F.col("bucket")) * (2 / (2 + STEP)))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), value))
-    found = seen.groupBy(*by).agg(quantile(0.5).alias("mid"), quantile(LOW).alias("low"), quantile(HIGH).alias("high"), F.max("all").alias("docs"))
-    above = F.create_map(*[x for name, (_, _, least) in FEATURES.items() for x in (F.lit(name), F.lit(least))])
-    found = found.withColumn("limit", F.col("mid") + F.greatest(above[F.col("feature")], SPREADS * (F.col("mid") - F.col("low"))))
-    tail = F.least(F.greatest("limit", F.col("mid") + TAILS * (F.col("high") - F.col("mid"))), F.lit(MOST_REPEATS))
-    found = found.withColumn("limit", F.when(F.col("feature") == "repeats", tail).otherwise(F.col("limit")))
-    return found.groupBy(*groups).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("feature") == name, F.col("limit"))).alias(f"limit_{name}") for name in FEATURES])
+    found = seen.groupBy(*by).agg(quantile(MID).alias("mid"), quantile(LOW).alias("low"), quantile(HIGH).alias("high"), F.max("all").alias("docs"))
+    reach = F.when(F.col("feature").isin(VARIED), SPREADS * (F.col("mid") - F.col("low"))).otherwise(TAILS * (F.col("high") - F.col("mid")))
+    return found.select(*by, "docs", "mid", reach.alias("reach"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, feature, limit, own) of each cell of a sketch by lang and source; own says that no coarser group's reach replaced the cell's.
+
+    From corpus to language to source, each level's middle and reach are drawn towards the level above, the less the more texts it has.
+    """
+    lang = merged(sketch, ["lang"])
+    own = lambda k: F.col(f"docs{k}") / (F.col(f"docs{k}") + PRIOR)
+    named = lambda x, k: x.select(*[F.col(c).alias(f"{c}{k}") if c in ("docs", "mid", "reach") else F.col(c) for c in x.columns])
+    out = named(quantiles(merged(lang, []), []), 2)
+    for k, (finer, groups) in enumerate([(lang, ["lang"]), (sketch, ["lang", "source"])]):
+        here, up = f"{1 - k}", f"{2 - k}"
+        keys = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups[:-1]]
+        above = out.select(F.col("feature").alias("f"), *[F.col(g).alias(f"__{g}") for g in groups[:-1]], f"mid{up}", f"reach{up}")
+        found = named(quantiles(finer, groups), here).join(F.broadcast(above), [F.col("feature") == F.col("f"), *keys])  # a row for a feature and language
+        varied = F.col("feature").isin(VARIED)
+        least = F.when(varied, F.greatest(f"reach{here}", LEAST_PART * F.col(f"reach{up}"))).otherwise(F.col(f"reach{here}"))
+        blend = lambda value, rest: own(here) * value + (1 - own(here)) * F.col(rest)
+        out = found.select(*groups, "feature", blend(F.col(f"mid{here}"), f"mid{up}").alias(f"mid{here}"), blend(least, f"reach{up}").alias(f"reach{here}"), (~varied | (F.col(f"reach{here}") >= LEAST_PART * F.col(f"reach{up}"))).alias("own"))
+    limit = (F.col("mid0") + F.col("reach0")) * (1 + STEP)  # a value is known to a bucket
+    limit = F.when(F.col("feature") == "repeats", F.least(limit, F.lit(MOST_REPEATS))).otherwise(limit)
+    return out.select("lang", "source", "feature", limit.alias("limit"), "own")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, the counts and base_failed of each row."""
+    m = saved(measures(docs, ("doc_id", "lang", "source")))
+    return m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -153,18 +187,9 @@ def judged(docs: DataFrame) -> DataFrame:
     their own; null and empty texts have no words, so they fail; equal rows are judged alike; extra columns are
     not read.
     """
-    m = measures(docs, ("doc_id", "lang", "source"))
-    m = saved(m).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    fine = sketches(m, ["lang", "source"])
-    mid = merged(fine, ["lang"])
-    levels = [limits(fine, ["lang", "source"]), limits(mid, ["lang"]), limits(merged(mid, []), [])]
-    names = [f"limit_{f}" for f in FEATURES]
-    here, lang, corpus = (x.select(*[c for c in x.columns if c in ("lang", "source")], F.col("docs").alias(f"docs{k}"), *[F.col(n).alias(f"{n}{k}") for n in names]) for k, x in enumerate(levels))
-    rules = here.join(lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("one", F.lit(1)).join(corpus.withColumn("one", F.lit(1)), "one")
-    own = lambda k: F.least(F.col(f"docs{k}") / LEAST_DOCS, F.lit(1.0))
-    blend = lambda k, n, rest: own(k) * F.col(f"{n}{k}") + (1 - own(k)) * rest
-    pick = lambda n: blend(0, n, blend(1, n, F.col(f"{n}2")))
-    rules = rules.select(F.col("lang").alias("l"), F.col("source").alias("s"), *[pick(n).alias(n) for n in names])
+    m = measured(docs)
+    rules = limits(sketches(m, ["lang", "source"])).groupBy(F.col("lang").alias("l"), F.col("source").alias("s"))
+    rules = rules.agg(*[F.max(F.when(F.col("feature") == name, F.col("limit"))).alias(f"limit_{name}") for name in FEATURES])
     out = m.join(rules, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     over = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *[F.when(_ratio(a, b) > F.col(f"limit_{name}"), F.lit(name)) for name, (a, b, _) in FEATURES.items()]))
     out = out.withColumn("failed", over).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

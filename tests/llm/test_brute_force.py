@@ -154,27 +154,76 @@ def test_query_of_contamination(spark, small):
     assert {d: got[d] for d in want} == want and len(got) == 200
 
 
-def test_limits_follow_sources(spark):
-    word = "abcde fghij klmno pqrst uvwxy z".split()
-    rows = []
-    for k in range(600):
-        r = random.Random(k)
-        t = " ".join(r.choice(word) + str(r.randint(0, 999)) for _ in range(80))
-        symbols = 20 if k % 2 == 0 else 0  # half of the sources mark every fourth word
-        rows.append((k, " ".join(w + ("#" if i < symbols + r.randint(0, 3) else "") for i, w in enumerate(t.split())), "en", "marked" if k % 2 == 0 else "plain"))
-    rows += [(1000, " ".join(f"w{i}#" for i in range(80)), "en", "plain"), (1001, " ".join(f"w{i}{'#' if i < 22 else ''}" for i in range(80)), "en", "plain"), (1002, " ".join(f"w{i}{'#' if i < 22 else ''}" for i in range(80)), "en", "marked")]
-    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert [got[k] for k in (1000, 1001, 1002)] == [False, False, True]
-    assert sum(not got[k] for k in range(600)) == 0
-
-
-def test_repeats_limit_is_below_the_base_rule(spark):
-    plain = lambda k, n=80: " ".join(f"w{k}x{i}" for i in range(n))
-    half = lambda k, n: f"{plain(k, n)} {plain(k, n)} {plain(f'{k}y', 100 - 2 * n)}"
-    rows = [(k, plain(k), "en", "clean") for k in range(300)] + [(900, half(900, 23), "en", "clean"), (901, half(901, 15), "en", "clean")]
-    rows += [(1000 + k, half(k, 8 + k % 7), "en", "refrains") for k in range(300)] + [(2000, half(2000, 22), "en", "refrains")]
-    got = {r.doc_id: r.failed for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[900] == ["repeats"] and got[901] == [] and got[2000] == [] and not any(got[1000 + k] for k in range(300))
+def prose(seed, n=90, capitals=0, marks=0, longer=0, dup=0, refrain=0, per_line=6):
+    """n different words in lines; so many capitals, marks, words twice as long, repeated lines, and words of a repeated phrase."""
+    r = random.Random(seed)
+    w = [f"{''.join(r.choice('abcdefgh') for _ in range(r.randint(3, 7)))}{r.randint(0, 9)}" for _ in range(n)]
+    w = [x * (2 if i < longer else 1) for i, x in enumerate(w)]
+    w = [("AB" if i < capitals else "") + x + ("##" if i < marks else "") for i, x in enumerate(w)]
+    if refrain:
+        w[-2 * refrain : -refrain] = w[-refrain:]
+    r.shuffle(lines := [" ".join(w[k : k + per_line]) for k in range(0, n, per_line)])
+    for k in range(dup):  # one word each, in other company each time
+        lines[4 * k + 1 : 4 * k + 1] = [f"z{k}"]
+        lines[4 * k + 3 : 4 * k + 3] = [f"z{k}"]
+    return "\n".join(lines)
+
+
+#: What most texts of one source have of a feature, and what a text has that only this source is used to.
+USED_TO = {"marks": ("marks", 30, 34), "upper": ("capitals", 30, 34), "word_length": ("longer", 60, 75), "dup_lines": ("dup", 6, 7), "repeats": ("refrain", 17, 18)}
+
+
+@pytest.mark.parametrize("feature", USED_TO)
+def test_limits_follow_sources(spark, feature):
+    kind, usual, asked = USED_TO[feature]
+    line = {"per_line": 30 if feature == "repeats" else 6}
+    rows = [(k, prose(k, **{"capitals": 5 + k % 3, "marks": 5 + k % 4} | line), "en", "plain") for k in range(300)]
+    few = {"marks": 10, "capitals": 10}.get(kind, 0)
+    rows += [(1000 + k, prose(1000 + k, **{"capitals": 5 + k % 3, "marks": 5 + k % 4, kind: few + (usual - few) * (k % 20) // 19} | line), "en", "used") for k in range(300)]
+    same = prose(9, **{"capitals": 5, "marks": 5, kind: asked} | line)
+    rows += [(2000, same, "en", "plain"), (2001, same, "en", "used")]
+    got = {r.doc_id: (r.kept, r.failed) for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[2000] == (False, [feature]) and got[2001] == (True, [])
+    assert sum(not kept for kept, _ in got.values()) <= 2
+
+
+def test_limits_are_those_of_exact_quantiles(spark, small):
+    import numpy as np
+
+    docs = queries.table(spark, small, "documents").unionAll(queries.table(spark, small.replace("0.001", "0.01"), "documents"))
+    m = quality.measured(docs)
+    got = {(r.lang, r.source, r.feature): r.limit for r in quality.limits(quality.sketches(m, ["lang", "source"])).collect()}
+    rows = [r for r in m.collect() if not r.base_failed]
+
+    def level(some, f, up):
+        top, bottom, varies = quality.FEATURES[f]
+        x = np.sort([r[top] / r[bottom] if r[bottom] else 0.0 for r in some])
+        mid, low, high = (x[int(np.ceil(q * len(x))) - 1] for q in (quality.MID, quality.LOW, quality.HIGH))
+        reach = quality.SPREADS * (mid - low) if varies else quality.TAILS * (high - mid)
+        if up is None:
+            return mid, reach
+        reach = max(reach, quality.LEAST_PART * up[1]) if varies else reach
+        own = len(x) / (len(x) + quality.PRIOR)
+        return own * mid + (1 - own) * up[0], own * reach + (1 - own) * up[1]
+
+    for (lang, source, f), limit in got.items():
+        up = level([r for r in rows if r.lang == lang], f, level(rows, f, None))
+        want = sum(level([r for r in rows if (r.lang, r.source) == (lang, source)], f, up))
+        want = min(want, quality.MOST_REPEATS) if f == "repeats" else want
+        assert abs(limit - want) <= 0.1 * want + 1e-3, (lang, source, f)  # buckets are 2 % wide, and a reach is 8 times a difference
+
+
+def test_hardly_any_limit_is_another_groups(spark, small):
+    docs = queries.table(spark, small.replace("0.001", "0.1"), "documents")
+    cells = quality.limits(quality.sketches(quality.measured(docs), ["lang", "source"])).collect()
+    assert len(cells) >= 300 and sum(not c.own for c in cells) < 0.05 * len(cells)
+    assert all(c.limit < 0.5 for c in cells if c.feature == "repeats")
+
+
+def test_copies_do_not_narrow_a_source(spark):
+    rows = [(k, prose(k, capitals=4 + k % 5, marks=3 + k % 5), "en", f"s{k % 4}") for k in range(400)] + [(1000 + k, prose(5000), "en", "s1") for k in range(400)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").count()
+    assert got == 0
 
 
 def test_token_counts(spark):
