@@ -128,9 +128,14 @@ def _bucket(value: Column) -> Column:
 
 
 def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
-    """Rows (groups, feature, bucket, n): the quantile sketch of each feature in each group. Texts that fail a base rule don't count."""
+    """Rows (groups, feature, bucket, n): the quantile sketch of each feature in each group.
+
+    Texts that fail a base rule don't count. Those of a group that have all counts in common are copies as far as a sketch can tell, and count once,
+    so that a text with very many copies doesn't become the middle of its source.
+    """
     cells = F.array(*[F.struct(F.lit(name).alias("feature"), _bucket(_ratio(a, b)).alias("bucket")) for name, (a, b, _) in FEATURES.items()])
-    return measured.where(~F.col("base_failed")).select(*groups, F.explode(cells).alias("c")).groupBy(*groups, "c.feature", "c.bucket").agg(F.count("*").alias("n"))
+    once = measured.where(~F.col("base_failed")).select(*groups, *COUNTS).distinct()
+    return once.select(*groups, F.explode(cells).alias("c")).groupBy(*groups, "c.feature", "c.bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
