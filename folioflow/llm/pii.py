@@ -1,12 +1,17 @@
-r"""Personal data: patterns, and terms that reveal the people behind them.
-
-Patterns find e-mail addresses, IP addresses, cards and phone numbers. Beyond
-them, corpus co-occurrence tells how strongly a word near such an entity gives it away: with
-p(e) the share of texts that hold entity e, and p(e|t) the share of term t's occurrences that stand
-beside e, t discloses the part 1 - log p(e|t) / log p(e) of e's information. Terms that
-disclose DISCLOSURE or more of an entity in SUPPORT documents are generalised wherever they stand. Documents count as
-one if their signatures agree in COPY of SIGNATURE least hashes of words, so copies and near copies of a text support nothing
-by themselves, whereas a fixed wording in different documents does.
+r"""Personal data: patterns, and what corpus co-occurrence says about the words beside protected values.
+
+Patterns find e-mail addresses, IP addresses, cards and phone numbers. Beyond them, co-occurrence over the whole corpus tells
+how strongly a word gives a protected entity away. With p(e) the share of texts (or terms) that hold the entity e and p(e|t) the share
+of term t's occurrences that stand beside e, t discloses the part 1 - log p(e|t) / log p(e) of e's information. Two
+kinds of entity are measured so:
+
+* each e-mail address, IP address, card and phone number. Terms that disclose DISCLOSURE or more of one in SUPPORT documents name
+  whom it belongs to; they are generalised wherever they stand. Documents count as one if their signatures agree in COPY of
+  SIGNATURE least hashes of words, so copies and near copies of a text support nothing by themselves, whereas a fixed
+  wording in different documents does;
+* secrets, as one class: terms of SECRET_BITS or more of information, which the corpus's own transitions between bytes measure,
+  so that nobody could guess them. Terms that disclose DISCLOSURE of that class, over SUPPORT different values, are cues ("token"). A cue names
+  nobody and stays; the value beside it is generalised. Counts of cues are smoothed by PRIOR.
 """
 
 from __future__ import annotations
@@ -17,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import text
 from folioflow.llm.scratch import saved
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
 #: Words on each side of an entity, on its line or others, that count as its context.
 CONTEXT, SUPPORT, DISCLOSURE = 5, 3, 0.9
+#: Information of a value that can't be guessed; bytes between a cue and its value; occurrences by which a cue's share is drawn to the corpus's.
+SECRET_BITS, CUE_GAP, PRIOR = 64.0, 8, 4.0
+#: What a disclosing term does: is generalised itself, or has the value after it or before it generalised.
+ITSELF, VALUE_AFTER, VALUE_BEFORE = 0, 1, 2
 SIGNATURE, COPY = 32, 16
 _MUL = (np.random.default_rng(362436069).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
 #: Terms looked for in one pass over the texts; more take more passes.
@@ -120,9 +129,42 @@ def signature(value: str) -> list[int]:
     return [int((terms * np.uint64(m)).min(initial=(1 << 64) - 1)) >> 33 for m in _MUL]
 
 
+_LOWER = text._LOWER.astype(np.int64)
+
+
+def _steps(raw: np.ndarray, w: text.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of the terms as a step from the byte before it (0 begins a term), in code 256 * before + byte; and each term's first step."""
+    size = w.end - w.start
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(w.start - first[:-1], size) + np.arange(first[-1])
+    here = _LOWER[raw[at]]
+    before = np.concatenate([[0], here[:-1]]) if len(here) else here
+    before[first[:-1]] = 0
+    return before * 256 + here, first
+
+
+def information(steps: dict[int, int]) -> np.ndarray:
+    """Bits of each step, from how often the corpus takes it (a step more for each, so none is impossible)."""
+    n = np.ones((256, 256))
+    for code, k in steps.items():
+        n[code >> 8, code & 255] += k
+    return (np.log2(n.sum(1, keepdims=True)) - np.log2(n)).ravel().astype(np.float32)
+
+
+def _bits(raw: np.ndarray, w: text.Words, table: np.ndarray) -> np.ndarray:
+    steps, first = _steps(raw, w)
+    total = np.concatenate([[0], np.cumsum(table[steps], dtype=np.float64)])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, signature of the text) of each term near an entity, and a row with term 0 for each entity of a text."""
+    """(entity, term, signature of the text) of each term near an entity, and a row with term 0 for each entity of a text; (code, null, null, n) of each step."""
+    steps = np.zeros(1 << 16, np.int64)
     for batch in batches:
+        raw, at = text.flat(batch.column("text"))
+        for i, j in text.chunks(at):
+            part = raw[at[i] : at[j]]
+            steps += np.bincount(_steps(part, _terms(part, at[i : j + 1] - at[i])[1])[0], minlength=1 << 16)
         entity, term, around = [], [], []
         for value in batch.column("text").to_pylist():
             spans = base_spans(value) if value else []
@@ -139,7 +181,58 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entity.append(e)
                     term.append(t)
                     around.append(mark)
-        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64()), pa.array(around, pa.list_(pa.int32()))], ["entity", "term", "mark"])
+        yield _pair_rows(entity, term, around, [1] * len(entity))
+    used = np.flatnonzero(steps)
+    yield _pair_rows(used, [None] * len(used), [None] * len(used), steps[used])
+
+
+def _pair_rows(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["entity", "term", "mark", "n"])
+
+
+def _free(part: np.ndarray, bounds: np.ndarray, w: text.Words, picked: np.ndarray, spans: dict[int, list[tuple[int, int]]]) -> np.ndarray:
+    """Those of the picked terms that lie outside the base spans of their row, which are found for such rows alone."""
+    points = np.concatenate([[0], np.cumsum(text.LEADS[part])])
+    keep = []
+    for k in picked.tolist():
+        r = int(w.row[k])
+        if r not in spans:
+            spans[r] = [(a, b) for a, _, b in base_spans(part[bounds[r] : bounds[r + 1]].tobytes().decode())]
+        a, b = (int(points[x] - points[bounds[r]]) for x in (w.start[k], w.end[k]))
+        keep.append(not any(x < b and a < y for x, y in spans[r]))
+    return picked[np.array(keep, bool)]
+
+
+def _beside(w: text.Words, picked: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(what a cue does, its index, the value's) of the terms close to each picked one, in its row."""
+    for side, near in ((VALUE_AFTER, picked - 1), (VALUE_BEFORE, picked + 1)):
+        ok = (near >= 0) & (near < len(w.row))
+        a, b = near[ok], picked[ok]
+        gap = w.start[b] - w.end[a] if side == VALUE_AFTER else w.start[a] - w.end[b]
+        close = (w.row[a] == w.row[b]) & (gap <= CUE_GAP)
+        yield side, a[close], b[close]
+
+
+def _values(shared):
+    """(cue, does, value, n) of the terms beside values that can't be guessed; and with cue 0 the number of values, with does -1 that of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            rows: list[tuple[np.ndarray, ...]] = []
+            raw, at = text.flat(batch.column("text"))
+            values = terms = 0
+            for i, j in text.chunks(at):
+                part, bounds = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                hashed, w = _terms(part, bounds)
+                picked = _free(part, bounds, w, np.flatnonzero(_bits(part, w, table) >= SECRET_BITS), {})
+                values, terms = values + len(picked), terms + len(hashed)
+                rows += [(hashed[a], np.full(len(a), side), hashed[b], np.ones(len(a), np.int64)) for side, a, b in _beside(w, picked)]
+            rows.append(tuple(np.array(x, np.int64) for x in ([0, 0], [0, -1], [0, 0], [values, terms])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], ["cue", "does", "value", "n"])
+
+    return run
 
 
 def _slots(terms: np.ndarray, size: int) -> np.ndarray:
@@ -166,10 +259,23 @@ def _totals(shared):
     return run
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(term, disclosure): hashes of terms that reveal an entity. Counts cover all texts; copies of a text support once."""
+def _smoothed(beside: Column, among: Column, share: float) -> Column:
+    return (beside + PRIOR * share) / (among + PRIOR)
+
+
+def disclosing(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(term, does, disclosure): hashes of terms that reveal a protected entity, and what each does; and the bits of each step between bytes.
+
+    Counts cover all texts; copies of a text support once, and so does each value.
+    """
     spark = docs.sparkSession
-    seen = saved(docs.select("text").mapInArrow(_pairs, "entity long, term long, mark array<int>").groupBy("entity", "term", "mark").agg(F.count("*").alias("n")))
+    seen = saved(docs.select("text").mapInArrow(_pairs, "entity long, term long, mark array<int>, n long").groupBy("entity", "term", "mark").agg(F.sum("n").alias("n")))
+    table = information({r.entity: r.n for r in seen.where("term is null").select("entity", "n").collect()})  # 65,536 rows at most
+    found = docs.select("text").mapInArrow(_values(spark.sparkContext.broadcast(table)), "cue long, does long, value long, n long")
+    found = saved(found.groupBy("cue", "does", "value").agg(F.sum("n").alias("n")))
+    sizes = {r.does: r.n for r in found.where("does <= 0").collect()}
+    cues = found.where("does > 0").groupBy("cue", "does").agg(F.sum("n").alias("beside"), F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
+    cues = saved(cues.select(F.col("cue").alias("term"), "does", "beside"))
     near = seen.where("term <> 0")
     rest = near
     for _ in range(SUPPORT - 1):  # the most frequent text goes, and all that are like it
@@ -178,18 +284,22 @@ def disclosing(docs: DataFrame) -> DataFrame:
         rest = saved(rest.join(lead, ["entity", "term"]).where(common < COPY).drop("lead"))
     supported = rest.select("entity", "term").distinct()
     near = saved(near.groupBy("entity", "term").agg(F.sum("n").alias("beside")).join(supported, ["entity", "term"]))
-    candidates = near.select("term").distinct()
+    candidates = near.select("term").union(cues.select("term")).distinct()
     marks = candidates.mapInPandas(_marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()  # FILTER_BYTES rows at most
     bits = np.zeros(FILTER_BYTES, np.uint8)
     for at, x in marks:
         bits[at] = x
     totals = docs.select("text").mapInArrow(_totals(spark.sparkContext.broadcast(bits.tobytes())), "term long, n long").groupBy("term").agg(F.sum("n").alias("all"))
+    totals = saved(totals.join(candidates, "term", "left_semi"))
     held = seen.where("term = 0").groupBy("entity").agg(F.sum("n").alias("texts"))
     texts = docs.count()
+    told = lambda p_et, p_e: 1 - F.log(p_et) / F.log(p_e)
     scored = near.join(totals, "term").join(held, "entity")
-    p_e, p_et = F.least(F.col("texts") / F.lit(texts), F.lit(0.5)), F.least(F.col("beside") / F.col("all"), F.lit(1.0))
-    scored = scored.withColumn("disclosure", 1 - F.log(p_et) / F.log(p_e)).where(F.col("disclosure") >= DISCLOSURE)
-    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    scored = scored.withColumn("disclosure", told(F.least(F.col("beside") / F.col("all"), F.lit(1.0)), F.least(F.col("texts") / F.lit(texts), F.lit(0.5))))
+    share = min(0.5, max(sizes.get(0, 0), 1) / max(sizes.get(-1, 0), 1))
+    cues = cues.join(totals, "term").withColumn("disclosure", told(_smoothed(F.least("beside", "all"), F.col("all"), share), F.lit(share)))
+    both = scored.select("term", F.lit(ITSELF).alias("does"), "disclosure").union(cues.select("term", F.col("does").cast("int"), "disclosure"))
+    return both.where(F.col("disclosure") >= DISCLOSURE).groupBy("term", "does").agg(F.max("disclosure").alias("disclosure")), table
 
 
 def _marks(batches):
@@ -203,12 +313,19 @@ def _marks(batches):
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _among(hashed: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each hash is one of some, which ascend."""
+    if not len(some):
+        return np.zeros(len(hashed), bool)
+    return some[np.minimum(np.searchsorted(some, hashed), len(some) - 1)] == hashed
+
+
 def _find(shared, keep_text: bool):
-    """Spans of each text: the base patterns' on the first pass, and those of the terms in shared."""
+    """Spans of each text: the base patterns' on the first pass, and those that the terms in shared tell."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
+        terms, table = shared.value
         for batch in batches:
             if "spans" in batch.schema.names:
                 out = [[(s["start"], s["kind"], s["end"]) for s in row] for row in batch.column("spans").to_pylist()]
@@ -218,14 +335,16 @@ def _find(shared, keep_text: bool):
             for i, j in text.chunks(at):
                 part, bounds = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 hashed, w = _terms(part, bounds)
-                place = np.minimum(np.searchsorted(terms, hashed), max(len(terms) - 1, 0))
-                hit = np.flatnonzero(terms[place] == hashed) if len(terms) else place[:0]
+                hit = [(k, 4) for k in np.flatnonzero(_among(hashed, terms[ITSELF])).tolist()]
+                if len(terms[VALUE_AFTER]) or len(terms[VALUE_BEFORE]):
+                    secret = np.flatnonzero(_bits(part, w, table) >= SECRET_BITS)
+                    hit += [(k, 5) for side, a, b in _beside(w, secret) for k in b[_among(hashed[a], terms[side])].tolist()]
                 points = np.concatenate([[0], np.cumsum(text.LEADS[part])])
-                for k in hit.tolist():
+                for k, what in hit:
                     r = int(w.row[k])
                     a, b = (int(points[x] - points[bounds[r]]) for x in (w.start[k], w.end[k]))
-                    if not any(x < b and a < y for x, k0, y in out[i + r] if k0 < 4):
-                        out[i + r].append((a, 4, b))
+                    if not any(x < b and a < y and (k0 < 4 or k0 == what) for x, k0, y in out[i + r]):
+                        out[i + r].append((a, what, b))
             rows = [[{"start": a, "kind": k0, "end": b} for a, k0, b in sorted(spans)] for spans in out]
             names = [n for n in batch.schema.names if n != "spans" and (keep_text or n != "text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, kind)], [*names, "spans"])
@@ -236,16 +355,17 @@ def _find(shared, keep_text: bool):
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, text (if asked for) and spans (start, kind, end): places in code points, kinds as in KINDS, by start and kind.
 
-    Null and empty texts have no spans; copies have the same; rows that repeat an id each keep theirs. A term that
+    Null and empty texts have no spans; copies have the same; rows that repeat an id each keep theirs. A term or secret that
     overlaps a base span isn't reported again. Extra columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    terms = saved(disclosing(docs))
+    terms, table = disclosing(docs)
+    terms = saved(terms)
     passes = max(1, -(-terms.count() // TERMS_A_PASS))
     out = docs.select("doc_id", "text")
     for k in range(passes):
         mine = terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect()  # TERMS_A_PASS rows or so
-        shared = spark.sparkContext.broadcast(np.array(sorted(r.term for r in mine), np.int64))
+        shared = spark.sparkContext.broadcast(([np.array(sorted(r.term for r in mine if r.does == side), np.int64) for side in (ITSELF, VALUE_AFTER, VALUE_BEFORE)], table))
         held = keep_text or k + 1 < passes
         out = out.mapInArrow(_find(shared, held), f"doc_id long, {'text string, ' * held}spans {_SPANS}")
     return out

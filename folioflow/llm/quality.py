@@ -168,7 +168,7 @@ def limits(sketch: DataFrame) -> DataFrame:
         here, up = f"{1 - k}", f"{2 - k}"
         keys = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups[:-1]]
         above = out.select(F.col("feature").alias("f"), *[F.col(g).alias(f"__{g}") for g in groups[:-1]], f"mid{up}", f"reach{up}")
-        found = named(quantiles(finer, groups), here).join(F.broadcast(above), [F.col("feature") == F.col("f"), *keys])  # a row for a feature and language
+        found = named(quantiles(finer, groups), here).join(above, [F.col("feature") == F.col("f"), *keys])
         varied = F.col("feature").isin(VARIED)
         least = F.when(varied, F.greatest(f"reach{here}", LEAST_PART * F.col(f"reach{up}"))).otherwise(F.col(f"reach{here}"))
         blend = lambda value, rest: own(here) * value + (1 - own(here)) * F.col(rest)

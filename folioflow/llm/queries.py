@@ -67,7 +67,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    more = [*map(count, range(4, len(pii.KINDS))), (F.size("spans") > 0).alias("sensitive")]
+    return found.select("doc_id", *map(count, range(4)), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), *more)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,59 @@ def test_disclosing_terms(spark):
     assert {x.text for x in pii.sanitised(docs).where("doc_id = 700").collect()} == {"say <term> here"}
 
 
+def plain_cues(rows):
+    """(cue, does) -> disclosure, term by term."""
+    import math
+
+    word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    found = []
+    steps = Counter()
+    for value in rows:
+        ms = [m for m in word.finditer(value) if len(m[0].encode()) >= pii.TERM_BYTES]
+        found.append(ms)
+        for m in ms:
+            raw = m[0].translate(LOWER).encode()
+            steps.update(zip(b"\0" + raw, raw))
+    out_of = Counter()
+    for (a, _), n in steps.items():
+        out_of[a] += n
+    bits = lambda t: sum(math.log2(out_of[a] + 256) - math.log2(steps[a, b] + 1) for a, b in zip(b"\0" + t, t))
+    beside, values, total, n_values = Counter(), defaultdict(set), Counter(), 0
+    for value, ms in zip(rows, found, strict=True):
+        spans = plain_spans(value)
+        name = [m[0].translate(LOWER) for m in ms]
+        total.update(name)
+        for k, m in enumerate(ms):
+            if bits(name[k].encode()) < pii.SECRET_BITS or any(a < m.end() and m.start() < b for a, _, b in spans):
+                continue
+            n_values += 1
+            for does, j in ((pii.VALUE_AFTER, k - 1), (pii.VALUE_BEFORE, k + 1)):
+                if 0 <= j < len(ms) and max(ms[j].start() - m.end(), m.start() - ms[j].end()) <= pii.CUE_GAP:
+                    beside[name[j], does] += 1
+                    values[name[j], does].add(name[k])
+    p = n_values / sum(total.values())
+    told = {c: 1 - math.log((min(n, total[c[0]]) + pii.PRIOR * p) / (total[c[0]] + pii.PRIOR)) / math.log(p) for c, n in beside.items() if len(values[c]) >= pii.SUPPORT}
+    return {c: x for c, x in told.items() if x >= pii.DISCLOSURE}
+
+
+def test_secrets_beside_cues(spark):
+    r = random.Random(8)
+    word = lambda n=6: "".join(r.choice("abcdefgh") for _ in range(n))
+    some = lambda n: " ".join(word() for _ in range(n))
+    key = lambda: "".join(r.choice("0123456789ABCDEFxyz") for _ in range(32))
+    rows = [f'{some(12)} token = "{key()}" {some(9)}' for _ in range(12)] + [f"{some(7)} {key()} (serial) {some(9)}" for _ in range(12)] + [f"{some(4)} jo.{word()}@mail.ex.org {some(4)}" for _ in range(5)]
+    rows += [f"{some(30)} the {word(30)} {some(3)}" for _ in range(3)] + [f"the {some(30)}" for _ in range(400)] + [f"{some(3)} copyright {'k9' * 20} {some(1)}"] * 9
+    rows += ["say token in a meeting", f"here {key()} alone"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = plain_cues(rows)
+    assert set(want) == {("token", pii.VALUE_AFTER), ("serial", pii.VALUE_BEFORE)}
+    got = {(x.term, x.does): x.disclosure for x in pii.disclosing(docs)[0].collect()}
+    assert got.keys() == {(int(pii._hash([c])[0]), d) for c, d in want}
+    assert all(abs(got[int(pii._hash([c])[0]), d] - x) < 1e-5 for (c, d), x in want.items())
+    spans = {x.doc_id: [rows[x.doc_id][s["start"] : s["end"]] for s in x.spans if s["kind"] == 5] for x in pii.find(docs).collect()}
+    assert all(len(spans[k]) == 1 and len(spans[k][0]) == 32 for k in range(24)) and not any(spans[k] for k in range(24, len(rows)))
+
+
 def test_terms_in_a_fixed_wording_and_on_other_lines(spark):
     r = random.Random(3)
     some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
