@@ -11,8 +11,10 @@ documents that agree on a band share a bucket. The work then is
    member keeps the leader to which the joint likelihood of both registers
    gives the highest similarity, so there is one pair a document at most;
 4. those pairs are confirmed on full sets, and give first components;
-5. buckets whose members are still in several components are compared on full
-   sets by an inverted index, in blocks, and return the missing links only as a
+5. in buckets whose members are still in several components, members outside the largest
+   one are compared with all others on registers, in blocks. Members of different components that
+   agree on LEAST_SAME registers are compared on full
+   sets by an inverted index, and return the missing links only as a
    spanning forest. So a pair that shares a bucket is either connected or was
    compared, and no step emits the pairs of a group.
 """
@@ -36,8 +38,10 @@ REGISTERS = BAND * BANDS
 BASE, RATE = 1.2, 20.0
 #: Five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.70
-#: Documents of a bucket that are compared at once.
-BLOCK = 2048
+#: Documents of a bucket that are compared at once, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 1 << 25
+#: Registers on which two documents agree to be compared on full sets. At the threshold they agree on one with a probability of 0.862, so on fewer with one of 5e-9.
+LEAST_SAME = 107
 _seed = np.random.default_rng(88172645463325252)
 _MUL = _seed.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _seed.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -169,11 +173,35 @@ def linked(both: int, na: int, nb: int) -> bool:
     return 100 * both >= PERCENT * (na + nb - both)
 
 
+def _candidates(key, pdf):
+    """Rows that take part in a pair of different components, of which one is foreign (not of the bucket's main component), alike in their registers.
+
+    A pair is looked at only in the first band on which it agrees.
+    """
+    band = int(key[0]) >> (8 * BAND)
+    a, b = pdf[pdf["foreign"]], pdf[~pdf["foreign"]]
+    regs = np.frombuffer(b"".join(b["registers"]), np.uint8).reshape(-1, REGISTERS)
+    size, root = b["n_shingles"].to_numpy(), b["root"].to_numpy()
+    used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for k, (mine, n, r) in enumerate(zip(a["registers"], a["n_shingles"], a["root"], strict=True)):
+        near = np.flatnonzero((root != r) & (100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)))
+        same = regs[near] == np.frombuffer(mine, np.uint8)
+        alike = same.sum(1) >= LEAST_SAME
+        near, same = near[alike], same[alike]
+        near = near[~same.reshape(-1, BANDS, BAND)[:, :band].all(2).any(1)]
+        used_b[near] = True
+        used_a[k] = len(near) > 0
+    import pandas as pd
+
+    out = pd.concat([a[used_a], b[used_b]])[["bucket", "i", "k", "doc", "root"]].drop_duplicates("doc")
+    return out.astype({"i": "int32", "k": "int32"})
+
+
 def _block_links(key, pdf):
-    """Links that join components among the rows of one or two blocks: an inverted index gives every intersection."""
+    """Links that join components among the rows of a block: an inverted index gives every intersection."""
     import pandas as pd
 
-    pdf = pdf.drop_duplicates("doc").sort_values("doc", ignore_index=True)
+    pdf = pdf.drop_duplicates(["doc", "set"]).sort_values("doc", ignore_index=True)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
     size = np.array([len(x) for x in sets])
     comp, parent = pdf["root"].tolist(), {}
@@ -207,12 +235,32 @@ def _block_links(key, pdf):
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _open_pairs(rooted: DataFrame) -> DataFrame:
+    """(bucket, i, k, doc, root): rows to compare on full sets, by bucket, block i of foreign rows and block k of all its rows.
+
+    Rows of the main component don't meet each other, so a bucket's rows are copied once for each block of foreign ones.
+    """
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    main = F.max_by("root", F.struct("n", (-F.col("root")).alias("r")))
+    whole = parts.groupBy("bucket").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    share = (F.col("n") - F.col("most")) / F.col("n")
+    whole = whole.select("bucket", "main", blocks(F.col("n"), F.col("bytes")).alias("all"), blocks(share * F.col("n"), share * F.col("bytes")).alias("some"))
+    rows = rooted.join(whole, "bucket").withColumn("h", F.xxhash64("doc"))
+    at = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    kept = ["bucket", "doc", "root", "n_shingles", "registers"]
+    foreign = rows.where("root <> main").select(*kept, F.lit(True).alias("foreign"), at("some").alias("i"), each("all").alias("k"))
+    every = rows.select(*kept, F.lit(False).alias("foreign"), at("all").alias("k"), each("some").alias("i")).select(foreign.columns)
+    return saved(foreign.union(every).groupBy("bucket", "i", "k").applyInPandas(_candidates, "bucket long, i int, k int, doc long, root long"))
+
+
 def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of distinct 5-word shingles (A-Z lower-cased; a text of fewer words is one shingle)
     have 100 * intersection >= 85 * union are linked; component_id is the least doc_id reachable. Texts that
-    are null or without a word have no shingle and stand alone. Repeated doc_ids are one node. Two documents
+    are null or without a word have no shingle and stand alone. Rows that repeat a doc_id are one node with the links of all their texts. Two documents
     at the threshold miss each other in all 26 bands with a probability of 5e-6, and less above it.
 
     Empty tables give empty results; extra columns are not read. filter_bytes bounds the broadcast id filter: beyond what it
@@ -252,12 +300,10 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
         .mapInArrow(_confirmed, "a long, b long")
     )
     root = components(first)
-    rooted = members.select("bucket", "doc", "n").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted = members.select("bucket", "doc").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    parts = rooted.join(open_, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("doc"), "parts"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parts = parts.select("doc", "root", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("k"))
-    more = parts.join(sets, "doc").groupBy("bucket", "i", "k").applyInPandas(_block_links, "a long, b long")
+    rooted = saved(rooted.join(open_, "bucket").join(reps.select("doc", "n_shingles", "registers"), "doc"))
+    more = _open_pairs(rooted).join(sets, "doc").groupBy("bucket", "i", "k").applyInPandas(_block_links, "a long, b long")
     merged = components(more)
     final = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     # a node of the later components is a root of the first ones, so it has no row there
