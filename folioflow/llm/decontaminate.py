@@ -4,8 +4,8 @@ The automaton accepts every run of words of every item. Reading a document's
 words through it gives, at each word, the longest run ending there that some
 item has. Only stretches whose neighbouring words also stand together in an
 item are read that way; a vectorised look-up of word pairs finds them, and it
-can lose none. Automata are broadcast in blocks of at most BLOCK_WORDS item words,
-one block a pass, so what is broadcast stays bounded however many items there are.
+can lose none. Automata are broadcast in blocks of at most BLOCK_WORDS item words, one block a pass. Between passes texts
+and findings go to the shared folder, so the driver and a worker hold one automaton at a time, however many items there are.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import text
+from folioflow.llm.scratch import saved
 
 WINDOW, BLOCK_WORDS = 10, 200_000
 FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<long>"
@@ -189,13 +190,16 @@ def item_words(values: list[str | None]) -> list[list[int]]:
     return [hashed[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Automaton]:
-    """Automata of blocks of the items (item_id, text), of about BLOCK_WORDS words each."""
+def automata(benchmark: DataFrame, window: int = WINDOW) -> Iterator[tuple[Automaton, bool]]:
+    """Automata of blocks of the items (item_id, text), of about BLOCK_WORDS words each; and whether it is the last."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its separator take two bytes at least
+    items = benchmark.where("item_id is not null").select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
+    if blocks > 1:  # sorted, so that reading a block skips the others
+        items = saved(items.repartitionByRange("block").sortWithinPartitions("block"))
     for k in range(blocks):
-        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).select("item_id", "text").collect()
-        yield Automaton([(r.item_id, w) for r, w in zip(rows, item_words([r.text for r in rows]), strict=True)], window)
+        rows = items.where(F.col("block") == k).select("item_id", "text").collect()
+        yield Automaton([(r.item_id, w) for r, w in zip(rows, item_words([r.text for r in rows]), strict=True)], window), k + 1 == blocks
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -205,19 +209,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     of fewer words. Null or empty texts and items have no words; an empty benchmark hits nothing; items without an
     id are not used, repeated ones count once by id; repeated documents each keep a row. Extra columns are not read.
     """
-    blocks = list(_broadcast(docs, benchmark, window))
-    out, schema = docs.select("doc_id", *keep, "text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
-    for k, shared in enumerate(blocks):
-        more = k + 1 < len(blocks)
-        out = out.mapInArrow(_scan(shared, more), f"{schema}{', text string' * more}, {FOUND}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
+    return _scanned(docs.select("doc_id", *keep, "text"), benchmark, window, schema, False)
+
+
+def _scanned(out: DataFrame, benchmark: DataFrame, window: int, schema: str, keep_text: bool) -> DataFrame:
+    """Rows (of schema, and text) with the findings of all automata, one a pass."""
+    for automaton, last in automata(benchmark, window):
+        shared = out.sparkSession.sparkContext.broadcast(automaton)
+        held = keep_text or not last
+        out = out.mapInArrow(_scan(shared, held), f"{schema}{', text string' * held}, {FOUND}")
+        if not last:
+            out = saved(out)
+            shared.destroy()
     return out
 
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame, window: int):
-    for a in automata(benchmark, window):
-        yield docs.sparkSession.sparkContext.broadcast(a)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words of their spans."""
     for batch in batches:
@@ -245,9 +252,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     rest = [c for c in docs.columns if c != "text"]
     out = docs.select(F.struct(*rest).alias("rest"), "text")
-    schema = f"rest {out.schema['rest'].dataType.simpleString()}, text string"
-    for shared in _broadcast(docs, benchmark, window):
-        out = out.mapInArrow(_scan(shared, True), f"{schema}, {FOUND}")
+    rest_schema = f"rest {out.schema['rest'].dataType.simpleString()}"
+    schema = f"{rest_schema}, text string"
+    out = _scanned(out, benchmark, window, rest_schema, True)
     out = out.where(F.col("n_hit") <= most_coverage * F.col("n_words")).mapInArrow(_cut, schema).select("rest.*", "text")
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
