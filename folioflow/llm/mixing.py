@@ -17,18 +17,19 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.scratch import saved
 from folioflow.llm.sharding import NUMBERED, size_of
 
 BLOCK_BYTES = 1 << 16
-MOST_SOURCES = 20_000
 #: Blocks of a schedule in an Arrow batch.
 PLANNED = 1 << 14
 #: No source makes up more than this share of the mixture, unless all do.
 MOST_SHARE = 0.25
+#: The block number of the row of a plan that says how many bytes of a source are scheduled.
+END = -1
 
 
 def parts(weights: dict[str | None, float]) -> dict[str | None, int]:
@@ -62,67 +63,75 @@ def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]
     return list(slots(shares, shares))
 
 
-def _planned(shares: dict[str | None, int], blocks: dict[str | None, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            rows = slots(shares, blocks)
-            while part := list(itertools.islice(rows, PLANNED)):
-                source, block, slot = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["s", "j", "slot"])
+def at_top(largest: list[tuple[str | None, int]], total: int, most: Fraction) -> list[str | None]:
+    """Sources that natural shares would put above `most`, after what is above has gone to the others; largest ones come first."""
+    out: list[str | None] = []
+    rest = total
+    for source, size in largest:
+        if size * (1 - most * len(out)) <= most * rest:
+            break
+        out.append(source)
+        rest -= size
+    return out
 
-    return run
 
+def capped(sizes: dict[str | None, int], top: list[str | None], most: Fraction) -> dict[str | None, int]:
+    """Shares as whole numbers: `most` for each source at the top, the rest to the others in proportion to their sizes."""
+    rest = sum(v for k, v in sizes.items() if k not in top)
+    return {k: most.numerator * rest if k in top else v * (most.denominator - most.numerator * len(top)) for k, v in sizes.items()}
 
-def capped(sizes: dict[str | None, int], most: float = MOST_SHARE) -> dict[str | None, float]:
-    """Natural shares, none above `most`; what is above goes to the others in proportion."""
-    most = max(most, 1 / max(1, len(sizes)))
-    at_top: set[str | None] = set()
-    while True:
-        rest = sum(v for k, v in sizes.items() if k not in at_top)
-        scale = (1 - most * len(at_top)) / rest if rest else 0
-        over = {k for k, v in sizes.items() if k not in at_top and v * scale > most + 1e-12}
-        if not over:
-            return {k: most if k in at_top else v * scale for k, v in sizes.items() if v}
-        at_top |= over
 
+def _planned(weights: dict[str | None, float] | None, top: list[str | None], most: Fraction, block_bytes: int):
+    """(s, j, slot) of every block, from rows (source, bytes); and (s, END, bytes scheduled) of every source that has weight."""
 
-def natural(docs: DataFrame) -> dict[str | None, float]:
-    """Bytes of each source, as mixture() counts them."""
-    return {r.source: float(r.bytes) for r in docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("bytes")).limit(MOST_SOURCES + 1).collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[str | None, int] = {}
+        for batch in batches:
+            sizes.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if weights is None:
+            shares = capped(sizes, top, most)
+        else:
+            shares = parts({k: w for k, w in weights.items() if w > 0 and k in sizes})
+        horizon = min((Fraction(sizes[k], n) for k, n in shares.items()), default=Fraction(0))  # bytes of the mixture for a part of weight
+        ends = ((k, END, math.ceil(horizon * n)) for k, n in shares.items())
+        # a row begins before the source's end, so no block does after it
+        rows = itertools.chain(ends, slots(shares, {k: -(-sizes[k] // block_bytes) for k in shares}))
+        while part := list(itertools.islice(rows, PLANNED)):
+            source, block, slot = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], ["s", "j", "slot"])
+
+    return run
 
 
-def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, most: float = MOST_SHARE) -> DataFrame:
     """doc_id, source, block, slot and scheduled of each row.
 
     A source's rows, in an order that depends on doc_id alone, fill blocks of block_bytes. Sorted by slot they are the
     mixture, in which each source keeps to its weight within a block until it ends. scheduled is true up to the
     point at which the first source ends, and false for rows beyond it: they are the surplus of sources that have
-    more than their weight. Without weights, natural shares hold, none above MOST_SHARE; sources whose
-    weight is missing or 0 are never scheduled and have no slot. A null source is a source; a null text has one byte, the separator
+    more than their weight. Without weights, natural shares hold, none above `most`; sources whose
+    weight is missing or 0 are never scheduled and have no slot. Any number of sources is possible: the task that works the schedule
+    out holds one entry for each. A null source is a source; a null text has one byte, the separator
     that every row counts; rows that repeat an id come in an arbitrary order; an empty table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
     slim = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("h")))
     tasks = max(1, -(-slim.count() // NUMBERED))
     slim = slim.withColumn("task", F.floor(F.col("h") / (2.0**64 / tasks)))  # in the order of h
     cells = saved(slim.groupBy("source", "task").agg(F.sum("size").alias("bytes")))
-    sizes = {r.source: r.bytes for r in cells.groupBy("source").agg(F.sum("bytes").alias("bytes")).limit(MOST_SOURCES + 1).collect()}
-    if weights is None:
-        weights = capped(sizes)
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    shares = parts({k: w for k, w in weights.items() if w > 0 and k in sizes})
-    horizon = min((Fraction(sizes[k], n) for k, n in shares.items()), default=Fraction(0))  # bytes of the mixture for a part of weight
-    # a row begins before the source's end, so no block does after it
-    plan = saved(spark.range(1, numPartitions=1).mapInArrow(_planned(shares, {k: -(-sizes[k] // block_bytes) for k in shares}), "s string, j long, slot long"))
-    ends = F.broadcast(spark.createDataFrame([(k, math.ceil(horizon * n)) for k, n in shares.items()], "s string, end long"))
+    sizes = saved(cells.groupBy("source").agg(F.sum("bytes").alias("bytes")))
+    all_ = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    share = max(Fraction(most).limit_denominator(1000), Fraction(1, max(1, all_.n)))
+    largest = [(r.source, r.bytes) for r in sizes.orderBy(F.desc("bytes"), "source").limit(int(1 / share) + 1).collect()] if weights is None and share * max(1, all_.n) > 1 else []
+    plan = saved(sizes.coalesce(1).mapInArrow(_planned(weights, at_top(largest, all_.bytes, share), share, block_bytes), "s string, j long, slot long"))
+    ends = plan.where(F.col("j") == END).select(F.col("s").alias("e"), F.col("slot").alias("end"))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("task").alias("t"), "before")
+    cells = cells.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    cells = cells.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").select(F.col("source").alias("s"), F.col("task").alias("t"), "before", "end")
     inside = Window.partitionBy("source", "task").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     out = slim.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t"))).drop("s", "t")
     out = out.withColumn("first", F.col("at") + F.col("before")).drop("at")
-    out = out.withColumn("block", F.floor(F.col("first") / block_bytes)).join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    out = out.withColumn("block", F.floor(F.col("first") / block_bytes))
     out = out.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")), "left")
     return out.select("doc_id", "source", "block", "slot", F.coalesce(F.col("first") < F.col("end"), F.lit(False)).alias("scheduled"))
 
@@ -137,7 +146,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     while slot in docs.columns:
         slot += "_"
     whole = weights is None
-    plan = mixture(docs, natural(docs) if whole else weights, block_bytes)
+    plan = mixture(docs, weights, block_bytes, 1.0)
     plan = plan.where(F.lit(whole) | F.col("scheduled")).groupBy("doc_id").agg(F.min("slot").alias(slot))
     out = docs.join(plan, "doc_id", "left" if whole else "inner").withColumn(slot, F.coalesce(slot, F.lit((1 << 63) - 1)))
     return out.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").select(*docs.columns)

@@ -12,9 +12,11 @@ BATCH_ROWS, ROWS = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder, but on one machine only: others wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -511,8 +511,35 @@ def test_long_mixture_keeps_to_exact_weights(spark):
 
 
 def test_caps_of_shares():
-    got = mixing.capped({"hot": 900, "a": 50, "b": 30, "c": 20}, 0.4)
-    assert got["hot"] == 0.4 and abs(sum(got.values()) - 1) < 1e-9 and abs(got["a"] / got["b"] - 50 / 30) < 1e-9 or got["a"] == 0.4
+    from fractions import Fraction
+
+    def shares(sizes, most):
+        top = mixing.at_top(sorted(sizes.items(), key=lambda x: -x[1]), sum(sizes.values()), most)
+        got = mixing.capped(sizes, top, most)
+        return {k: Fraction(v, sum(got.values())) for k, v in got.items()}
+
+    got = shares({"hot": 900, "a": 50, "b": 30, "c": 20}, Fraction(2, 5))
+    assert got["hot"] == Fraction(2, 5) and got["a"] / got["b"] == Fraction(5, 3)
+    assert shares({"a": 5, "b": 5}, Fraction(1, 2)) == {"a": Fraction(1, 2), "b": Fraction(1, 2)}
+    assert set(shares({"a": 97, "b": 1, "c": 1, "d": 1}, Fraction(1, 4)).values()) == {Fraction(1, 4)}
+    assert shares({"a": 6, "b": 3}, Fraction(1)) == {"a": Fraction(2, 3), "b": Fraction(1, 3)}
+
+
+def test_very_many_sources(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('s', id % 25000) AS source", "repeat('x', 9) AS text")
+    got = sorted((r.slot, r.source) for r in mixing.mixture(docs, block_bytes=10).collect())
+    assert len({s for s, _ in got}) == 60_000 and max(Counter(s for _, s in got[:25_000]).values()) <= 2
+
+
+def test_uneven_weights_keep_to_a_block(spark):
+    """Weights of which no short period is a multiple, over several hundred of their periods in ten thousands."""
+    weights = {"a": 0.9, "b": 0.0999, "c": 0.0001}
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 9 THEN 'a' WHEN id % 1000 = 999 THEN 'c' ELSE 'b' END AS source", "repeat('x', 9) AS text")
+    given_, total = Counter(), sum(weights.values())
+    for slot, source in sorted((r.slot, r.source) for r in mixing.mixture(docs, weights, block_bytes=10).where("scheduled").collect()):
+        given_[source] += 1
+        assert all(abs(given_[k] - (slot + 1) * w / total) < 1 + 1e-6 for k, w in weights.items())
+    assert sum(given_.values()) > 90_000
 
 
 def test_mixture(spark, monkeypatch):
