@@ -26,7 +26,7 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 @dataclass(frozen=True)
 class Layout:
-    """How records with just these field paths become turns.
+    """How records that have these field paths become turns.
 
     each: the list field that holds turns, with the names of their role and text; or turns: (role, fields) pairs, whose
     non-empty texts are joined by a blank line; or row: the columns of conversation, turn, role and text of
@@ -39,6 +39,13 @@ class Layout:
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     row: tuple[str, str, str, str] | None = None
 
+    def prints(self) -> Iterator[tuple[frozenset[str], str]]:
+        """Paths that tell the layout, with their fingerprint; those of an empty list of turns too."""
+        yield self.paths, fingerprint(self.paths)
+        if self.each:
+            bare = frozenset(p for p in self.paths if "[]" not in p) | {f"{self.each[0]}[]"}
+            yield bare, fingerprint(bare)
+
 
 def _pair(name: str, ask: str, answer: str) -> list[Layout]:
     turns = (("user", (ask,)), ("assistant", (answer,)))
@@ -68,10 +75,6 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-_BY_PRINT = {fingerprint(x.paths): x for x in LAYOUTS}
-_KNOWN = frozenset().union(*(x.paths for x in LAYOUTS))
-
-
 def value_paths(value: object, at: str = "") -> set[str]:
     """Nested field paths of a JSON value; [] stands for any element of a list."""
     if isinstance(value, dict):
@@ -90,9 +93,16 @@ def type_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
-def layout_of(paths: set[str]) -> Layout | None:
-    """The layout of a fingerprint; paths that no layout has are metadata and don't count."""
-    return _BY_PRINT.get(fingerprint(paths & _KNOWN))
+#: Layouts by the number of their paths, most first, each with the paths that it looks for and their fingerprint.
+_LOOKED_FOR = sorted(((paths, mark, x) for x in LAYOUTS for paths, mark in x.prints()), key=lambda look: -len(look[0]))
+
+
+def layout_of(paths: set[str], rows: bool = False) -> Layout | None:
+    """The layout (of tables with a row a turn, or of records) whose fingerprint the paths have among those that it looks for; of several the one with most paths.
+
+    All other paths are metadata and don't count.
+    """
+    return next((x for wanted, mark, x in _LOOKED_FOR if bool(x.row) == rows and fingerprint(paths & wanted) == mark), None)
 
 
 def _text(value: object) -> str:
@@ -102,7 +112,7 @@ def _text(value: object) -> str:
 def record_turns(record: object) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout name and (role, text) turns of a parsed record; (None, []) if no layout fits."""
     found = layout_of(value_paths(record)) if isinstance(record, dict) else None
-    if found is None or found.row:
+    if found is None:
         return None, []
     out = []
     if found.each:
@@ -135,16 +145,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def json_turns(records: DataFrame) -> DataFrame:
     """Turns of JSON records (conv_id, json), each by its own fingerprint, with the layout's name.
 
-    A record without a known layout, or that isn't JSON, gives one row with null layout and turn; drop or
-    inspect those. A known layout without turns gives one row with a null turn.
+    A record without a known layout, or that isn't JSON, gives one row with null layout, turn, role and text, to be
+    inspected. A known layout without turns gives one row with its name and nulls. formatted() leaves both out.
     """
     return records.select("conv_id", "json").mapInArrow(_parse, "conv_id long, layout string, turn long, role string, text string")
 
 
 def table_turns(table: DataFrame) -> DataFrame:
     """Turns of a table with a row a turn, as its schema's fingerprint says; other layouts as structs go by json_turns."""
-    found = layout_of(type_paths(table.schema))
-    if found is None or not found.row:
+    found = layout_of(type_paths(table.schema), rows=True)
+    if found is None:
         raise ValueError(f"no layout of turn rows has the fields {sorted(type_paths(table.schema))}")
     conv, turn, role, text = found.row
     return table.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
@@ -162,14 +172,14 @@ def formatted(turns: DataFrame) -> DataFrame:
     """Each turn in the template: conv_id, turn, piece, loss_start, loss_end.
 
     A conversation's formatted text is its pieces, joined in order of turn, then role and text. The mask
-    (code points within the piece, end exclusive; null for other roles) covers each assistant text. Null roles and texts are empty;
-    repeated rows are repeated turns. A piece a row keeps conversations of any length within bounded memory.
+    (code points within the piece, end exclusive; null for other roles) covers each assistant text. Null roles and texts are empty; a row
+    without turn, role and text is none (see json_turns). Repeated rows are repeated turns. A piece a row keeps conversations of any length within bounded memory.
     """
     role = F.replace(_escaped(F.col("role")), F.lit("\n"), F.lit("\\n"))
     head = F.concat(F.lit(BEGIN), role, F.lit("\n"))
     piece = F.concat(head, _escaped(F.col("text")), F.lit(f"{END}\n"))
     learned = F.col("role") == LEARNED
-    return turns.select(
+    return turns.where("turn is not null or role is not null or text is not null").select(
         "conv_id", "turn", piece.alias("piece"), F.when(learned, F.length(head)).alias("loss_start"), F.when(learned, F.length(piece) - len(END) - 1).alias("loss_end"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -314,6 +314,19 @@ def test_layouts(spark):
     assert got[4] == got[5] == got[6] == [(None, None, None, None)]
 
 
+def test_layouts_beside_metadata(spark):
+    rows = [(1, '{"conv_id": 1, "prompt": "a", "response": "b"}'), (2, '{"prompt": "a", "response": "b", "text": "c", "turn": 4, "role": "x"}'), (3, '{"messages": []}'),
+            (4, '{"messages": [], "system": "s", "id": {"text": 3}}'), (5, '{"instruction": "i", "input": "n", "output": "o", "role": "r"}'), (6, '{"text": "only"}'), (7, '["messages"]')]
+    turns = chat.json_turns(spark.createDataFrame(rows, "conv_id long, json string"))
+    got = defaultdict(list)
+    for r in turns.collect():
+        got[r.conv_id].append((r.layout, r.role, r.text))
+    assert got[1] == got[2] == [("prompt_response", "user", "a"), ("prompt_response", "assistant", "b")]
+    assert got[3] == [("messages", None, None)] and got[4] == [("messages_system", "system", "s")]
+    assert got[5] == [("instruction_input_output", "user", "i\n\nn"), ("instruction_input_output", "assistant", "o")] and got[6] == got[7] == [(None, None, None)]
+    assert {r.conv_id: r.n_turns for r in chat.digests(chat.formatted(turns)).collect()} == {1: 2, 2: 2, 4: 1, 5: 2}
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abdeginorstu") for _ in range(r.randint(3, 8)))
