@@ -21,6 +21,8 @@ documents that agree on a band share a bucket. The work then is
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,47 +175,82 @@ def linked(both: int, na: int, nb: int) -> bool:
     return 100 * both >= PERCENT * (na + nb - both)
 
 
-def _candidates(key, pdf):
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of rows, which come sorted by keys, and where each group begins, the end last."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+        if held is None:
+            return
+        held = held.combine_chunks()
+        columns = [held[k].to_numpy() for k in keys]
+        begins = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1).tolist()]
+        if batch is None:
+            yield held, [*begins, held.num_rows]
+        elif len(begins) > 1:
+            yield held.slice(0, begins[-1]), begins
+            held = held.slice(begins[-1])
+
+
+GROUP = ["bucket", "i", "k"]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that take part in a pair of different components, of which one is foreign (not of the bucket's main component), alike in their registers.
 
     A pair is looked at only in the first band on which it agrees.
     """
-    band = int(key[0]) >> (8 * BAND)
-    a, b = pdf[pdf["foreign"]], pdf[~pdf["foreign"]]
-    regs = np.frombuffer(b"".join(b["registers"]), np.uint8).reshape(-1, REGISTERS)
-    size, root = b["n_shingles"].to_numpy(), b["root"].to_numpy()
-    used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for k, (mine, n, r) in enumerate(zip(a["registers"], a["n_shingles"], a["root"], strict=True)):
-        near = np.flatnonzero((root != r) & (100 * np.minimum(size, n) >= PERCENT * np.maximum(size, n)))
-        same = regs[near] == np.frombuffer(mine, np.uint8)
-        alike = same.sum(1) >= LEAST_SAME
-        near, same = near[alike], same[alike]
-        near = near[~same.reshape(-1, BANDS, BAND)[:, :band].all(2).any(1)]
-        used_b[near] = True
-        used_a[k] = len(near) > 0
-    import pandas as pd
-
-    out = pd.concat([a[used_a], b[used_b]])[["bucket", "i", "k", "doc", "root"]].drop_duplicates("doc")
-    return out.astype({"i": "int32", "k": "int32"})
-
-
-def _block_links(key, pdf):
-    """Links that join components among the rows of a block: an inverted index gives every intersection."""
-    import pandas as pd
-
-    pdf = pdf.drop_duplicates(["doc", "set"]).sort_values("doc", ignore_index=True)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    for table, begins in _whole_groups(batches, GROUP):
+        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        foreign, size, root, doc = (table[c].to_numpy() for c in ("foreign", "n_shingles", "root", "doc"))
+        band = table["bucket"].to_numpy() >> (8 * BAND)
+        used = np.zeros(len(doc), bool)
+        for begin, end in zip(begins, begins[1:], strict=False):
+            own = np.arange(begin, end)
+            a, b = own[foreign[begin:end]], own[~foreign[begin:end]]
+            step = max(1, (1 << 16) // max(1, len(b)))
+            for at in range(0, len(a), step):
+                some = a[at : at + step, None]
+                fits = (root[some] != root[b]) & (100 * np.minimum(size[some], size[b]) >= PERCENT * np.maximum(size[some], size[b]))
+                x, y = np.nonzero(fits)
+                x, y = some[x, 0], b[y]
+                same = regs[x] == regs[y]
+                alike = (same.sum(1) >= LEAST_SAME) & ~same.reshape(-1, BANDS, BAND)[:, : band[begin]].all(2).any(1)
+                used[x[alike]] = used[y[alike]] = True
+        yield table.select([*GROUP, "doc", "root"]).filter(pa.array(used)).combine_chunks().to_batches()[0] if used.any() else pa.RecordBatch.from_pylist([], table.select([*GROUP, "doc", "root"]).schema)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join components among the rows of each block."""
+    for table, begins in _whole_groups(batches, GROUP):
+        doc, root = table["doc"].to_numpy(), table["root"].to_numpy()
+        found: list[tuple[int, int]] = []
+        for begin, end in zip(begins, begins[1:], strict=False):
+            sets = [np.frombuffer(x, np.uint64) for x in table["set"].slice(begin, end - begin).to_pylist()]
+            seen: dict[tuple[int, bytes], int] = {}
+            for k, s in enumerate(sets):  # a row in both roles comes twice
+                seen.setdefault((int(doc[begin + k]), s.tobytes()), k)
+            kept = list(seen.values())
+            found += joining([sets[k] for k in kept], [int(root[begin + k]) for k in kept])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def joining(sets: list[np.ndarray], comp: list[int]) -> list[tuple[int, int]]:
+    """Pairs of components that linked sets join, as a forest: an inverted index gives every intersection."""
     size = np.array([len(x) for x in sets])
-    comp, parent = pdf["root"].tolist(), {}
+    parent: dict[int, int] = {}
 
-    def top(x):
+    def top(x: int) -> int:
         while parent.get(x, x) != x:
             parent[x] = parent.get(parent[x], parent[x])
             x = parent[x]
         return x
 
-    most = pdf["root"].value_counts()
-    main = most.index[0]
+    main = Counter(comp).most_common(1)[0][0]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
@@ -231,8 +268,12 @@ def _block_links(key, pdf):
             a, b = top(root), top(comp[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((comp[i], comp[j]))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out.append((root, comp[j]))
+    return out
+
+
+def _in_groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
 def _open_pairs(rooted: DataFrame) -> DataFrame:
@@ -252,7 +293,7 @@ def _open_pairs(rooted: DataFrame) -> DataFrame:
     kept = ["bucket", "doc", "root", "n_shingles", "registers"]
     foreign = rows.where("root <> main").select(*kept, F.lit(True).alias("foreign"), at("some").alias("i"), each("all").alias("k"))
     every = rows.select(*kept, F.lit(False).alias("foreign"), at("all").alias("k"), each("some").alias("i")).select(foreign.columns)
-    return saved(foreign.union(every).groupBy("bucket", "i", "k").applyInPandas(_candidates, "bucket long, i int, k int, doc long, root long"))
+    return saved(_in_groups(foreign.union(every)).mapInArrow(_candidates, "bucket long, i int, k int, doc long, root long"))
 
 
 def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
@@ -303,7 +344,7 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     rooted = members.select("bucket", "doc").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rooted = saved(rooted.join(open_, "bucket").join(reps.select("doc", "n_shingles", "registers"), "doc"))
-    more = _open_pairs(rooted).join(sets, "doc").groupBy("bucket", "i", "k").applyInPandas(_block_links, "a long, b long")
+    more = _in_groups(_open_pairs(rooted).join(sets, "doc")).mapInArrow(_block_links, "a long, b long")
     merged = components(more)
     final = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     # a node of the later components is a root of the first ones, so it has no row there
