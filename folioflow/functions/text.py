@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,21 +10,33 @@ from pyspark.sql import functions as F
 
 from folioflow import config
 
-NONE = F.lit
+#: Characters that Python takes for white space, as a part of a character class and as such.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at its ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(_SPACES))
 
 
 def words(c: Column | str) -> Column:
     """Array of maximal runs without white space; empty for blank texts."""
-    return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != "")
+    t = strip(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE}]+"))
+
+
+def n_words(c: Column | str) -> Column:
+    return count(c, f"[^{SPACE}]+")
 
 
 def count(c: Column | str, pattern: str) -> Column:
@@ -42,53 +55,84 @@ def ratio(top: Column, bottom: Column) -> Column:
 # quality of extracted text
 
 
-def quality_parts(c: Column | str) -> dict[str, Column]:
-    c = col(c)
-    w = words(c)
-    return {
-        "special": ratio(count(c, r"""(?U)[^\p{L}\p{N}_\s.,;:!?'"()-]"""), F.length(c)),
-        "single": ratio(F.size(F.filter(w, lambda x: (F.length(x) == 1) & ~x.rlike(r"^\p{Nd}$"))), F.size(w)),
-        "repeats": count(c, r"(.)\1{4,}"),
-        "vowels": ratio(count(c, f"[{config.VOWELS}]"), F.length(c)),
-        "word_length": ratio(F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x)), F.size(w)),
-    }
+def single_spaced(c: Column | str) -> Column:
+    """Words with one space between them."""
+    return F.regexp_replace(strip(c), f"[{SPACE}]+", " ")
 
 
-def _too_short(c: Column) -> Column:
-    return c.isNull() | (F.length(strip(c)) < config.SHORTEST_TEXT)
+def _spaced_counts(t: Column) -> tuple[Column, Column]:
+    """Words of a single-spaced text, and characters in words."""
+    solid = F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return F.when(solid == 0, 0).otherwise(F.length(t) - solid + 1), solid
 
 
-def quality_score(c: Column | str) -> Column:
-    """0 (garbled, or hardly any text) to 1."""
+def quality_parts(c: Column | str) -> Column:
+    """struct(short, chars, words, special, single, repeats, vowels, word_length); the text is read once for each."""
     c = col(c)
-    p = quality_parts(c)
+    whole = F.length(c)
+
+    def parts(t: Column) -> Column:
+        n, solid = _spaced_counts(t)
+        rare = F.regexp_replace(t, r"""[A-Za-z0-9_.,;:!?'"() \-]+""", "")  # what is left is short
+        return F.struct(
+            (F.length(strip(c)) < config.SHORTEST_TEXT).alias("short"),
+            whole.alias("chars"),
+            n.alias("words"),
+            ratio(count(rare, r"[^\p{L}\p{N}]"), whole).alias("special"),
+            ratio(count(t, r"(?:^| )[^ \p{Nd}](?= |$)"), n).alias("single"),
+            count(c, r"(.)\1{4,}").alias("repeats"),
+            ratio(whole - F.length(F.translate(c, config.VOWELS, "")), whole).alias("vowels"),
+            ratio(solid, n).alias("word_length"),
+        )
+
+    return let(single_spaced(c), parts)
+
+
+def _score(p: Column) -> Column:
     lost = 2.0 * p["special"] + 1.5 * p["single"] + F.least(F.lit(0.3), 0.1 * p["repeats"].cast("double")) + F.when(p["vowels"] < 0.1, F.lit(0.2)).otherwise(F.lit(0.0))
-    return F.when(_too_short(c), F.lit(0.0)).otherwise(clamp(1.0 - lost))
+    return F.when(p["chars"].isNull() | p["short"], F.lit(0.0)).otherwise(clamp(1.0 - lost))
 
 
-def quality_issues(c: Column | str) -> Column:
-    """Names of what is wrong, joined by '; '; 'good' if nothing is."""
-    c = col(c)
-    p = quality_parts(c)
-    issues = F.concat_ws(
+def _issues(p: Column) -> Column:
+    # fixed values: names and limits of the issues
+    found = F.concat_ws(
         "; ",
         F.when(p["special"] > 0.15, "high_special_chars"),
         F.when(p["single"] > 0.3, "fragmented"),
         F.when(p["repeats"] > 2, "repeated_chars"),
-        F.when((p["vowels"] < 0.1) & (F.length(c) > 50), "low_vowels"),
+        F.when((p["vowels"] < 0.1) & (p["chars"] > 50), "low_vowels"),
         F.when((p["word_length"] < 2.5) | (p["word_length"] > 15), "unusual_word_length"),
     )
-    return F.when(_too_short(c), "empty_or_too_short").otherwise(F.coalesce(F.nullif(issues, F.lit("")), F.lit("good")))
+    return F.when(p["chars"].isNull() | p["short"], "empty_or_too_short").otherwise(F.coalesce(F.nullif(found, F.lit("")), F.lit("good")))
+
+
+def quality(c: Column | str) -> Column:
+    """struct(score, issues, words) of a text, from parts that are worked out once."""
+    return let(quality_parts(c), lambda p: F.struct(_score(p).alias("score"), _issues(p).alias("issues"), F.coalesce(p["words"], F.lit(0)).alias("words")))
+
+
+def quality_score(c: Column | str) -> Column:
+    """0 (garbled, or hardly any text) to 1."""
+    return let(quality_parts(c), _score)
+
+
+def quality_issues(c: Column | str) -> Column:
+    """Names of what is wrong, joined by '; '; 'good' if nothing is."""
+    return let(quality_parts(c), _issues)
 
 
 def ocr_confidence(c: Column | str) -> Column:
     t = strip(c)
-    w = words(t)
-    special = ratio(count(t, r"(?U)[^\p{L}\p{N}\s]"), F.length(t))
-    single = ratio(F.size(F.filter(w, lambda x: F.length(x) == 1)), F.size(w))
-    part = lambda test, value: F.when(test, F.lit(value)).otherwise(F.lit(0.0))
-    score = F.lit(0.85) + part(F.length(t) > 100, 0.05) - part(F.length(t) < 20, 0.2) - part(special > 0.3, 0.2) - part(single > 0.4, 0.15)
-    return F.when(_too_short(col(c)), F.lit(0.0)).otherwise(clamp(score))
+
+    def scored(spaced: Column) -> Column:
+        n = F.length(t)
+        special = ratio(count(F.regexp_replace(spaced, "[A-Za-z0-9 ]+", ""), r"[^\p{L}\p{N}]"), n)
+        single = ratio(count(spaced, "(?:^| )[^ ](?= |$)"), _spaced_counts(spaced)[0])
+        part = lambda test, value: F.when(test, F.lit(value)).otherwise(F.lit(0.0))
+        score = F.lit(0.85) + part(n > 100, 0.05) - part(n < 20, 0.2) - part(special > 0.3, 0.2) - part(single > 0.4, 0.15)
+        return F.when(n.isNull() | (n < config.SHORTEST_TEXT), F.lit(0.0)).otherwise(clamp(score))
+
+    return let(single_spaced(c), scored)
 
 
 # cleaning
@@ -99,6 +143,11 @@ def corrected(c: Column | str, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, col(c))
 
 
+def cleaned_ocr(c: Column | str, rules: list[tuple[str, str]] | None = None) -> Column:
+    """OCR output corrected by rules (config.OCR_RULES unless others are given), then tidied."""
+    return tidy(corrected(c, config.OCR_RULES if rules is None else rules))
+
+
 def tidy(c: Column | str) -> Column:
     """Dot leaders, spacing and blank lines of OCR output."""
     t = corrected(c, [(r"\.{4,}", " ... "), (r"(?U)[^\S\n]+", " "), (r"\n{3,}", "\n\n"), (r" +([.,;:!?])", "$1"), (r"([.,;:!?])(?=[A-Za-z])", "$1 "), (r"(?U)[^\S\n]+(?=\n|$)", "")])
@@ -132,7 +181,36 @@ def typographic(c: Column | str) -> dict[str, Column]:
 
 
 def mapped(c: Column | str, maps: dict[str, str]) -> Column:
-    return F.translate(col(c), "".join(maps), "".join(maps.values()))
+    """Characters replaced by what the map has for them, single characters in one pass."""
+    single = {a: b for a, b in maps.items() if len(b) == 1}
+    out = F.translate(col(c), "".join(single), "".join(single.values()))
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [p for p in maps.items() if p[0] not in single], out)
+
+
+def language_code(name: Column | str) -> Column:
+    """ISO code of a language's name; English for unknown ones."""
+    codes = F.create_map(*[F.lit(x) for pair in config.LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(codes, F.coalesce(col(name), F.lit(""))), F.lit("en"))
+
+
+def protect_terms(c: Column | str, terms: list[str]) -> Column:
+    """struct(text, terms): each term that occurs replaced by [[TERMi]], i its place in the list, one after another; terms maps places to what stood there."""
+    text, kept = col(c), []
+    for i, term in enumerate(terms):
+        place = f"[[TERM{i}]]"
+        kept.append(F.when(F.contains(text, F.lit(term)), F.struct(F.lit(place).alias("key"), F.lit(term).alias("value"))))
+        text = F.replace(text, F.lit(term), F.lit(place))
+    found = F.array_compact(F.array(*kept)) if kept else F.array().cast("array<struct<key:string,value:string>>")
+    return F.struct(text.alias("text"), F.map_from_entries(found).alias("terms"))
+
+
+def restore_terms(c: Column | str, terms: Column | str) -> Column:
+    return F.aggregate(F.map_entries(col(terms)), col(c), lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
+def capital_sentences(c: Column | str) -> Column:
+    """Sentences that end where a mark, white space and an ASCII capital follow each other; trimmed, none blank."""
+    return F.filter(F.transform(F.split(col(c), f"(?<=[.!?])[{SPACE}]+(?=[A-Z])"), strip), lambda x: x != "")
 
 
 def might_contain_table(c: Column | str) -> Column:
@@ -150,6 +228,12 @@ def list_kind(c: Column | str) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in config.LIST_MARKERS])
 
 
+def diagnostic_list_kind(c: Column | str) -> Column:
+    """The same by the diagnostic report's fewer patterns."""
+    t = strip(c)
+    return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in config.DIAGNOSTIC_MARKERS])
+
+
 def is_list_item(c: Column | str) -> Column:
     return list_kind(c).isNotNull()
 
@@ -178,6 +262,24 @@ def strip_tags(c: Column | str) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")], t)
 
 
+def escape_quotes(c: Column | str) -> Column:
+    """&, <, > and both quotes."""
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [('"', "&quot;"), ("'", "&#x27;")], escape(c))
+
+
+def simple_html(c: Column | str) -> Column:
+    """Markdown lines as headings or paragraphs, one each; blank and table lines go, and quotes are escaped."""
+
+    def line_html(x: Column) -> Column:
+        level = F.length(F.regexp_extract(x, rf"^(#{{1,6}})[{SPACE}]", 1)).cast("string")
+        body = escape_quotes(F.regexp_replace(x, rf"^#{{1,6}}[{SPACE}]+", ""))
+        heading = F.concat(F.lit("<h"), level, F.lit(">"), body, F.lit("</h"), level, F.lit(">"))
+        return F.when(x.rlike(rf"^#{{1,6}}[{SPACE}]"), heading).otherwise(F.concat(F.lit("<p>"), escape_quotes(x), F.lit("</p>")))
+
+    lines = F.filter(F.transform(F.split(col(c), "\n", -1), strip), lambda x: (x != "") & ~F.startswith(x, F.lit("|")))
+    return F.array_join(F.transform(lines, line_html), "\n")
+
+
 # tables of markdown
 
 
@@ -200,6 +302,25 @@ def translated(c: Column) -> Column:
     return F.concat(F.lit("[TR] "), c)
 
 
+def translated_after_prefix(c: Column | str, translate: Callable[[Column], Column] = translated) -> Column:
+    """A line translated with its list marker kept; a blank result keeps the line or its body."""
+    prefix = list_prefix(c)
+    other = lambda new, old: F.when(F.coalesce(strip(new), F.lit("")) == "", old).otherwise(new)
+    body = list_body(c)
+    return F.when(prefix.isNotNull(), F.concat(prefix, other(translate(strip(body)), body))).otherwise(other(translate(col(c)), col(c)))
+
+
+def translated_paragraph(lines: Column | str, translate: Callable[[Column], Column] = translated) -> Column:
+    """Lines (an array, the first one not null) translated as one text, which keeps the first line's list marker; null if the result is blank: then each line is translated by itself."""
+    lines = col(lines)
+    first = strip(lines[0])
+    prefix = list_prefix(first)
+    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    whole = F.when(prefix.isNotNull(), F.array_join(F.concat(F.array(strip(list_body(first))), rest), " ")).otherwise(F.array_join(lines, " "))
+    new = translate(whole)
+    return F.when(strip(new) != "", F.concat(F.coalesce(prefix, F.lit("")), new))
+
+
 def translated_table(c: Column | str) -> Column:
     cell = lambda x: F.when(F.length(strip(x)) >= 2, translated(x)).otherwise(x)
     row = lambda line: F.concat(F.lit("| "), F.array_join(F.transform(cells(line), cell), " | "), F.lit(" |"))

@@ -6,8 +6,12 @@ Each works on the rows of one document or page, Arrow batch by Arrow batch.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -97,27 +101,36 @@ def same_word(a: str, b: str) -> bool:
     return bool(a and b) and (b.startswith(a[:4]) or a in b or b in a)
 
 
-def keyword_map(segments: list[tuple[str, bool, bool]], translated: str) -> str | None:
-    """Formats of short bold or italic segments on the first free similar word each; null if none fits."""
-    words = translated.split()
-    free: dict[int, tuple[bool, bool]] = {}
-    for text, bold, italic in segments:
-        if (bold or italic) and len(text.split()) <= 3:
-            want = text.lower().strip()
-            hit = next((i for i, w in enumerate(words) if i not in free and same_word(want, w.lower().strip(".,;:!?\"'()-"))), None)
-            if hit is not None:
-                free[hit] = (bold, italic)
-    if not free:
-        return None
-    out, plain = [], []
+Format = tuple[bool, bool]
+
+
+def rendered(words: list[str], formats: dict[int, Format], joins: Callable[[int], bool]) -> str:
+    """Words with the tags of their formats (those without one are plain); neighbours share tags where joins says so of the second."""
+    runs: list[tuple[Format, list[str]]] = []
     for i, w in enumerate(words):
-        if i in free:
-            out += [_tagged(plain, False, False)] if plain else []
-            plain = []
-            out.append(_tagged([w], *free[i]))
+        if runs and joins(i):
+            runs[-1][1].append(w)
         else:
-            plain.append(w)
-    return " ".join(out + ([_tagged(plain, False, False)] if plain else []))
+            runs.append((formats.get(i, (False, False)), [w]))
+    return " ".join(_tagged(some, *f) for f, some in runs)
+
+
+def matched(wanted: list[tuple[str, Format]], words: list[str]) -> dict[int, Format]:
+    """Place of a word for each wanted text, in turn, with its format: the first similar word that is still free."""
+    bare = [w.lower().strip(".,;:!?\"'()-") for w in words]
+    taken: dict[int, Format] = {}
+    for text, how in wanted:
+        places = (i for i, w in enumerate(bare) if i not in taken and same_word(text.lower().strip(), w))
+        if (place := next(places, -1)) >= 0:
+            taken[place] = how
+    return taken
+
+
+def keyword_map(segments: list[tuple[str, bool, bool]], translated: str) -> str | None:
+    """Formats of short bold or italic segments on similar words; null if none fits."""
+    words = translated.split()
+    found = matched([(t, (b, i)) for t, b, i in segments if (b or i) and len(t.split()) <= 3], words)
+    return rendered(words, found, lambda k: k not in found and k - 1 not in found) if found else None
 
 
 def shares(counts: list[int], total: int) -> list[int]:
@@ -134,12 +147,8 @@ def proportional_map(segments: list[tuple[str, bool, bool]], translated: str) ->
     counts, words = [len(t.split()) for t, _, _ in segments], translated.split()
     if not sum(counts) or not words:
         return translated
-    out, at = [], 0
-    for n, (_, bold, italic) in zip(shares(counts, len(words)), segments, strict=True):
-        part = words[at : at + n] if n > 0 else []
-        at += n
-        out += [_tagged(part, bold, italic)] if part else []
-    return " ".join(out)
+    owner = [k for k, n in enumerate(shares(counts, len(words))) for _ in range(n)][: len(words)]
+    return rendered(words, {i: segments[k][1:] for i, k in enumerate(owner)}, lambda i: owner[i] == owner[i - 1])
 
 
 def formatted(segments: list[tuple[str, bool, bool]], translated: str) -> str:
@@ -174,32 +183,55 @@ def visual_rows(ys: list[float], threshold: float) -> list[int]:
     return out
 
 
-def _boxes(pdf: pd.DataFrame) -> tuple[pd.DataFrame, float]:
-    pdf = pdf.assign(y=(pdf["y_min"] + pdf["y_max"]) / 2, height=pdf["y_max"] - pdf["y_min"])
-    return pdf.sort_values(["y", "x_min", "box_no"], ignore_index=True), float(pdf["height"].mean())
+@dataclass
+class Boxes:
+    """Boxes of a page, by the height of their middle, then from the left."""
+
+    page: int
+    y: np.ndarray
+    x0: np.ndarray
+    x1: np.ndarray
+    number: np.ndarray
+    texts: list[str]
+    tall: float
+    width: float
+
+    def some(self, keep: np.ndarray) -> Boxes:
+        at = np.flatnonzero(keep)
+        return Boxes(self.page, self.y[at], self.x0[at], self.x1[at], self.number[at], [self.texts[k] for k in at.tolist()], self.tall, self.width)
 
 
-def gap_columns(pdf: pd.DataFrame, width: float) -> list[tuple[float, float]]:
+def page_boxes(table: pa.Table) -> Iterator[Boxes]:
+    """Pages of rows (page_id, box_no, txt, x_min, x_max, y_min, y_max, width) of whole pages."""
+    page, number, x0, x1, low, high, width = (table[c].to_numpy() for c in ("page_id", "box_no", "x_min", "x_max", "y_min", "y_max", "width"))
+    texts = table["txt"].to_pylist()
+    y = (low + high) / 2
+    order = np.lexsort((number, x0, y, page))
+    at = np.concatenate([[0], np.flatnonzero(np.diff(page[order])) + 1, [len(order)]]).tolist()
+    for a, b in zip(at, at[1:], strict=False):
+        k = order[a:b]
+        yield Boxes(int(page[k[0]]), y[k], x0[k], x1[k], number[k], [texts[i] for i in k.tolist()], float((high[k] - low[k]).mean()), float(width[k[0]]))
+
+
+def gap_columns(boxes: Boxes) -> list[tuple[float, float]]:
     """Columns of a page by gaps that recur over its rows; one column if there are none."""
+    width, tall = boxes.width, boxes.tall
     one = [(0.0, width)]
-    if pdf.empty or width <= 0:
+    if not len(boxes.y) or width <= 0:
         return one
-    pdf, tall = _boxes(pdf)
-    pdf = pdf.assign(row=visual_rows(pdf["y"].tolist(), 0.5 * tall)).sort_values(["row", "x_min", "box_no"])
-    several = int((pdf["row"].value_counts() >= 2).sum())
-    if pdf["row"].nunique() < 3 or several < 3:
+    row = np.array(visual_rows(boxes.y.tolist(), 0.5 * tall))
+    several = int((np.bincount(row) >= 2).sum())
+    if row[-1] + 1 < 3 or several < 3:
         return one
-    follow = pdf.groupby("row")["x_min"].shift(-1)
-    gap = follow - pdf["x_max"]
-    wide = gap >= 1.5 * tall
+    order = np.lexsort((boxes.number, boxes.x0, row))
+    left, right, row = boxes.x0[order][1:], boxes.x1[order][:-1], row[order]
+    wide = (row[1:] == row[:-1]) & (left - right >= 1.5 * tall)
     slot = width / 200
-    at = (((pdf["x_max"] + follow) / 2)[wide] / slot).astype(int).clip(0, 199)
-    histogram = at.value_counts().reindex(range(200), fill_value=0)
-    smooth = histogram.rolling(5, center=True, min_periods=1).sum()
-    peaks = smooth.index[smooth >= max(3, int(0.25 * several))].to_series()
-    if peaks.empty:
+    histogram = np.bincount(((right + left)[wide] / 2 / slot).astype(int).clip(0, 199), minlength=200)
+    peaks = np.flatnonzero(np.convolve(histogram, np.ones(5), "same") >= max(3, int(0.25 * several)))
+    if not len(peaks):
         return one
-    middles = peaks.groupby((peaks.diff() > 6).cumsum()).agg(lambda p: (p.min() + p.max()) / 2) * slot
+    middles = [(p[0] + p[-1]) / 2 * slot for p in np.split(peaks, np.flatnonzero(np.diff(peaks) > 6) + 1)]
     bounds = [0.0, *(b for b in middles if 0.05 * width < b < 0.95 * width), width]
     merged: list[tuple[float, float]] = []
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -207,32 +239,20 @@ def gap_columns(pdf: pd.DataFrame, width: float) -> list[tuple[float, float]]:
             merged[-1] = (merged[-1][0], b)
         else:
             merged.append((a, b))
-    enough = max(3, 0.05 * len(pdf))
-    held = [(a, b) for a, b in merged if ((pdf["x_min"] >= a - tall) & (pdf["x_max"] <= b + tall)).sum() >= enough]
+    enough = max(3, 0.05 * len(boxes.y))
+    held = [(a, b) for a, b in merged if ((boxes.x0 >= a - tall) & (boxes.x1 <= b + tall)).sum() >= enough]
     return held if len(held) > 1 and len(merged) > 1 else one
 
 
-def columns_by_ocr_gaps(boxes: DataFrame) -> DataFrame:
-    """(page_id, col_no, x0, x1) of boxes (page_id, box_no, x_min, x_max, y_min, y_max, width)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = gap_columns(pdf, float(pdf["width"].iloc[0]))
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "col_no": range(len(found)), "x0": [c[0] for c in found], "x1": [c[1] for c in found]})
-
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, col_no long, x0 double, x1 double")
-
-
-def _text_rows(pdf: pd.DataFrame, tall: float) -> list[tuple[float, str]]:
-    """Height and text of each visual row; boxes come in order of y."""
-    tops: list[float] = []
-    boxes: list[list[tuple[float, int, str]]] = []
-    ys = pdf["y"].tolist()
-    for row, y, *box in zip(visual_rows(ys, 0.5 * tall), ys, pdf["x_min"].tolist(), pdf["box_no"].tolist(), pdf["txt"].tolist(), strict=True):
-        if row == len(tops):
-            tops.append(y)
-            boxes.append([])
-        boxes[row].append(tuple(box))
-    return [(y, " ".join(t for _, _, t in sorted(row))) for y, row in zip(tops, boxes, strict=True)]
+def _text_rows(boxes: Boxes) -> list[tuple[float, str]]:
+    """Height and text of each visual row."""
+    rows: list[tuple[float, list[tuple[float, int, str]]]] = []
+    ys = boxes.y.tolist()
+    for k, y, *box in zip(visual_rows(ys, 0.5 * boxes.tall), ys, boxes.x0.tolist(), boxes.number.tolist(), boxes.texts, strict=True):
+        if k == len(rows):
+            rows.append((y, []))
+        rows[k][1].append(tuple(box))
+    return [(y, " ".join(t for _, _, t in sorted(row))) for y, row in rows]
 
 
 def _with_gaps(rows: list[tuple[float, str]], tall: float) -> list[str]:
@@ -243,33 +263,59 @@ def _with_gaps(rows: list[tuple[float, str]], tall: float) -> list[str]:
     return out
 
 
-def ordered_text(pdf: pd.DataFrame, width: float) -> str:
+def ordered_text(boxes: Boxes) -> str:
     """A page's text in reading order: full-width rows above, columns in turn, full-width rows below."""
-    pdf, tall = _boxes(pdf)
-    columns = gap_columns(pdf, width)
+    tall, columns = boxes.tall, gap_columns(boxes)
     if len(columns) < 2:
-        return "\n".join(_with_gaps(_text_rows(pdf, tall), tall))
-    full = pdf["x_max"] - pdf["x_min"] > 0.7 * width
-    across = _text_rows(pdf[full], tall)
-    inner = pdf[~full]
-    overlaps = pd.DataFrame({k: (inner["x_max"].clip(upper=b) - inner["x_min"].clip(lower=a)).clip(lower=0) for k, (a, b) in enumerate(columns)})
-    home = overlaps.idxmax(axis=1) if len(inner) else pd.Series(dtype=int)
-    parts = [_text_rows(inner[home == k], tall) for k in range(len(columns))]
-    tops = [p[0][0] for p in parts if p]
-    ends = [p[-1][0] for p in parts if p]
+        return "\n".join(_with_gaps(_text_rows(boxes), tall))
+    full = boxes.x1 - boxes.x0 > 0.7 * boxes.width
+    across, inner = _text_rows(boxes.some(full)), boxes.some(~full)
+    home = np.argmax([(np.minimum(inner.x1, b) - np.maximum(inner.x0, a)).clip(0) for a, b in columns], axis=0)
+    parts = [p for k in range(len(columns)) if (p := _text_rows(inner.some(home == k)))]
+    tops, ends = [p[0][0] for p in parts], [p[-1][0] for p in parts]
     head = [t for y, t in across if not tops or y < min(tops) - tall]
     foot = [t for y, t in across if ends and y > max(ends) + tall]
-    pieces = [head, *(_with_gaps(p, tall) for p in parts if p), foot]
-    return "\n\n".join("\n".join(p) for p in pieces if p)
+    return "\n\n".join("\n".join(p) for p in [head, *(_with_gaps(p, tall) for p in parts), foot] if p)
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
-    """(page_id, text) of boxes (page_id, box_no, txt, x_min, x_max, y_min, y_max, width)."""
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "text": [ordered_text(pdf, float(pdf["width"].iloc[0]))]})
 
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, text string")
+def _by_page(boxes: DataFrame, of_page: Callable[[Boxes], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that of_page makes of each page, from Arrow batches of many pages; a page whose rows go on in the next batch waits for them."""
+    columns = ["page_id", "box_no", "txt", "x_min", "x_max", "y_min", "y_max", "width"]
+    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in schema.split(", "))])
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        rows = [row for page in page_boxes(table) for row in of_page(page)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page = batch.column(0).to_numpy()
+            first = int(np.searchsorted(page, page[-1]))  # of the last page, which may go on
+            if first or (held and held[-1].column(0)[-1].as_py() != page[0]):
+                yield made(pa.Table.from_batches([*held, batch.slice(0, first)]))
+                held = []
+            held.append(batch.slice(first))
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    some = boxes.select(F.col("page_id").cast("long").alias("page_id"), *columns[1:])
+    return some.repartition("page_id").sortWithinPartitions("page_id").mapInArrow(run, schema)
+
+
+def columns_by_ocr_gaps(boxes: DataFrame) -> DataFrame:
+    """(page_id, col_no, x0, x1) of boxes (page_id, box_no, txt, x_min, x_max, y_min, y_max, width)."""
+    return _by_page(boxes, lambda b: ((b.page, k, x0, x1) for k, (x0, x1) in enumerate(gap_columns(b))), "page_id long, col_no long, x0 double, x1 double")
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """(page_id, text) of the same boxes."""
+    return _by_page(boxes, lambda b: iter([(b.page, ordered_text(b))]), "page_id long, text string")
 
 
 def packed(sentences: list[str], most: int = 1500) -> list[str]:
@@ -286,13 +332,7 @@ def packed(sentences: list[str], most: int = 1500) -> list[str]:
 def anchored_rows(boxes: DataFrame) -> DataFrame:
     """(page_id, box_no, row): visual rows, by distance from each row's first box."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, tall = _boxes(pdf)
-        return pd.DataFrame({"page_id": pdf["page_id"], "box_no": pdf["box_no"], "row": visual_rows(pdf["y"].tolist(), 0.5 * tall)})
-
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, box_no long, row long")
-
+    def of_page(b: Boxes) -> Iterator[tuple]:
+        return ((b.page, n, r) for n, r in zip(b.number.tolist(), visual_rows(b.y.tolist(), 0.5 * b.tall), strict=True))
 
-def sentence_list(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "sentence"))), lambda x: x["sentence"])
-    return sentences.groupBy(key).agg(ordered.alias("sentences"))
+    return _by_page(boxes, of_page, "page_id long, box_no long, row long")

@@ -54,7 +54,7 @@ def with_headings(lines: DataFrame, levels: DataFrame) -> DataFrame:
 def ends_sentence(c: Column, marks: str, longer: int, capitals: int) -> Column:
     """The last word is followed by a mark and is longer than `longer`, or all capitals and longer than `capitals`."""
     t = T.strip(c)
-    last = F.regexp_replace(F.regexp_extract(t, r"(?U)(\S+)$", 1), f"[{marks}]+$", "")
+    last = F.regexp_replace(F.regexp_extract(F.right(t, F.lit(128)), f"([^{T.SPACE}]+)$", 1), f"[{marks}]+$", "")  # a longer word is long enough
     upper = (F.upper(last) == last) & (F.lower(last) != last)
     return t.rlike(f"[{marks}]$") & ((F.length(last) > longer) | (upper & (F.length(last) > capitals)))
 

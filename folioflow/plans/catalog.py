@@ -11,7 +11,7 @@ from folioflow import config
 from folioflow.functions import text as T
 from folioflow.operators import elements as E
 from folioflow.operators import folds, layout, metrics, spans
-from folioflow.operators.sentences import sentences
+from folioflow.operators.sentences import sentence_counts, sentence_list, sentences
 from folioflow.plans.fixtures import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,9 +103,9 @@ def text_quality_issues(spark, sf_dir):
 FROM (SELECT lang, {Q_SCORE} AS s, {Q_ISSUES} AS issues, len({q_words("text")}) AS w FROM documents) GROUP BY lang"""
 )
 def text_quality_by_lang(spark, sf_dir):
-    d = docs(spark, sf_dir).select("lang", T.quality_score("text").alias("s"), T.quality_issues("text").alias("issues"), F.size(T.words("text")).alias("w"))
-    accepted = (F.col("s") >= config.FAIR_QUALITY) & (F.col("w") >= config.FAIR_WORDS)
-    return d.groupBy("lang").agg(F.count("*").alias("n"), rounded(F.avg("s")).alias("mean_score"), F.count_if(F.col("issues") != "good").alias("flagged"), F.count_if(accepted).alias("accepted"))
+    d = docs(spark, sf_dir).select("lang", T.quality("text").alias("q"))
+    accepted = (F.col("q.score") >= config.FAIR_QUALITY) & (F.col("q.words") >= config.FAIR_WORDS)
+    return d.groupBy("lang").agg(F.count("*").alias("n"), rounded(F.avg("q.score")).alias("mean_score"), F.count_if(F.col("q.issues") != "good").alias("flagged"), F.count_if(accepted).alias("accepted"))
 
 
 _S = q_strip("text")
@@ -211,8 +211,7 @@ QUERIES["sentences"], ORACLES["sentences"] = QUERIES.pop("sentences_"), ORACLES.
 
 @query(f"SELECT lang, count(*) AS n, round(avg(len({q_words('sentence')})), 6) AS mean_words FROM {Q_SENTENCES} s JOIN documents USING (doc_id) GROUP BY lang")
 def sentence_counts_by_lang(spark, sf_dir):
-    found = sentences(docs(spark, sf_dir)).select("doc_id", F.size(T.words("sentence")).alias("n"))
-    return found.join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), rounded(F.avg("n")).alias("mean_words"))
+    return sentence_counts(docs(spark, sf_dir), "lang").withColumn("mean_words", rounded(F.col("mean_words")))
 
 
 @query(
@@ -419,12 +418,12 @@ def heading_levels(spark, sf_dir):
     return layout.heading_levels(view(spark, sf_dir, "doc_lines"))
 
 
-Q_FLAGS = """(SELECT *, (flags & 16) <> 0 OR contains(lower(font), 'bold') AS bold, (flags & 2) <> 0 OR contains(lower(font), 'italic') OR contains(lower(font), 'oblique') AS italic,
-(flags & 1) <> 0 OR (size < 0.8 * m AND base - origin_y > 0.3 * size) OR contains(lower(font), 'sup') AS superscript,
-(size < 0.8 * m AND origin_y - base > 0.2 * size) OR (contains(lower(font), 'sub') AND NOT contains(lower(font), 'subhead')) AS subscript,
-regexp_matches(lower(font), '{}') AS mono, regexp_matches(lower(font), '{}') AS serif FROM (
+Q_FLAGS = """(SELECT *, (flags & 16) <> 0 OR contains(lower(font), 'bold') AS bold, (flags & 2) <> 0 OR contains(lower(font), 'italic') AS italic,
+(flags & 1) <> 0 OR (m > 0 AND size < 0.8 * m AND base > 0 AND origin_y > 0 AND origin_y < base - 0.3 * size) OR contains(lower(font), 'sup') AS superscript,
+(m > 0 AND size < 0.8 * m AND base > 0 AND origin_y > 0 AND origin_y > base + 0.2 * size) OR (contains(lower(font), 'sub') AND NOT contains(lower(font), 'subhead')) AS subscript,
+regexp_matches(font, '(?i)courier|mono|consolas|monaco|menlo|source code') AS mono, regexp_matches(font, '(?i)times|serif|georgia|garamond|palatino|cambria') AS serif FROM (
 SELECT *, coalesce(avg(CASE WHEN size >= 0.8 * m THEN origin_y END) OVER l, avg(origin_y) OVER l) AS base FROM (
-SELECT *, avg(size) OVER (PARTITION BY page_id, block_no, line_no) AS m FROM spans) WINDOW l AS (PARTITION BY page_id, block_no, line_no)))""".format("|".join(config.MONO_NAMES), "|".join(config.SERIF_NAMES))
+SELECT *, avg(size) OVER (PARTITION BY page_id, block_no, line_no) AS m FROM spans) WINDOW l AS (PARTITION BY page_id, block_no, line_no)))"""
 
 
 @query(f"SELECT page_id, block_no, line_no, span_no, bold, italic, superscript, subscript, mono, serif FROM {Q_FLAGS}", ("spans",))
@@ -736,7 +735,7 @@ def post_process_ocr(spark, sf_dir):
 
 @query()
 def align_sentences(spark, sf_dir):
-    found = folds.sentence_list(sentences(docs(spark, sf_dir)))
+    found = docs(spark, sf_dir).select("doc_id", sentence_list("text").alias("sentences")).where(F.size("sentences") > 0)
     return found.select("doc_id", F.posexplode(folds.align_sentences("sentences", F.lit(5))).alias("line", "text"))
 
 

@@ -38,7 +38,8 @@ FROM (SELECT doc_id, line_no, r, text, CAST(CASE r WHEN 0 THEN 18 WHEN 1 THEN 14
   CAST(72 + 14 * line_no + 20 * floor(line_no / 5) - CASE WHEN r = 10 THEN 6 ELSE 0 END AS DOUBLE) AS y0 FROM decorated) q""",
     "spans": """
 SELECT page_id, block_no, line_no, span_no, text, x0, y0, x0 + w AS x1, y0 + 12 AS y1,
-  CAST(CASE WHEN span_no % 9 = 8 THEN 7 ELSE 11 END AS DOUBLE) AS size, CASE s WHEN 7 THEN 'Courier New' WHEN 8 THEN 'Times Serif' WHEN 9 THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS font,
+  CAST(CASE WHEN span_no % 9 = 8 THEN 7 ELSE 11 END AS DOUBLE) AS size, CASE s WHEN 7 THEN 'Courier New' WHEN 8 THEN 'Times Serif' WHEN 9 THEN 'Helvetica-Bold' WHEN 10 THEN CASE line_no % 4 WHEN 0 THEN 'MONACO' WHEN 1 THEN 'CambriaMath' WHEN 2 THEN 'ITC Zapf Code' ELSE 'Times New Roman-Oblique' END
+  WHEN 11 THEN CASE line_no % 3 WHEN 0 THEN 'SourceCodePro' WHEN 1 THEN 'Source Code Pro' ELSE 'American Typewriter' END ELSE 'Helvetica' END AS font,
   CASE WHEN s = 3 THEN 16711680 WHEN s % 4 = 0 THEN 255 ELSE 0 END AS color, CASE WHEN s < 4 THEN 16 WHEN s = 5 THEN 2 WHEN s = 6 THEN 1 ELSE 0 END AS flags,
   y0 + 10 - CASE span_no % 18 WHEN 8 THEN 4 WHEN 17 THEN -3 ELSE 0 END AS origin_y
 FROM (SELECT doc_id AS page_id, CAST(floor(line_no / 4) AS BIGINT) AS block_no, CAST(line_no AS BIGINT) AS line_no, CAST(pos AS BIGINT) AS span_no, token AS text,

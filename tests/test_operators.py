@@ -1,6 +1,6 @@
 """Worked examples of operators, and properties over generated input."""
 
-import pandas as pd
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -101,13 +101,14 @@ def boxes(two_columns):
         if two_columns:
             rows.append((1, 2 * k + 2, f"r{k}", 450, 700, 60 + 20 * k, 74 + 20 * k))
     rows.append((1, 99, "foot", 60, 740, 400, 414))
-    return pd.DataFrame(rows, columns=["page_id", "box_no", "txt", "x_min", "x_max", "y_min", "y_max"])
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(["page_id", "box_no", "txt", "x_min", "x_max", "y_min", "y_max"])} | {"width": [800.0] * len(rows)})
+    return next(folds.page_boxes(table))
 
 
 def test_reading_order():
-    got = folds.ordered_text(boxes(True), 800.0).split()
+    got = folds.ordered_text(boxes(True)).split()
     assert got == ["wide", "title", *[f"l{k}" for k in range(8)], *[f"r{k}" for k in range(8)], "foot"]
-    assert len(folds.gap_columns(boxes(True), 800.0)) == 2 and folds.gap_columns(boxes(False), 800.0) == [(0.0, 800.0)]
+    assert len(folds.gap_columns(boxes(True))) == 2 and folds.gap_columns(boxes(False)) == [(0.0, 800.0)]
 
 
 def test_formats_on_translations():
