@@ -219,6 +219,15 @@ def might_contain_table(c: Column | str) -> Column:
     return (count(c, r"\|") > 4) | F.contains(c, F.lit("\t")) | (aligned > 3)
 
 
+def title_like(c: Column | str) -> Column:
+    """Short texts, not ending in a mark, in title case (capitals only where no letter precedes, small letters only where one does) or capitals."""
+    t = strip(c)
+    upper = t.rlike(r"\p{IsUppercase}|\p{Lt}")
+    title = upper & ~t.rlike(r"(?:^|[^\p{IsUppercase}\p{IsLowercase}\p{Lt}])\p{IsLowercase}|[\p{IsUppercase}\p{IsLowercase}\p{Lt}][\p{IsUppercase}\p{Lt}]")
+    capitals = t.rlike(r"\p{IsUppercase}") & ~t.rlike(r"\p{IsLowercase}|\p{Lt}")
+    return (t != "") & (F.length(t) < 50) & (n_words(t) <= 8) & ~F.right(t, F.lit(1)).isin(".", ",", ";", ":") & (title | capitals)
+
+
 # lists
 
 

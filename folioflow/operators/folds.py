@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from folioflow import config
 from folioflow.functions import text as T
@@ -40,8 +40,8 @@ def fix_line_breaks(s: pd.Series) -> pd.Series:
 
 
 def post_processed(c: Column | str, rules: list[tuple[str, str]] | None = None) -> Column:
-    """OCR output cleaned: rules, tidying, line repair, artifacts, white space."""
-    return T.normalize_whitespace(T.without_artifacts(fix_line_breaks(T.tidy(T.corrected(c, rules or [])))))
+    """OCR output cleaned: rules (config.OCR_RULES unless others are given), tidying, line repair, artifacts, white space."""
+    return T.normalize_whitespace(T.without_artifacts(fix_line_breaks(T.cleaned_ocr(c, rules))))
 
 
 @pandas_udf(StringType())
@@ -53,10 +53,9 @@ def normalized_for_translation(c: Column | str) -> Column:
     return T.mapped(nfkc(T.col(c)), config.QUOTES | config.DASHES)
 
 
-@pandas_udf(BooleanType())
-def title_like(s: pd.Series) -> pd.Series:
-    """Short texts, not ending in a mark, in title case or capitals."""
-    return s.map(lambda t: bool(t := t.strip()) and len(t) < 50 and len(t.split()) <= 8 and t[-1] not in ".,;:" and (t.istitle() or t.isupper()), na_action="ignore").astype("boolean")
+def normalized_for_page(c: Column | str, ocr: bool = True) -> Column:
+    """Ligatures and special spaces as plain characters; of OCR output quotes and dashes too."""
+    return T.mapped(nfkc(T.col(c)), config.PAGE_QUOTES | config.PAGE_DASHES) if ocr else nfkc(T.col(c))
 
 
 def aligned(sentences: list[str], lines: int) -> list[str]:
@@ -319,14 +318,20 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 
 def packed(sentences: list[str], most: int = 1500) -> list[str]:
-    """Sentences in chunks of at most so many characters; a longer sentence stands alone."""
+    """Sentences in chunks joined by spaces; one that would take the sum of their lengths beyond `most` begins the next chunk, which leaves an empty chunk where the first is that long."""
     out: list[str] = []
+    now: list[str] = []
     for s in sentences:
-        if out and len(out[-1]) + 1 + len(s) <= most:
-            out[-1] += f" {s}"
-        else:
-            out.append(s)
-    return out
+        if sum(map(len, now)) + len(s) > most:
+            out.append(" ".join(now))
+            now = []
+        now.append(s)
+    return [*out, " ".join(now)] if now else out
+
+
+@pandas_udf(ArrayType(StringType()))
+def packed_sentences(sentences: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([packed(list(s), int(n)) for s, n in zip(sentences, most, strict=True)], dtype=object)
 
 
 def anchored_rows(boxes: DataFrame) -> DataFrame:

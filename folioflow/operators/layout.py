@@ -37,18 +37,19 @@ def scanned(pages: DataFrame, audit: bool = False) -> DataFrame:
     return pages.withColumn("coverage", coverage).withColumn("reason", reason).withColumn("scanned", F.col("reason").isNotNull())
 
 
-def heading_levels(lines: DataFrame) -> DataFrame:
-    """(size, level): the size with most characters is the body's; larger ones are levels from 1, four at most."""
-    sizes = lines.groupBy(F.bround("size").cast("long").alias("size")).agg(F.sum(F.length("text")).alias("chars"))
-    body = sizes.agg(F.max_by("size", F.struct("chars", F.col("size"))).alias("body"))
-    larger = sizes.join(F.broadcast(body), F.col("size") > F.col("body"))  # body is one row
-    top = larger.orderBy(F.desc("size")).limit(4)
-    return top.select("size", F.dense_rank().over(Window.orderBy(F.desc("size"))).cast("long").alias("level"))
+def heading_levels(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, size, level): a document's size with most characters is its body's (the larger of equals); larger ones are levels from 1, four at most."""
+    sizes = lines.groupBy(doc, F.bround("size").cast("long").alias("size")).agg(F.sum(F.length("text")).alias("chars"))
+    whole = Window.partitionBy(doc)
+    sizes = sizes.withColumn("body", F.max_by("size", F.struct("chars", "size")).over(whole)).where("size > body")
+    return sizes.withColumn("level", F.row_number().over(whole.orderBy(F.desc("size"))).cast("long")).where("level <= 4").select(doc, "size", "level")
 
 
-def with_headings(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    found = F.broadcast(levels.withColumnRenamed("size", "__size"))  # four rows at most
-    return lines.join(found, F.bround("size").cast("long") == F.col("__size"), "left").drop("__size").withColumn("level", F.coalesce("level", F.lit(0)))
+def with_headings(lines: DataFrame, levels: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Lines with the level of their size in their document; 0 is body text."""
+    found = levels.select(F.col(doc).alias("__doc"), F.col("size").alias("__size"), "level")  # four rows a document at most
+    same = (F.col(doc) == F.col("__doc")) & (F.bround("size").cast("long") == F.col("__size"))
+    return lines.join(found, same, "left").drop("__doc", "__size").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def ends_sentence(c: Column, marks: str, longer: int, capitals: int) -> Column:
@@ -224,6 +225,13 @@ def without_tables(found: DataFrame, tables: DataFrame, most: float = 0.5) -> Da
     return found.join(t, (F.col("page_id") == F.col("t_page")) & covered, "left_anti")
 
 
+def in_table(found: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks with in_table: whether a table's box meets theirs, by however little; touching edges don't."""
+    t = tables.groupBy("page_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("__tables"))  # those of one page
+    meets = lambda r: (F.col("x0") < r["x1"]) & (F.col("x1") > r["x0"]) & (F.col("y0") < r["y1"]) & (F.col("y1") > r["y0"])
+    return found.join(t, "page_id", "left").withColumn("in_table", F.coalesce(F.exists("__tables", meets), F.lit(False))).drop("__tables")
+
+
 def hints(found: DataFrame) -> DataFrame:
     """(page_id, centered, sparse, y_min, y_max, avg_center) of content blocks (width, height of the page)."""
     some = found.where(F.col("type").isin(config.CONTENT_TYPES))
@@ -243,19 +251,96 @@ def column_rects(columns: Column, width: Column, n: Column, gap: Column) -> Colu
 
 
 def sparse_gaps(found: DataFrame) -> DataFrame:
-    """Adds gap: space above a block (page_id, block_no, y0, y1), from 10 points, in proportion to the page's height over the blocks' span."""
-    order = Window.partitionBy("page_id").orderBy("y0", "block_no")
+    """Adds gap: space above a content block (page_id, block_no, y0, y1, n_elements, room) of a sparse page, by its order from the top.
+
+    Gaps of more than 10 points between neighbours give 10 points at least, in proportion to room (the height of the text area) over the blocks' span. Pages of one
+    block, or whose elements and blocks differ in number by more than 2, have none.
+    """
     page = Window.partitionBy("page_id")
     span = F.max("y1").over(page) - F.min("y0").over(page)
-    gap = F.col("y0") - F.lag("y1").over(order)
-    return found.withColumn("gap", F.when(gap > 10, F.greatest(F.lit(10.0), F.col("height") * T.ratio(gap, span))).otherwise(F.lit(0.0)))
+    blocks = F.count("*").over(page)
+    gap = F.col("y0") - F.lag("y1").over(page.orderBy("y0", "block_no"))
+    some = (blocks >= 2) & (F.abs(F.col("n_elements") - blocks) <= 2) & (span > 0) & (gap > 10)
+    return found.withColumn("gap", F.when(some, F.greatest(F.lit(10.0), F.col("room") * T.ratio(gap, span))).otherwise(F.lit(0.0)))
+
+
+def density(chars: Column, n_elements: Column, sparse: Column) -> Column:
+    """dense, sparse or normal: the row of a re-set page's tables of margins and spacing."""
+    return F.when((chars > 2000) | (n_elements > 20), F.lit("dense")).when(sparse, F.lit("sparse")).otherwise(F.lit("normal"))
+
+
+def _by_density(kind: Column, value) -> Column:
+    return F.when(kind == "dense", value("dense")).when(kind == "sparse", value("sparse")).otherwise(value("normal"))
+
+
+def text_area(kind: Column, width: Column, height: Column) -> Column:
+    """struct(x0, y0, x1, y1): the page without its margins; 20 points at the sides where less than 100 would be left."""
+    margin = lambda k, whole: _by_density(kind, lambda d: F.greatest(F.lit(float(config.MARGINS[d][k][0])), whole * config.MARGINS[d][k][1]))
+    sides = margin(0, width)
+    sides = F.when(width - 2 * sides < 100, F.lit(20.0)).otherwise(sides)
+    return F.struct(sides.alias("x0"), margin(1, height).alias("y0"), (width - sides).alias("x1"), (height - margin(2, height)).alias("y1"))
 
 
-def font_sizing(width: Column, chars: Column, n_elements: Column, sparse: Column) -> Column:
-    """Body size of a re-set page: by its width, larger where sparse; and whether it is dense."""
+def spacing(kind: Column, body: Column) -> Column:
+    """struct(paragraph, above, below, line_height): points around paragraphs, above and below headings, at a body size."""
+    part = lambda k: _by_density(kind, lambda d: F.lit(config.SPACING[d][k]))
+    return F.struct((body * part(0)).alias("paragraph"), (body * part(1)).alias("above"), (body * part(2)).alias("below"), part(3).alias("line_height"))
+
+
+def sparse_area(y0: Column, y1: Column, first: Column, last: Column, height: Column, shown: Column) -> Column:
+    """struct(y0, y1): the text area of a sparse page, moved to where content was: first and last are its bounds on a page of `height`, shown is the new page's height."""
+    start, end = first / height, last / height
+    top = shown * start * 0.85
+    new_y0 = F.when((start > 0.10) & (top > y0) & (top < shown * 0.5), top).otherwise(y0)
+    bottom = shown * end * 1.10
+    return T.let(new_y0, lambda y: F.struct(y.alias("y0"), F.when((end < 0.85) & (bottom > y + 100), bottom).otherwise(y1).alias("y1")))
+
+
+def body_size(width: Column, sparse: Column) -> Column:
+    """Body size of a re-set page by the width of its text area, larger where sparse."""
     plain = F.greatest(F.lit(8.0), F.least(F.lit(11.0), width / 50))
-    size = F.when(sparse, F.greatest(plain, F.least(F.lit(14.0), width / 35))).otherwise(plain)
-    return F.struct(size.alias("body"), ((chars > 2000) | (n_elements > 20)).alias("dense"))
+    return F.when(sparse, F.greatest(plain, F.least(F.lit(14.0), width / 35))).otherwise(plain)
+
+
+def box_fit(chars: Column, width: Column, size: Column, room: Column) -> Column:
+    """struct(height, fits): height of a paragraph's box, from its estimated lines, within the room left; it fits if one and a half lines do."""
+    a_line = F.greatest(F.lit(1), (width / (size * 0.5)).cast("int"))
+    lines = F.greatest(F.lit(1.0), chars / a_line + 1)
+    height = F.least(lines * size * 1.3 * 1.5, room)
+    return F.struct(height.alias("height"), (height >= size * 1.5).alias("fits"))
+
+
+def truncated(c: Column, width: Column, size: Column) -> Column:
+    """Text cut to what a box of that width holds, by the estimate of 0.45 of the size a character, the last three of them dots."""
+    most = F.floor(width / (size * 0.45)).cast("int")
+    kept = F.when(most >= 3, most - 3).otherwise(F.greatest(F.length(c) + most - 3, F.lit(0)))  # fewer than three count from the end
+    return F.when(F.length(c) > most, F.concat(F.left(c, kept), F.lit("..."))).otherwise(c)
+
+
+def cell_grid(tables: DataFrame, padding: float = 2.0) -> DataFrame:
+    """(table_id, r, c, x0, y0, x1, y1, size) of the equal cells of tables (table_id, x0, y0, x1, y1, n_rows, n_cols); tables without rows or columns have none."""
+    some = tables.where("n_rows > 0 and n_cols > 0")
+    tall, wide = (F.col("y1") - F.col("y0")) / F.col("n_rows"), (F.col("x1") - F.col("x0")) / F.col("n_cols")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    cells = some.withColumns({"tall": tall, "wide": wide}).withColumn("r", each("n_rows")).withColumn("c", each("n_cols"))
+    edge = lambda start, step, k, off: F.col(start) + (F.col(k) + off) * F.col(step)
+    return cells.select(
+        "table_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (edge("x0", "wide", "c", 0) + padding).alias("x0"), (edge("y0", "tall", "r", 0) + padding).alias("y0"),
+        (edge("x0", "wide", "c", 1) - padding).alias("x1"), (edge("y0", "tall", "r", 1) - padding).alias("y1"), F.least(F.lit(10.0), F.greatest(F.lit(6.0), F.col("tall") * 0.5)).alias("size"),
+    )
+
+
+def paragraph_boxes(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, group_no, x0, y0, x1, y1) of groups of lines (page_id, block_no, group_no, box): the union of the line boxes.
+
+    A group of one block (page_id, block_no, y0, y1) takes that block's y0 and y1 if the block is taller.
+    """
+    union = lines.groupBy("page_id", "group_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("block_no").alias("block_no"), F.max("block_no").alias("last"))
+    own = blocks.select("page_id", "block_no", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
+    both = union.join(own, ["page_id", "block_no"], "left")
+    taller = (F.col("block_no") == F.col("last")) & (F.col("b1") - F.col("b0") > F.col("y1") - F.col("y0"))
+    pick = lambda own_, old: F.when(taller, F.col(own_)).otherwise(F.col(old)).alias(old)
+    return both.select("page_id", "group_no", "x0", pick("b0", "y0"), "x1", pick("b1", "y1"))
 
 
 def scale_floor(size: Column, y: Column, height: Column) -> Column:

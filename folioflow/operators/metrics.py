@@ -37,13 +37,28 @@ def corpus_summary(pages: DataFrame) -> DataFrame:
     )
 
 
-def keyword_recall(texts: DataFrame, keywords: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, total, found, recall, band, missing) of rows (key, keyword) within texts (key, text), without case."""
-    joined = keywords.join(texts.select(key, F.lower("text").alias("t")), key)
-    joined = joined.withColumn("hit", F.contains("t", F.lower("keyword")))
-    out = joined.groupBy(key).agg(F.count("*").alias("total"), F.count_if("hit").alias("found"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("keyword")))), ";").alias("missing"))
-    recall = T.ratio(F.col("found"), F.col("total"))
-    return out.withColumn("recall", recall).withColumn("band", F.when(recall >= 0.9, "good").when(recall >= 0.7, "fair").otherwise("poor"))
+def recall(text: Column | str, keywords: Column) -> Column:
+    """struct(total, found, recall, band, missing) of an array of keywords within a text, without case; missing ones in order, joined by ';'."""
+
+    def counted(lost: Column) -> Column:
+        total = F.size(keywords).cast("long")
+        found = total - F.size(lost)
+        share = T.ratio(found, total)
+        band = F.when(share >= 0.9, "good").when(share >= 0.7, "fair").otherwise("poor")
+        return F.struct(total.alias("total"), found.alias("found"), share.alias("recall"), band.alias("band"), F.array_join(F.array_sort(lost), ";").alias("missing"))
+
+    lower = F.lower(T.col(text))
+    return T.let(F.filter(keywords, lambda k: ~F.coalesce(F.contains(lower, F.lower(k)), F.lit(False))), counted)
+
+
+def keyword_recall(texts: DataFrame, keywords: list[str] | DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, total, found, recall, band, missing) of texts (key, text): the same keywords for all, or those of rows (key, keyword), gathered by key so that a text moves once."""
+    if isinstance(keywords, DataFrame):
+        texts = texts.select(key, "text").join(keywords.groupBy(key).agg(F.collect_list("keyword").alias("__keywords")), key)
+        wanted = F.col("__keywords")
+    else:
+        wanted = F.array(*map(F.lit, keywords))
+    return texts.select(key, recall("text", wanted).alias("r")).select(key, "r.*")
 
 
 def y_span(lines: DataFrame, name: str, blocks: bool = False) -> DataFrame:
@@ -86,13 +101,37 @@ def column_sides(words: DataFrame, middle: Column) -> DataFrame:
     return out.withColumn("two_columns", (F.col("left") > 3) & (F.col("right") > 3))
 
 
-def compared(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Blocks, lines, characters and mean size of each page before and after, with ratios."""
+def compared(before: DataFrame, after: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """Blocks, lines, characters, mean size and vertical extent of each page before and after, with ratios; with media (page_id, links_before, links_after), links lost."""
     def stats(x: DataFrame, tag: str) -> DataFrame:
-        return x.groupBy("page_id").agg(F.count_distinct("block_no").alias(f"{tag}_blocks"), F.count("*").alias(f"{tag}_lines"), F.sum(F.length("text").cast("long")).alias(f"{tag}_chars"), F.bround(F.avg("size"), 1).alias(f"{tag}_size"))
+        return x.groupBy("page_id").agg(
+            F.count_distinct("block_no").alias(f"{tag}_blocks"), F.count("*").alias(f"{tag}_lines"), F.sum(F.length("text").cast("long")).alias(f"{tag}_chars"),
+            F.bround(F.avg("size"), 1).alias(f"{tag}_size"), F.bround(F.max("y0") - F.min("y0"), 1).alias(f"{tag}_y_span"),
+        )
 
     both = stats(before, "old").join(stats(after, "new"), "page_id", "full")
-    return both.withColumn("chars_ratio", F.bround(T.ratio(F.col("new_chars"), F.col("old_chars")), 2))
+    share = lambda name: F.bround(T.ratio(F.col(f"new_{name}"), F.col(f"old_{name}")), 2).alias(f"{name}_ratio")
+    if media is not None:
+        both = both.join(media.select("page_id", (F.col("links_before") - F.col("links_after")).alias("links_lost")), "page_id", "left")
+    return both.select("*", share("chars"), share("y_span"), share("size"))
+
+
+def representative_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, audit, body) of docs (doc_id, pages: an array of page numbers): the first page and, beyond three, the third; and the page nearest the third."""
+    p = F.array_sort("pages")
+    audit = F.when(F.size(p) > 3, F.array(F.get(p, F.lit(0)), F.get(p, F.lit(2)))).otherwise(F.slice(p, 1, 1))
+    return docs.select("doc_id", audit.alias("audit"), F.coalesce(F.get(p, F.lit(2)), F.get(p, F.lit(1)), F.get(p, F.lit(0))).alias("body"))
+
+
+def first_pages(pages: DataFrame, most: int, doc: str = "doc_id", page: str = "page") -> DataFrame:
+    """The first pages of each document; fewer where it has fewer."""
+    return pages.withColumn("__k", F.row_number().over(Window.partitionBy(doc).orderBy(page))).where(F.col("__k") <= most).drop("__k")
+
+
+def page_at(pages: Column, number: Column) -> Column:
+    """The page with a number from 0 of an array of pages; an error if there is none."""
+    inside = (number >= 0) & (number < F.size(pages))
+    return F.when(inside, F.get(pages, number)).otherwise(F.raise_error(F.concat(F.lit("no page "), number.cast("string"), F.lit(" of "), F.size(pages).cast("string"))))
 
 
 def chosen_text(candidates: DataFrame) -> DataFrame:
@@ -101,12 +140,12 @@ def chosen_text(candidates: DataFrame) -> DataFrame:
     The first method whose quality exceeds 0.8 wins, else the best; texts of ten characters or fewer are no candidates. OCR
     replaces a poor result if it is better or has half as many words again.
     """
-    some = candidates.withColumn("q", T.quality_score("text")).withColumn("n", F.size(T.words("text")))
+    some = candidates.withColumn("quality", T.quality("text")).withColumns({"q": F.col("quality.score"), "n": F.col("quality.words")}).drop("quality")
     usable = F.length(T.strip("text")) > 10
     good = F.when(usable & (F.col("q") > config.GOOD_QUALITY), -F.col("method_ord"))
     rank = F.struct(usable.alias("u"), F.coalesce(good, F.lit(-1_000_000)).alias("g"), "q", (-F.col("method_ord")).alias("o"))
     best = some.groupBy("page_id").agg(F.max_by(F.struct("method", "text", "q", "n", usable.alias("usable")), rank).alias("b"), F.max("ocr_text").alias("ocr"))
-    best = best.select("page_id", "b.*", "ocr").withColumn("ocr_q", T.quality_score("ocr")).withColumn("ocr_n", F.size(T.words(F.coalesce("ocr", F.lit("")))))
+    best = best.select("page_id", "b.*", "ocr", T.quality("ocr").alias("o")).withColumns({"ocr_q": F.col("o.score"), "ocr_n": F.col("o.words")}).drop("o")
     fair = F.col("usable") & ((F.col("q") > config.GOOD_QUALITY) | ((F.col("q") >= config.FAIR_QUALITY) & (F.col("n") >= config.FAIR_WORDS)))
     q, n = F.when(F.col("usable"), F.col("q")).otherwise(F.lit(0.0)), F.when(F.col("usable"), F.col("n")).otherwise(F.lit(0))
     ocr = F.col("ocr").isNotNull() & ((F.col("ocr_q") > q) | (F.col("ocr_n") > 1.5 * n))

@@ -14,6 +14,9 @@ from folioflow.operators import folds, layout, metrics, spans
 from folioflow.operators.sentences import sentence_counts, sentence_list, sentences
 from folioflow.plans.fixtures import view, with_views
 
+#: Sought in every document: common words, parts of words, and what hardly any has.
+KEYWORDS = ["the", "DE", "and", "la", "und", "que", "of", "der", "Token", "license", "tion", "sch", "ness", "xyzzy"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -409,13 +412,18 @@ def page_alignment_diagnostic(spark, sf_dir):
 
 ORACLES["page_alignment_diagnostic"] = _cte(["doc_lines"], q_alignment("true", "mr.edge", "CASE WHEN spread < 10 THEN 'justify' WHEN spread < 30 THEN 'mixed' WHEN spread IS NOT NULL THEN 'left' END"))
 
-Q_LEVELS = """(SELECT size, CAST(row_number() OVER (ORDER BY size DESC) AS BIGINT) AS level FROM (SELECT CAST(round_even(size, 0) AS BIGINT) AS size, sum(length(text)) AS chars FROM doc_lines GROUP BY 1) s,
-(SELECT arg_max(size, chars) AS body FROM (SELECT CAST(round_even(size, 0) AS BIGINT) AS size, sum(length(text)) AS chars FROM doc_lines GROUP BY 1)) b WHERE size > body ORDER BY size DESC LIMIT 4)"""
+Q_LEVELS = """(SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS BIGINT) AS level FROM (
+SELECT doc_id, size, arg_max(size, chars * 100 + size) OVER (PARTITION BY doc_id) AS body FROM (SELECT CAST(floor(page_id / 4) AS BIGINT) AS doc_id, CAST(round_even(size, 0) AS BIGINT) AS size, sum(length(text)) AS chars FROM doc_lines GROUP BY 1, 2)) WHERE size > body QUALIFY level <= 4)"""
+
+
+def _book_lines(spark, sf_dir):
+    """Lines of documents of four pages."""
+    return view(spark, sf_dir, "doc_lines").withColumn("doc_id", F.floor(F.col("page_id") / 4))
 
 
 @query(f"SELECT * FROM {Q_LEVELS}", ("doc_lines",))
 def heading_levels(spark, sf_dir):
-    return layout.heading_levels(view(spark, sf_dir, "doc_lines"))
+    return layout.heading_levels(_book_lines(spark, sf_dir))
 
 
 Q_FLAGS = """(SELECT *, (flags & 16) <> 0 OR contains(lower(font), 'bold') AS bold, (flags & 2) <> 0 OR contains(lower(font), 'italic') AS italic,
@@ -477,13 +485,13 @@ def q_ends(x: str, marks: str, longer: int, capitals: int) -> str:
 
 
 @query(
-    f""", h AS (SELECT d.*, coalesce(v.level, 0) AS level FROM doc_lines d LEFT JOIN {Q_LEVELS} v ON CAST(round_even(d.size, 0) AS BIGINT) = v.size),
+    f""", h AS (SELECT d.*, coalesce(v.level, 0) AS level FROM doc_lines d LEFT JOIN {Q_LEVELS} v ON CAST(floor(d.page_id / 4) AS BIGINT) = v.doc_id AND CAST(round_even(d.size, 0) AS BIGINT) = v.size),
 p AS (SELECT *, lag(text) OVER w AS pt, lag(y1) OVER w AS py, lag(size) OVER w AS ps, lag(level) OVER w AS pl, lag(bold) OVER w AS pb, lag(line_no) OVER w AS pn FROM h WINDOW w AS (PARTITION BY page_id, block_no ORDER BY line_no))
 SELECT page_id, block_no, line_no, CAST(sum(CASE WHEN pn IS NULL THEN 0 WHEN ({q_ends("pt", ".!?:", 2, 0)} AND y0 - py > 0.8 * (ps + size) / 2) OR pl <> level OR (level = 0 AND pb <> bold) OR {q_kind("text")} IS NOT NULL OR y0 - py > 1.5 * (ps + size) / 2 THEN 1 ELSE 0 END)
 OVER (PARTITION BY page_id, block_no ORDER BY line_no) AS BIGINT) AS group_no FROM p"""
 )
 def paragraph_groups(spark, sf_dir):
-    lines = view(spark, sf_dir, "doc_lines")
+    lines = _book_lines(spark, sf_dir)
     return layout.paragraphs(layout.with_headings(lines, layout.heading_levels(lines))).select("page_id", "block_no", "line_no", "group_no")
 
 
@@ -503,17 +511,25 @@ def _page_blocks(spark, sf_dir):
 _META = "|".join(config.METADATA)
 
 
+def q_title(x: str) -> str:
+    t, cased = q_strip(x), r"\p{Lu}\p{Ll}\p{Lt}"
+    title = rf"(regexp_matches({t}, '\p{{Lu}}|\p{{Lt}}') AND NOT regexp_matches({t}, '(^|[^{cased}])\p{{Ll}}|[{cased}][\p{{Lu}}\p{{Lt}}]'))"
+    capitals = rf"(regexp_matches({t}, '\p{{Lu}}') AND NOT regexp_matches({t}, '\p{{Ll}}|\p{{Lt}}'))"
+    return f"({t} <> '' AND length({t}) < 50 AND len({q_words(x)}) <= 8 AND right({t}, 1) NOT IN ('.', ',', ';', ':') AND ({title} OR {capitals}))"
+
+
 @query(
     rf""", b AS (SELECT * FROM ({_BLOCK_TEXT}) JOIN page_blocks USING (page_id, block_no)),
 p AS (SELECT *, lag(text) OVER w AS pt, lag(y1) OVER w AS py1, lag(y0) OVER w AS py0, lag(size) OVER w AS ps, lag(bold) OVER w AS pb, lag(block_no) OVER w AS pn, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM b WINDOW w AS (PARTITION BY page_id ORDER BY block_no))
 SELECT page_id, block_no, CAST(sum(CASE WHEN pn IS NULL THEN 0 WHEN {q_ends("pt", ".!?", 3, 1)} OR ((regexp_matches(lower(rtrim(pt)), '{_META}') OR regexp_matches(rtrim(pt), '\b(19|20)\d{{2}}\b\s*$')) AND length(rtrim(pt)) < 60)
-OR size / ps > 1.15 OR size / ps < 0.85 OR pb <> bold OR {q_kind("text")} IS NOT NULL OR y0 - py1 > ps + size
+OR size / ps > 1.15 OR size / ps < 0.85 OR pb <> bold OR {q_kind("text")} IS NOT NULL OR y0 - py1 > ps + size OR {q_title("text")}
 OR (coalesce(try_cast(nullif(regexp_extract({q_strip("text")}, '^(\d{{1,2}})\s', 1), '') AS INT), 0) BETWEEN 1 AND 99 AND (size < 9.5 OR y0 > 0.70 * 842))
 OR ((y0 < 0.08 * 842) <> (py1 < 0.08 * 842)) OR ((y0 > 0.92 * 842) <> (py0 > 0.92 * 842))
 OR greatest(0, least(x1, px1) - greatest(x0, px0)) / greatest(1, least(x1 - x0, px1 - px0)) < 0.30 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY block_no) AS BIGINT) AS group_no FROM p"""
 )
 def block_groups(spark, sf_dir):
-    return layout.blocks(_page_blocks(spark, sf_dir)).select("page_id", "block_no", "group_no")
+    found = _page_blocks(spark, sf_dir).withColumn("title", T.title_like("text"))
+    return layout.blocks(found, titles="title").select("page_id", "block_no", "group_no")
 
 
 ORACLES["block_groups"] = _cte(["doc_lines", "page_blocks"], ORACLES["block_groups"])
@@ -553,11 +569,10 @@ def corpus_summary(spark, sf_dir):
 @query(
     """SELECT *, CASE WHEN recall >= 0.9 THEN 'good' WHEN recall >= 0.7 THEN 'fair' ELSE 'poor' END AS band FROM (SELECT doc_id, count(*) AS total, count(*) FILTER (hit) AS found,
 coalesce(string_agg(keyword, ';' ORDER BY keyword) FILTER (NOT hit), '') AS missing, round(CAST(count(*) FILTER (hit) AS DOUBLE) / count(*), 6) AS recall
-FROM (SELECT doc_id, keyword, contains(lower(text), lower(keyword)) AS hit FROM keywords JOIN documents USING (doc_id)) GROUP BY doc_id)""",
-    ("keywords",),
+FROM (SELECT doc_id, keyword, contains(lower(text), lower(keyword)) AS hit FROM documents, (SELECT unnest([{}]) AS keyword)) GROUP BY doc_id)""".format(", ".join(f"'{k}'" for k in KEYWORDS)),
 )
 def keyword_recall(spark, sf_dir):
-    return metrics.keyword_recall(docs(spark, sf_dir), view(spark, sf_dir, "keywords")).withColumn("recall", rounded(F.col("recall")))
+    return metrics.keyword_recall(docs(spark, sf_dir), KEYWORDS).withColumn("recall", rounded(F.col("recall")))
 
 
 @query(
@@ -625,10 +640,10 @@ def table_block_exclusion(spark, sf_dir):
 
 
 def _after(lines: DataFrame) -> DataFrame:
-    return lines.where("line_no % 5 <> 4").withColumn("y0", F.col("y0") * (1 + F.col("page_id") % 4 / 10)).withColumn("text", T.translated(F.col("text")))
+    return lines.where("line_no % 5 <> 4").withColumn("y0", F.col("y0") * (1 + F.col("page_id") % 4 / 8)).withColumn("text", T.translated(F.col("text")))
 
 
-_AFTER = "(SELECT page_id, block_no, line_no, '[TR] ' || text AS text, size, y0 * (1 + page_id % 4 / 10.0::DOUBLE) AS y0 FROM doc_lines WHERE line_no % 5 <> 4)"
+_AFTER = "(SELECT page_id, block_no, line_no, '[TR] ' || text AS text, size, y0 * (1 + page_id % 4 / 8.0::DOUBLE) AS y0 FROM doc_lines WHERE line_no % 5 <> 4)"
 
 
 @query(
@@ -642,14 +657,15 @@ def yspan_ratio(spark, sf_dir):
 
 
 @query(
-    f"""SELECT page_id, old_blocks, old_lines, old_chars, round(old_size, 6) AS old_size, new_blocks, new_lines, new_chars, round(new_size, 6) AS new_size, round_even(CASE WHEN old_chars = 0 THEN 0 ELSE new_chars::DOUBLE / old_chars END, 2) AS chars_ratio FROM (
-SELECT page_id, count(DISTINCT block_no) AS old_blocks, count(*) AS old_lines, CAST(sum(length(text)) AS BIGINT) AS old_chars, round_even(avg(size), 1) AS old_size FROM doc_lines GROUP BY page_id)
-JOIN (SELECT page_id, count(DISTINCT block_no) AS new_blocks, count(*) AS new_lines, CAST(sum(length(text)) AS BIGINT) AS new_chars, round_even(avg(size), 1) AS new_size FROM {_AFTER} GROUP BY page_id) USING (page_id)""",
+    f"""SELECT *, round_even({q_ratio("new_chars", "old_chars")}, 2) AS chars_ratio, round_even({q_ratio("new_y_span", "old_y_span")}, 2) AS y_span_ratio, round_even({q_ratio("new_size", "old_size")}, 2) AS size_ratio, page_id % 5 - page_id % 3 AS links_lost FROM (
+SELECT page_id, count(DISTINCT block_no) AS old_blocks, count(*) AS old_lines, CAST(sum(length(text)) AS BIGINT) AS old_chars, round_even(avg(size), 1) AS old_size, round_even(max(y0) - min(y0), 1) AS old_y_span FROM doc_lines GROUP BY page_id)
+FULL JOIN (SELECT page_id, count(DISTINCT block_no) AS new_blocks, count(*) AS new_lines, CAST(sum(length(text)) AS BIGINT) AS new_chars, round_even(avg(size), 1) AS new_size, round_even(max(y0) - min(y0), 1) AS new_y_span FROM {_AFTER} GROUP BY page_id) USING (page_id)""",
     ("doc_lines",),
 )
 def before_after(spark, sf_dir):
     lines = view(spark, sf_dir, "doc_lines")
-    return metrics.compared(lines, _after(lines))
+    media = docs(spark, sf_dir).select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 5).alias("links_before"), (F.col("doc_id") % 3).alias("links_after"))
+    return metrics.compared(lines, _after(lines), media)
 
 
 @query(
@@ -680,14 +696,6 @@ def pending_pages(spark, sf_dir):
     return metrics.pending(pages, pages.where("page_id % 3 = 0").select("page_id")).select("page_id", "url")
 
 
-@query(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN greatest(b, least(14, w / 35)) ELSE b END AS body, length(text) > 2000 OR doc_id % 25 > 20 AS dense FROM (SELECT *, greatest(8.0::DOUBLE, least(11, w / 50)) AS b FROM (SELECT doc_id, text, CAST(300 + doc_id % 500 AS DOUBLE) AS w FROM documents))"""
-)
-def font_sizing(spark, sf_dir):
-    f = layout.font_sizing((300 + F.col("doc_id") % 500).cast("double"), F.length("text"), F.col("doc_id") % 25, F.col("doc_id") % 2 == 0)
-    return docs(spark, sf_dir).select("doc_id", f.alias("f")).select("doc_id", "f.body", "f.dense")
-
-
 @query("SELECT doc_id, CAST((round_even(degrees(atan2(-sin(radians(a)), cos(radians(a)))) / 90, 0) * 90 + 360) AS INT) % 360 AS rotation FROM (SELECT doc_id, CAST(doc_id % 8 * 50 AS DOUBLE) AS a FROM documents)")
 def rotation(spark, sf_dir):
     a = F.radians((F.col("doc_id") % 8 * 50).cast("double"))
@@ -704,25 +712,24 @@ def column_sides(spark, sf_dir):
     return metrics.column_sides(view(spark, sf_dir, "doc_lines"), F.lit(297.5))
 
 
-_CANDIDATES = "SELECT page_id, m AS method_ord, 'm' || m AS method, CASE WHEN m = 0 AND page_id % 4 = 0 THEN '' WHEN m = 0 AND page_id % 4 = 1 THEN 'x y z # # # $ $ % a b c' ELSE text END AS text, CASE WHEN page_id % 5 = 0 THEN concat(text, ' and more of it') END AS ocr FROM (SELECT page_id, line_no, text FROM doc_lines WHERE line_no = 0) l CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1) k"
+_CANDIDATES = "SELECT page_id, m AS method_ord, 'm' || m AS method, CASE WHEN m = 0 AND page_id % 4 = 0 THEN '' WHEN m = 0 AND page_id % 4 = 1 THEN 'x y z # # # $ $ % a b c' ELSE text END AS text, CASE WHEN page_id % 5 = 0 THEN concat(text, ' and more of it') END AS ocr FROM (SELECT doc_id AS page_id, text FROM documents) l CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1) k"
 
 
 @query()
 def chosen_text(spark, sf_dir):
-    lines = view(spark, sf_dir, "doc_lines")
-    return metrics.chosen_text(spark.sql(_CANDIDATES.replace("FROM doc_lines", "FROM {lines}").replace("AS ocr FROM", "AS ocr_text FROM"), lines=lines))
+    pages = docs(spark, sf_dir)
+    return metrics.chosen_text(spark.sql(_CANDIDATES.replace("FROM documents", "FROM {pages}").replace("AS ocr FROM", "AS ocr_text FROM"), pages=pages))
 
 
 def _q_score_of(c: str) -> str:
     return Q_SCORE.replace("text", c)
 
 
-ORACLES["chosen_text"] = _cte(
-    ["doc_lines"],
-    f""", c AS (SELECT *, {Q_SCORE} AS q, len({q_words("text")}) AS n, length({q_strip("text")}) > 10 AS u FROM ({_CANDIDATES})),
+ORACLES["chosen_text"] = (
+    f"""WITH c AS (SELECT *, {Q_SCORE} AS q, len({q_words("text")}) AS n, length({q_strip("text")}) > 10 AS u FROM ({_CANDIDATES})),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY u DESC, CASE WHEN u AND q > 0.8 THEN method_ord ELSE 1000000 END, q DESC, method_ord) = 1),
 d AS (SELECT *, CASE WHEN u AND (q > 0.8 OR (q >= 0.5 AND n >= 15)) THEN method WHEN ocr IS NOT NULL AND (({_q_score_of("ocr")}) > CASE WHEN u THEN q ELSE 0 END OR len({q_words("ocr")}) > 1.5 * CASE WHEN u THEN n ELSE 0 END) THEN 'ocr' WHEN u THEN method ELSE 'none' END AS chosen FROM b)
-SELECT page_id, chosen AS method, CASE chosen WHEN 'ocr' THEN ocr WHEN 'none' THEN '[no text]' ELSE text END AS text FROM d""",
+SELECT page_id, chosen AS method, CASE chosen WHEN 'ocr' THEN ocr WHEN 'none' THEN '[no text]' ELSE text END AS text FROM d"""
 )
 
 # without SQL: folds, Unicode tables, Python's notion of title case
@@ -781,9 +788,12 @@ def nfkc_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", folds.normalized_for_translation(F.concat(F.lit("ﬁ ½ “a” – "), F.col("text"))).alias("text"))
 
 
-@query()
+_HEADED = "CASE WHEN r = 0 THEN upper(substr(text, 1, 30)) WHEN r < 4 THEN regexp_replace(substr(text, 3, 24), '[.,;:]', ''{G}) WHEN r = 4 THEN 'Of The Things That Were' WHEN r = 5 THEN 'McDonald Said It''S So' WHEN r = 6 THEN 'Éa 3b ÇÀ' ELSE text END"
+
+
+@query(f"SELECT doc_id, line_no, {q_title('t')} AS title_like FROM (SELECT doc_id, line_no, {_HEADED.replace('{G}', ', ' + chr(39) + 'g' + chr(39))} AS t FROM decorated)", ("decorated",))
 def title_case_lines(spark, sf_dir):
-    return view(spark, sf_dir, "decorated").select("doc_id", "line_no", folds.title_like("text").alias("title_like"))
+    return view(spark, sf_dir, "decorated").select("doc_id", "line_no", T.title_like(F.expr(_HEADED.replace("{G}", "").replace("''S", "\\'S"))).alias("title_like"))
 
 
 @query()

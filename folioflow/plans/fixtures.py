@@ -53,7 +53,7 @@ SELECT page_id, blk_no, type, x0, y0, x0 + w AS x1, y0 + 30 AS y1, CAST(595 AS D
 FROM (SELECT page_id, k AS blk_no, CASE WHEN (page_id + k) % 7 = 6 THEN 'figure' WHEN k = 0 THEN 'title' ELSE 'text' END AS type,
   CAST(CASE WHEN page_id % 4 = 0 THEN 150 + 10 * (k % 3) WHEN page_id % 4 = 1 THEN 40 + 180 * (k % 3) WHEN page_id % 4 = 2 THEN 40 + 265 * (k % 2) ELSE 30 + 130 * (k % 2) + 3 * k END AS DOUBLE) AS x0,
   CAST(CASE WHEN page_id % 4 = 0 THEN 300 WHEN page_id % 4 = 1 THEN 150 WHEN page_id % 4 = 2 THEN 240 ELSE 120 END AS DOUBLE) AS w,
-  CAST(60 + 70 * (k / 2) AS DOUBLE) AS y0 FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) n) q""",
+  CAST(60 + 70 * floor(k / 2) + length(html) % 11 AS DOUBLE) AS y0 FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) n) q""",
     "boxes": """
 SELECT doc_id AS page_id, line_no * 1000 + pos AS box_no, token AS txt, CAST(72 + 40 * pos AS DOUBLE) AS x_min, CAST(72 + 40 * pos + 7 * length(token) AS DOUBLE) AS x_max,
   CAST(100 + 20 * line_no + (pos % 3) AS DOUBLE) AS y_min, CAST(114 + 20 * line_no + (pos % 3) AS DOUBLE) AS y_max,
@@ -62,8 +62,6 @@ SELECT doc_id AS page_id, line_no * 1000 + pos AS box_no, token AS txt, CAST(72
 SELECT page_id AS doc_id, concat(regexp_replace(replace(replace(replace(replace(replace(html, '<h1>', concat(chr(10), '# ')), '</h1>', concat(chr(10), chr(10))),
   '</p>', concat(chr(10), chr(10))), '</li>', chr(10)), '<br>', chr(10)), '<[^>]+>', ''{G}), chr(10), '| name | page |', chr(10), '|---|---|', chr(10),
   '| p', CAST(page_id AS VARCHAR(20)), ' | x < y & z |', chr(10), '| | k |', chr(10), '![img](x)', chr(10), 'tail **bold** [link](http://ex.org)', chr(10), '### end', chr(10), 'last') AS text FROM pages""",
-    "keywords": """
-SELECT d.doc_id, b.keyword FROM documents d CROSS JOIN (SELECT substr(text, 1, 9) AS keyword FROM benchmark WHERE item_id < 12 UNION ALL SELECT 'the' UNION ALL SELECT 'DE') b""",
     "page_images": """
 SELECT page_id, CAST(595 AS DOUBLE) AS width, CAST(842 AS DOUBLE) AS height, CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 60 WHEN 3 THEN 75 ELSE 95 END AS pct,
   CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'a few words of text on it' ELSE html END AS text FROM pages""",

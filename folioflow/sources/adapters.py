@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow import config
+from folioflow.functions import text as T
+from folioflow.operators import folds
+
 
 class Translator(Protocol):
     """Translates a batch of texts; one instance lives in each worker."""
@@ -28,10 +34,53 @@ class IdentityTranslator:
         return list(texts)
 
 
+class Recognizer(Protocol):
+    """Reads text off a page's image: (text, confidence); mode is text or table."""
+
+    def is_available(self) -> bool: ...
+
+    def recognize_text(self, image: bytes, mode: str = "text") -> tuple[str, float]: ...
+
+
+class LayoutReader(Protocol):
+    """Markdown of a page of a PDF file, with its blocks and size."""
+
+    def extract_page_markdown(self, pdf: bytes, page_num: int) -> tuple[str, dict]: ...
+
+
+def might_contain_table(text: str) -> bool:
+    """As functions.text.might_contain_table, for a worker that has just read the text."""
+    return text.count("|") > 4 or "\t" in text or sum("   " in line.strip() for line in text.split("\n")) > 3
+
+
+def recognized_page(engine: Recognizer, image: bytes, tables: bool = True) -> str:
+    """A page's text; where it may hold a table it is read again as one, which counts if the engine is surer of it."""
+    text, sure = engine.recognize_text(image, "text")
+    if text and tables and might_contain_table(text):
+        again, surer = engine.recognize_text(image, "table")
+        if again and surer > sure:
+            return again
+    return text or ""
+
+
+def model_pair(source: str, target: str) -> tuple[str, str]:
+    """A language pair that models exist for: one of the two is English; others raise ValueError."""
+    codes = set(config.LANGUAGES.values())
+    if not {source, target} <= codes or source == target or "en" not in (source, target):
+        raise ValueError(f"no model from {source} to {target}")
+    return source, target
+
+
 _loaded: dict[object, Translator] = {}
 MOST_LOADED = 4
 
 
+def translator_of(source: str, target: str, load: Callable[[str, str], Translator]) -> Translator:
+    """A worker's translator of a language pair."""
+    pair = model_pair(source, target)
+    return cached(pair, lambda: load(*pair))
+
+
 def cached(key: object, load: Callable[[], Translator]) -> Translator:
     """A worker's model of a key; the least recently used one makes room for a fifth."""
     found = _loaded.pop(key, None) or load()
@@ -60,29 +109,97 @@ def translate(units: DataFrame, translator: Translator) -> DataFrame:
     return units.select(F.col("page_id").cast("long"), F.col("unit_no").cast("int"), "source").mapInArrow(run, "page_id long, unit_no int, source string, translated string")
 
 
-def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
-    """Files under path whose name ends in .pdf; with parse, one row a page: path, page_no and its spans as JSON."""
+def list_files(spark: SparkSession, paths: list[str], pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
+    """(path, length) of files of that name under any of the folders, each once, in order; folders may overlap."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    found = [reader.load(p).select("path", "length") for p in paths]
+    return reduce(DataFrame.unionByName, found).distinct().orderBy("path")
+
+
+class Unreadable(RuntimeError):
+    """A file that the parser can't open; names it."""
+
+
+def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict]]) -> DataFrame:
+    """One row a page of the PDF files under path: path, page_no (from 0) and what parse gives for it, as JSON. A file that can't be parsed fails the query with its name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    if parse is None:
-        return files.select("path")
 
-    def run(batches):
-        import json
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a file at a time
+                try:
+                    pages = [json.dumps(page) for page in parse(content.as_py())]
+                except Exception as wrong:
+                    raise Unreadable(f"{name}: {wrong}") from wrong
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pages)), pa.array(range(len(pages)), pa.int32()), pa.array(pages, pa.string())], ["path", "page_no", "page"])
+
+    return files.mapInArrow(run, "path string, page_no int, page string")
+
+
+def read_scans(pages: DataFrame, engine: Recognizer, tables: bool = True) -> DataFrame:
+    """(page_id, text) of page images (page_id, image); null where the engine isn't there, fails or finds nothing."""
+
+    def one(image: bytes | None) -> str | None:
+        try:
+            return (recognized_page(engine, image, tables) or None) if image is not None and engine.is_available() else None
+        except Exception:
+            return None
+
+    return _mapped(pages.select("page_id", "image"), one)
+
+
+def read_layouts(pages: DataFrame, engine: LayoutReader) -> DataFrame:
+    """(page_id, text): markdown of pages (page_id, image: struct(pdf, page_no)); null where the engine fails or gives fewer than 5 characters."""
+
+    def one(page: dict | None) -> str | None:
+        try:
+            found = engine.extract_page_markdown(page["pdf"], page["page_no"])[0] if page else None
+        except Exception:
+            return None
+        return found if found and len(found.strip()) >= config.SHORTEST_MARKDOWN else None
 
-        import pandas as pd
+    return _mapped(pages.select("page_id", "image"), one)
 
-        for pdf in batches:
-            rows = [(p, k, json.dumps(page)) for p, c in zip(pdf["path"], pdf["content"], strict=True) for k, page in enumerate(parse(c))]
-            yield pd.DataFrame(rows, columns=["path", "page_no", "page"])
 
-    return files.mapInPandas(run, "path string, page_no int, page string")
+def _mapped(rows: DataFrame, one: Callable[[object], str | None]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x.as_py()) for x in batch.column(1)], pa.string())], ["page_id", "text"])
+
+    return rows.select(F.col("page_id").cast("long"), "image").mapInArrow(run, "page_id long, text string")
+
+
+def fallback(pages: DataFrame, layout: DataFrame, ocr: DataFrame) -> DataFrame:
+    """(page_id, source, text) of pages (page_id, text): markdown of the layout reader where there are 5 characters, else OCR output cleaned, else the page unchanged.
+
+    layout and ocr are (page_id, text) with a row a page at most, or none where an engine isn't there or failed.
+    """
+    cleaned = folds.post_processed("ocr_text")
+    long = lambda c, least: F.when(F.length(T.strip(c)) >= least, F.col(c))
+    both = pages.select("page_id", "text").join(layout.select("page_id", F.col("text").alias("markdown")), "page_id", "left")
+    both = both.join(ocr.select("page_id", F.col("text").alias("ocr_text")), "page_id", "left")
+    both = both.withColumn("markdown", long("markdown", config.SHORTEST_MARKDOWN)).withColumn("cleaned", cleaned).withColumn("cleaned", long("cleaned", config.SHORTEST_OCR))
+    source = F.when(F.col("markdown").isNotNull(), F.lit("layout")).when(F.col("cleaned").isNotNull(), F.lit("ocr")).otherwise(F.lit("unchanged"))
+    return both.select("page_id", source.alias("source"), F.coalesce("markdown", "cleaned", "text").alias("text"))
 
 
 def read_ocr_dumps(spark: SparkSession, path: str) -> DataFrame:
     """(path, page_no, pages, seconds, text) of text dumps, whose pages begin with `--- Pagina k/n ---` and `Tempo: s`."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return parse_ocr_dumps(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+
+
+def parse_ocr_dumps(files: DataFrame) -> DataFrame:
+    """The same of rows (path, value). What precedes the first page goes; a page without a time has null seconds."""
     header = r"--- Pagina (\d+)/(\d+) ---"
     found = files.select("path", F.regexp_extract_all("value", F.lit(header), 1).alias("k"), F.regexp_extract_all("value", F.lit(header), 2).alias("n"), F.slice(F.split("value", header), 2, 1_000_000).alias("body"))
     rows = found.select("path", F.explode(F.arrays_zip("k", "n", "body")).alias("p"))
-    body = F.regexp_replace("p.body", r"^\s*Tempo:\s*[0-9.]+\s*s\s*", "")
-    return rows.select("path", F.col("p.k").cast("int").alias("page_no"), F.col("p.n").cast("int").alias("pages"), F.regexp_extract("p.body", r"Tempo:\s*([0-9.]+)\s*s", 1).try_cast("double").alias("seconds"), F.trim(F.regexp_replace(body, r"\s+$", "")).alias("text"))
+    time = r"^\s*Tempo:\s*([0-9.]+)\s*s\s*"
+    return rows.select(
+        "path", F.col("p.k").cast("int").alias("page_no"), F.col("p.n").cast("int").alias("pages"), F.regexp_extract("p.body", time, 1).try_cast("double").alias("seconds"),
+        T.strip(F.regexp_replace("p.body", time, "")).alias("text"),
+    )
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Lines (value) as text files."""
+    lines.select("value").write.mode("overwrite").text(path)

@@ -3,13 +3,14 @@
 import duckdb
 import pytest
 
-from folioflow.plans.catalog import ORACLES, QUERIES
+from folioflow.plans.catalog import QUERIES
+from folioflow.plans.page_queries import ORACLES
 
 
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return con
 

@@ -1,13 +1,13 @@
 """Worked examples of operators, and properties over generated input."""
 
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import elements as E
-from folioflow.operators import folds, layout, metrics, spans
+from folioflow.operators import folds, layout, metrics, reports, spans
 from folioflow.operators.sentences import sentences
 from folioflow.sources import adapters
 from folioflow.streaming.batches import event_counts, translate_stream
@@ -119,7 +119,109 @@ def test_formats_on_translations():
 
 
 def test_packing():
-    assert folds.packed(["a" * 1600, "b", "c"], 1500) == ["a" * 1600, "b c"]
+    assert folds.packed(["a" * 1600, "b", "c"], 1500) == ["", "a" * 1600, "b c"]
+    assert folds.packed(["a" * 700, "b" * 800, "c"], 1500) == ["a" * 700 + " " + "b" * 800, "c"] and folds.packed([]) == []
+
+
+PLAIN_MAP = {"“": '"', "”": '"', "‘": "'", "’": "'", "„": '"', "‟": '"', "«": '"', "»": '"', "‹": "'", "›": "'", "–": "-", "—": "-", "−": "-"}
+PAGE_MAP = {"“": '"', "”": '"', "‘": "'", "’": "'", "«": '"', "»": '"', "„": '"', "‚": "'", "–": "-", "—": "-", "‒": "-", "―": "-", "−": "-"}
+
+
+def test_characters_of_both_normalizations(spark):
+    """Every character from U+00A0 to U+2300, against the standard library and maps written out here."""
+    import unicodedata
+
+    rows = [(chr(c),) for c in range(0xA0, 0x2300)] + [("ﬁ",), ("ﬄ",), ("½",)]
+    got = spark.createDataFrame(rows, "t string").select("t", folds.normalized_for_translation("t").alias("mt"), folds.normalized_for_page("t").alias("ocr"), folds.normalized_for_page("t", ocr=False).alias("native")).collect()
+    for r in got:
+        plain = unicodedata.normalize("NFKC", r.t)
+        assert r.native == plain
+        assert r.mt == "".join(PLAIN_MAP.get(x, x) for x in plain), r.t
+        assert r.ocr == "".join(PAGE_MAP.get(x, x) for x in plain), r.t
+
+
+@given(st.lists(st.text(st.sampled_from("aAéÉßǅ1 .,;:-ª'"), max_size=12), max_size=12))
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_title_case_is_pythons(spark, values):
+    def plain(t):
+        t = t.strip()
+        return bool(t) and len(t) < 50 and len(t.split()) <= 8 and t[-1] not in ".,;:" and (t.istitle() or t.isupper())
+
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, t string").select("k", T.title_like("t").alias("x")).collect()
+    assert {r.k: r.x for r in got} == {k: plain(v) for k, v in enumerate(values)}
+
+
+def test_engines_fall_back(spark):
+    class FakeOcr:
+        def is_available(self):
+            return True
+
+        def recognize_text(self, image, mode="text"):
+            if image == b"bad":
+                raise RuntimeError
+            text = image.decode()
+            return (f"| {text} |", 0.9 if "sure" in text else 0.1) if mode == "table" else (text, 0.5)
+
+    class FakeLayout:
+        def extract_page_markdown(self, pdf, page_num):
+            return ("# " + pdf.decode() if page_num else "#", {})
+
+    images = spark.createDataFrame([(1, bytearray(b"plain text")), (2, bytearray(b"a|b|c|d|e|f sure")), (3, bytearray(b"a|b|c|d|e|f")), (4, bytearray(b"bad")), (5, None)], "page_id long, image binary")
+    ocr = adapters.read_scans(images, FakeOcr())
+    assert {r.page_id: r.text for r in ocr.collect()} == {1: "plain text", 2: "| a|b|c|d|e|f sure |", 3: "a|b|c|d|e|f", 4: None, 5: None}
+    pages = spark.createDataFrame([(1, (bytearray(b"one"), 0)), (2, (bytearray(b"two"), 1)), (4, None)], "page_id long, image struct<pdf: binary, page_no: int>")
+    layouts = adapters.read_layouts(pages, FakeLayout())
+    assert {r.page_id: r.text for r in layouts.collect()} == {1: None, 2: "# two", 4: None}
+    got = adapters.fallback(spark.createDataFrame([(k, f"page {k}") for k in (1, 2, 4, 6)], "page_id long, text string"), layouts, ocr)
+    assert {r.page_id: (r.source, r.text) for r in got.collect()} == {1: ("ocr", "plain text"), 2: ("layout", "# two"), 4: ("unchanged", "page 4"), 6: ("unchanged", "page 6")}
+
+
+def test_languages_have_english_on_one_side():
+    import pytest
+
+    assert adapters.model_pair("it", "en") == ("it", "en")
+    for pair in (("it", "fr"), ("en", "en"), ("en", "xx")):
+        with pytest.raises(ValueError):
+            adapters.model_pair(*pair)
+    assert isinstance(adapters.translator_of("en", "nl", lambda a, b: adapters.IdentityTranslator()), adapters.IdentityTranslator)
+
+
+def test_files_are_listed_once_and_parsed(spark, tmp_path):
+    import json
+
+    import pytest
+
+    (tmp_path / "in").mkdir()
+    for name, body in [("b.pdf", "two pages"), ("in/a.pdf", "one"), ("c.txt", "x")]:
+        (tmp_path / name).write_text(body)
+    found = [r.path.rsplit("/", 1)[1] for r in adapters.list_files(spark, [str(tmp_path), str(tmp_path / "in")]).collect()]
+    assert found == ["b.pdf", "a.pdf"]
+    pages = adapters.read_pdfs(spark, str(tmp_path), lambda content: [{"word": w} for w in content.decode().split()])
+    assert sorted((r.path.rsplit("/", 1)[1], r.page_no, json.loads(r.page)["word"]) for r in pages.collect()) == [("a.pdf", 0, "one"), ("b.pdf", 0, "two"), ("b.pdf", 1, "pages")]
+    (tmp_path / "broken.pdf").write_text(" ")
+    with pytest.raises(Exception, match="broken.pdf"):
+        adapters.read_pdfs(spark, str(tmp_path), lambda content: [{"first": content.decode().split()[0]}]).collect()
+
+
+def test_page_numbers_are_checked(spark):
+    import pytest
+
+    pages = spark.createDataFrame([(["a", "b"],)], "pages array<string>")
+    assert pages.select(metrics.page_at(F.col("pages"), F.lit(1))).first()[0] == "b"
+    for wrong in (2, -1):
+        with pytest.raises(Exception, match="no page"):
+            pages.select(metrics.page_at(F.col("pages"), F.lit(wrong))).collect()
+
+
+def test_report_lines_are_written(spark, tmp_path):
+    lines = reports.table_report(spark.createDataFrame([(1, None), (2, "x")], "k int, v string"), ["k", "v"])
+    adapters.write_report(lines.coalesce(1), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1 | -", "2 | x"]
+
+
+def test_corrections_see_earlier_ones(spark):
+    assert one(spark, "ﬁ x", T.corrected("text", [("ﬁ", "fl"), ("fl", "z")]))[0] == "z x"
+    assert one(spark, "5ection c0ntract ofﬁce JohnSmith theName", T.cleaned_ocr("text"))[0] == "Section contract office John Smith the Name"
 
 
 def test_first_seen_margin_wins(spark):
