@@ -83,9 +83,15 @@ def spread(sentence: str, lines: int) -> list[str]:
     return [" ".join(w[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-@pandas_udf(ArrayType(StringType()))
-def align_sentences(sentences: pd.Series, lines: pd.Series) -> pd.Series:
-    return pd.Series([aligned(list(s), int(n)) for s, n in zip(sentences, lines, strict=True)], dtype=object)
+def align_sentences(sentences: Column | str, lines: Column) -> Column:
+    """aligned() as an expression. Where sentences outnumber lines, an end is the rounded share of lines before it: shares of more than one never round to the same end."""
+    s = T.col(sentences)
+    n = F.size(s)
+    end = lambda k: F.when(k >= lines, n).otherwise(F.bround(k * (n / lines)).cast("int"))
+    merged = F.transform(F.sequence(F.lit(1), lines), lambda k: F.array_join(F.slice(s, end(k - 1) + 1, end(k) - end(k - 1)), " "))
+    blank = F.array_repeat(F.lit(""), lines)
+    found = F.when(n == 0, blank).when(n == lines, s).when(n < lines, T.distributed(F.array_join(s, " "), lines)).otherwise(merged)
+    return F.when(lines > 0, found).when(n > 0, F.array(F.array_join(s, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def _tagged(words: list[str], bold: bool, italic: bool) -> str:

@@ -735,12 +735,62 @@ SELECT page_id, chosen AS method, CASE chosen WHEN 'ocr' THEN ocr WHEN 'none' TH
 # without SQL: folds, Unicode tables, Python's notion of title case
 
 
+def q_post(source: str) -> str:
+    """CTEs from a table of (id, text), cleaned, to posted(id, text): line repair, artifacts and white space.
+
+    A line takes the next one's first word if it ends in a hyphen, unless it was itself taken whole: in a run of hyphenated lines of one word every other one takes.
+    """
+    q, spaced = q_strip, r"replace(regexp_replace(p, '[ \t]+', ' ', 'g'), chr(10), ' ')"
+    taken = r"CASE WHEN takes THEN own[:-2] || regexp_extract(follow, '^\S+') ELSE own END"
+    return rf""", l0 AS (SELECT id, n, {q("x")} AS t FROM (SELECT id, unnest(range(len(l))) AS n, unnest(l) AS x FROM (SELECT id, string_split(text, chr(10)) AS l FROM {source}))),
+l1 AS (SELECT *, ends_with(t, '-') AND coalesce(lead(t) OVER w, '') <> '' AS c, regexp_matches(t, '^\S+$') AS one, lead(t) OVER w AS follow FROM l0 WINDOW w AS (PARTITION BY id ORDER BY n)),
+l2 AS (SELECT *, max(CASE WHEN NOT (one AND c) THEN n END) OVER b AS j, last_value(CASE WHEN NOT (one AND c) THEN c AND NOT one END IGNORE NULLS) OVER b AS aj FROM l1 WINDOW b AS (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l3 AS (SELECT *, CASE WHEN one AND c THEN ((n - coalesce(j, -1)) % 2 = 1) <> coalesce(aj, false) ELSE c END AS takes FROM l2),
+l4 AS (SELECT *, CASE WHEN lag(takes) OVER (PARTITION BY id ORDER BY n) THEN regexp_replace(t, '^\S+\s*', '') ELSE t END AS own FROM l3),
+l5 AS (SELECT id, n, {q(taken)} AS t FROM l4),
+l6 AS (SELECT id, coalesce(string_agg(t, chr(10) ORDER BY n) FILTER (t = '' OR NOT (regexp_matches(t, '^\p{{Nd}}+$') OR (length(t) < 3 AND NOT regexp_matches(t, '^\p{{L}}+$')) OR regexp_matches(t, '^[^\p{{L}}\p{{N}}_]+$'))), '') AS text FROM l5 GROUP BY id),
+posted AS (SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: {q(spaced)}), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM l6)"""
+
+
+def q_cleaned(x: str) -> str:
+    """The rules of OCR output, written out for DuckDB."""
+    rules = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), (r"([A-Za-z])0([a-z])", r"\1o\2"), (r"([a-z])1([a-z])", r"\1l\2"), (r"\b5([a-z]{3})", r"S\1"), (r"([a-z]{3})([A-Z][a-z]{2})", r"\1 \2")]
+    for pattern, new in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return x
+
+
+def q_mapped(x: str, old: str, new: str) -> str:
+    quoted = new.replace("'", "''")
+    return f"translate({x}, '{old}', '{quoted}')"
+
+
+#: Characters that the two normalizations map, written out, and what they become.
+Q_MT = ("“”‘’„‟«»‹›–—−", "\"\"''\"\"\"\"''---")
+Q_PAGE = ("“”‘’«»„‚–—‒―−", "\"\"''\"\"\"'-----")
+# some lines of a document end in a hyphen, and some are one hyphenated word
+_BROKEN = "CASE line_no % 4 WHEN 0 THEN concat(text, '-') WHEN 1 THEN text WHEN 2 THEN 'sole-' ELSE CASE doc_id % 3 WHEN 0 THEN 'word-' WHEN 1 THEN '12' ELSE text END END"
+
+
 @query()
 def post_process_ocr(spark, sf_dir):
-    return view(spark, sf_dir, "markdown").select("doc_id", folds.post_processed("text").alias("text"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.expr(_BROKEN).alias("t")))), lambda x: x["t"])
+    pages = view(spark, sf_dir, "decorated").groupBy("doc_id").agg(F.array_join(ordered, "\n").alias("text"))
+    return pages.select("doc_id", folds.post_processed("text").alias("text"))
 
 
-@query()
+ORACLES["post_process_ocr"] = _cte(
+    ["decorated"],
+    f""", raw AS (SELECT doc_id AS id, string_agg({_BROKEN}, chr(10) ORDER BY line_no) AS text FROM decorated GROUP BY doc_id), cleaned AS (SELECT id, {q_tidy(q_cleaned("text"))} AS text FROM raw){q_post("cleaned")}
+SELECT id AS doc_id, text FROM posted""",
+)
+
+
+@query(
+    f"""SELECT doc_id, CAST(i AS INT) AS line, CASE WHEN len(l) > 5 THEN array_to_string(l[CAST(round_even(i * (len(l) / 5.0::DOUBLE), 0) AS INT) + 1 : CASE WHEN i = 4 THEN len(l) ELSE CAST(round_even((i + 1) * (len(l) / 5.0::DOUBLE), 0) AS INT) END], ' ')
+WHEN len(l) = 5 THEN l[i + 1] WHEN len(w) <= 5 THEN coalesce(w[i + 1], '') ELSE array_to_string(w[i * (len(w) // 5) + least(i, len(w) % 5) + 1 : (i + 1) * (len(w) // 5) + least(i + 1, len(w) % 5)], ' ') END AS text
+FROM (SELECT doc_id, l, {q_words("array_to_string(l, ' ')")} AS w FROM (SELECT doc_id, list(sentence ORDER BY sent_no) AS l FROM {Q_SENTENCES} GROUP BY doc_id)), (SELECT unnest(range(5)) AS i)"""
+)
 def align_sentences(spark, sf_dir):
     found = docs(spark, sf_dir).select("doc_id", sentence_list("text").alias("sentences")).where(F.size("sentences") > 0)
     return found.select("doc_id", F.posexplode(folds.align_sentences("sentences", F.lit(5))).alias("line", "text"))
@@ -756,7 +806,7 @@ def columns_ocr_gap(spark, sf_dir):
     return folds.columns_by_ocr_gaps(view(spark, sf_dir, "boxes"))
 
 
-@query()
+@query("SELECT page_id, box_no, dense_rank() OVER (PARTITION BY page_id ORDER BY y_min - box_no % 1000 % 3) - 1 AS row FROM boxes", ("boxes",))
 def anchored_rows(spark, sf_dir):
     return folds.anchored_rows(view(spark, sf_dir, "boxes"))
 
@@ -783,7 +833,8 @@ def format_map(spark, sf_dir):
     return _segments(spark, sf_dir).select(*spans.LINE, folds.format_map("segments", "translated").alias("html"))
 
 
-@query()
+# the documents hold no character that NFKC changes; those put before them do
+@query("SELECT doc_id, concat('fi 1⁄2 \"a\" - ', {}) AS text FROM documents".format(q_mapped("text", *Q_MT)))
 def nfkc_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", folds.normalized_for_translation(F.concat(F.lit("ﬁ ½ “a” – "), F.col("text"))).alias("text"))
 
@@ -796,7 +847,10 @@ def title_case_lines(spark, sf_dir):
     return view(spark, sf_dir, "decorated").select("doc_id", "line_no", T.title_like(F.expr(_HEADED.replace("{G}", "").replace("''S", "\\'S"))).alias("title_like"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id AS page_id, CAST(n AS INT) AS unit_no, source, CASE WHEN length({q_strip('source')}) >= 2 THEN '[TR] ' || source ELSE source END AS translated
+FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS source FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+)
 def translate_pages_mock(spark, sf_dir):
     from folioflow.sources.adapters import MarkTranslator, translate
 

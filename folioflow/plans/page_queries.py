@@ -8,7 +8,7 @@ from folioflow.functions import text as T
 from folioflow.operators import elements as E
 from folioflow.operators import extraction, folds, layout, metrics, reports, spans
 from folioflow.operators.sentences import sentence_list
-from folioflow.plans.catalog import _AFTER, Q_ELEMENTS, Q_FLAGS, Q_NARROW, _after, _cte, _page_blocks, docs, q_kind, q_prefix, q_ratio, q_strip, q_words, query, rounded, table
+from folioflow.plans.catalog import _AFTER, Q_ELEMENTS, Q_FLAGS, Q_MT, Q_NARROW, Q_PAGE, _after, _cte, _page_blocks, docs, q_kind, q_cleaned, q_mapped, q_post, q_prefix, q_ratio, q_strip, q_tidy, q_words, query, rounded, table
 from folioflow.plans.catalog import ORACLES as ORACLES
 from folioflow.plans.fixtures import view
 from folioflow.sources import adapters
@@ -229,13 +229,6 @@ def capital_sentences(spark, sf_dir):
     return found.withColumn("sent_no", F.col("sent_no").cast("long"))
 
 
-def q_cleaned(x: str) -> str:
-    rules = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), (r"([A-Za-z])0([a-z])", r"\1o\2"), (r"([a-z])1([a-z])", r"\1l\2"), (r"\b5([a-z]{3})", r"S\1"), (r"([a-z]{3})([A-Z][a-z]{2})", r"\1 \2")]
-    for pattern, new in rules:
-        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
-    return x
-
-
 _MISREAD = "concat('5ection c0ntract art1cle oﬃce ﬁnal ﬂow AuthorizedDealer ', text)"
 
 
@@ -246,7 +239,7 @@ def ocr_corrections(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.corrected(F.expr(_MISREAD), config.OCR_RULES).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, line_no, {q_tidy(q_cleaned('text'))} AS text FROM decorated", ("decorated",))
 def clean_ocr_text(spark, sf_dir):
     return view(spark, sf_dir, "decorated").select("doc_id", "line_no", T.cleaned_ocr("text").alias("text"))
 
@@ -254,11 +247,7 @@ def clean_ocr_text(spark, sf_dir):
 _FANCY = "concat('“a” ‘b’ «c» „d‚ ‟e ‹f› – — ‒ ― − … ', text)"
 
 
-@query(
-    "SELECT doc_id, {} AS text, {} AS page FROM documents".format(
-        f"translate({_FANCY}, '“”‘’„‟«»‹›–—−', '\"\"''''\"\"\"\"''''---')", f"replace(translate({_FANCY}, '“”‘’«»„‚–—‒―−', '\"\"''''\"\"\"''-----'), '…', '...')"
-    )
-)
+@query("SELECT doc_id, {} AS text, replace({}, '…', '...') AS page FROM documents".format(q_mapped(_FANCY, *Q_MT), q_mapped(_FANCY, *Q_PAGE)))
 def typographic_maps(spark, sf_dir):
     """The maps of both normalizations, without NFKC, which SQL lacks."""
     from folioflow import config
@@ -267,7 +256,7 @@ def typographic_maps(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.mapped(c, config.QUOTES | config.DASHES).alias("text"), T.mapped(c, config.PAGE_QUOTES | config.PAGE_DASHES).alias("page"))
 
 
-@query()
+@query("SELECT doc_id, concat('fi 1⁄2 \"a\" - ... ', replace({}, '…', '...')) AS ocr, concat('fi 1⁄2 “a” – ... ', text) AS native FROM documents".format(q_mapped("text", *Q_PAGE)))
 def pdf_normalize(spark, sf_dir):
     c = F.concat(F.lit("ﬁ ½ “a” – … "), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", folds.normalized_for_page(c).alias("ocr"), folds.normalized_for_page(c, ocr=False).alias("native"))
@@ -521,6 +510,14 @@ def fallback_chain(spark, sf_dir):
     return adapters.fallback(d, lines, d.where("page_id % 2 = 0"))
 
 
+ORACLES["fallback_chain"] = _cte(
+    ["markdown"],
+    f""", cleaned AS (SELECT doc_id AS id, {q_tidy(q_cleaned("text"))} AS text FROM documents WHERE doc_id % 2 = 0){q_post("cleaned")}
+SELECT d.doc_id AS page_id, CASE WHEN m.text IS NOT NULL THEN 'layout' WHEN p.text IS NOT NULL THEN 'ocr' ELSE 'unchanged' END AS source, coalesce(m.text, p.text, d.text) AS text FROM documents d
+LEFT JOIN (SELECT doc_id, text FROM markdown WHERE doc_id % 3 = 2 AND length({q_strip("text")}) >= 5) m USING (doc_id) LEFT JOIN (SELECT id, text FROM posted WHERE length({q_strip("text")}) >= 3) p ON p.id = d.doc_id""",
+)
+
+
 @query(f"SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM {Q_NARROW} GROUP BY page_id", ("layout_blocks",))
 def narrow_blocks(spark, sf_dir):
     return layout._narrow(view(spark, sf_dir, "layout_blocks")).groupBy("page_id").agg(F.count("*").alias("n"))
