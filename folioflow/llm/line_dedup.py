@@ -168,7 +168,7 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     Lines end at \n; a null or empty text has none, blank ones are never removed, and lines are equal if their words are,
     with case. The earlier document is that of the smaller id. A later copy loses everything that is long enough,
     wherever and however often it or the earlier document has it; what only one document repeats stays. Rows that repeat
-    an id count as one document, the one whose lines are met first, and each gets a row. Null ids are never changed. Extra columns are not read;
+    an id count as one document, with the lines of the row whose packed line hashes are greatest, whatever the order of rows, and each gets a row. Null ids are never changed. Extra columns are not read;
     an empty table gives an empty result.
     """
     lines = saved(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, n_lines long, keys binary, numbers binary, words binary"))

@@ -8,6 +8,7 @@ time at every corpus size. Whole texts are scored in one vectorised pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from folioflow.llm.scratch import saved
 GRAMS = (3, 4, 5, 6, 7)
 BITS = 20
 #: Training rows of each class, and features, at most.
-TRAINING, FEATURES = 6000, 1024
+TRAINING, FEATURES = 6000, 2048
 SMOOTHING, L2, STEPS = 1.0, 1e-4, 400
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -106,24 +107,29 @@ def _present(shared):
     return run
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient descent; columns of x are scaled features."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def _fit(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by accelerated gradient descent over sparse rows: the features that each has, at their scale; and the bias."""
+    size = np.array([len(r) for r in rows])
+    feature = np.concatenate([*rows, np.zeros(0, np.int32)])
+    row = np.repeat(np.arange(len(rows)), size)
     weight = weight / weight.sum()
-    v = np.ones(x.shape[1], np.float32)
+    n = len(scale)
+    ahead_of = lambda w: np.bincount(row, (w[:n] * scale)[feature], len(rows)) + w[n]
+    back_of = lambda v: np.append(np.bincount(feature, v[row], n) * scale, v.sum())
+    v = np.ones(n + 1)
     for _ in range(20):  # largest curvature
-        v = x.T @ (weight * (x @ v))
+        v = back_of(weight * ahead_of(v))
         v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (0.25 * float(v @ (x.T @ (weight * (x @ v)))) + L2)
-    w, ahead, t = np.zeros_like(v), np.zeros_like(v), 1.0
-    shrink = np.full(len(w), L2, np.float32)
-    shrink[-1] = 0
+    rate = 1 / (0.25 * float(v @ back_of(weight * ahead_of(v))) + L2)
+    w, ahead, t = np.zeros(n + 1), np.zeros(n + 1), 1.0
+    shrink = np.full(n + 1, L2)
+    shrink[n] = 0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = ahead - rate * (x.T @ (weight * (p - y)) + shrink * ahead)
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        p = 1 / (1 + np.exp(-np.clip(ahead_of(ahead), -30, 30)))
+        step = ahead - rate * (back_of(weight * (p - y)) + shrink * ahead)
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = step + (t - 1) / t2 * (step - w), step, t2
-    return w[:-1].astype(np.float64), float(w[-1])
+    return w[:n], float(w[n])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -151,16 +157,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # how much the feature tells about the class: difference of rates times log ratio
     scored = counts.withColumn("r", ratio).withColumn("gain", (rate("pos", pos) - rate("neg", neg)) * F.col("r"))
     best = sorted((r.slot, r.r) for r in scored.orderBy(F.desc("gain"), "slot").limit(FEATURES).collect())
-    slots, ratios = np.array([s for s, _ in best], np.int64), np.array([r for _, r in best], np.float32)
+    slots, ratios = np.array([s for s, _ in best], np.int64), np.array([r for _, r in best])
     shared = docs.sparkSession.sparkContext.broadcast(slots)
     sample = rows.mapInArrow(_present(shared), "toxic int, present binary").collect()
-    x = np.zeros((len(sample), len(slots)), np.float32)
-    for k, r in enumerate(sample):
-        found = np.frombuffer(r.present, np.int32)
-        x[k, found] = ratios[found]
-    y = np.array([r.toxic for r in sample], np.float32)
-    natural = np.where(y == 1, total[1] / max(1, pos), total[0] / max(1, neg)).astype(np.float32)
-    w, bias = _fit(x, y, natural)
+    y = np.array([r.toxic for r in sample], float)
+    natural = np.where(y == 1, total[1] / max(1, pos), total[0] / max(1, neg))
+    w, bias = _fit([np.frombuffer(r.present, np.int32) for r in sample], ratios, y, natural)
     return Model(slots, w * ratios, bias)
 
 
