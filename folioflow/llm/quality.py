@@ -158,12 +158,13 @@ def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
 def limits(sketch: DataFrame) -> DataFrame:
     """(lang, source, feature, limit, own) of each cell of a sketch by lang and source; own says that no coarser group's reach replaced the cell's.
 
-    From corpus to language to source, each level's middle and reach are drawn towards the level above, the less the more texts it has.
+    From corpus to language to source, each level's middle and reach are drawn towards the level above, the less the more texts it has. There is
+    none above the corpus, so few texts in all widen its reach, by 1 + PRIOR / n.
     """
     lang = merged(sketch, ["lang"])
     own = lambda k: F.col(f"docs{k}") / (F.col(f"docs{k}") + PRIOR)
     named = lambda x, k: x.select(*[F.col(c).alias(f"{c}{k}") if c in ("docs", "mid", "reach") else F.col(c) for c in x.columns])
-    out = named(quantiles(merged(lang, []), []), 2)
+    out = named(quantiles(merged(lang, []), []).withColumn("reach", F.col("reach") * (1 + PRIOR / F.col("docs"))), 2)
     for k, (finer, groups) in enumerate([(lang, ["lang"]), (sketch, ["lang", "source"])]):
         here, up = f"{1 - k}", f"{2 - k}"
         keys = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups[:-1]]

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of the Arrow batches that a Python worker holds, unless the session asks for fewer.
+#: Rows of the Arrow batches that a Python worker holds, unless the session asks for fewer. Spark bounds a batch by bytes too (arrow.maxBytesPerBatch, 64 MiB).
 BATCH_ROWS, ROWS = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

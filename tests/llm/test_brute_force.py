@@ -201,7 +201,7 @@ def test_limits_are_those_of_exact_quantiles(spark, small):
         mid, low, high = (x[int(np.ceil(q * len(x))) - 1] for q in (quality.MID, quality.LOW, quality.HIGH))
         reach = quality.SPREADS * (mid - low) if varies else quality.TAILS * (high - mid)
         if up is None:
-            return mid, reach
+            return mid, reach * (1 + quality.PRIOR / len(x))
         reach = max(reach, quality.LEAST_PART * up[1]) if varies else reach
         own = len(x) / (len(x) + quality.PRIOR)
         return own * mid + (1 - own) * up[0], own * reach + (1 - own) * up[1]

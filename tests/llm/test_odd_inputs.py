@@ -71,3 +71,49 @@ def test_chat_odd(spark):
     assert chat.digests(chat.formatted(turns.where(F.lit(False)))).count() == 0
     with pytest.raises(ValueError):
         chat.table_turns(turns.drop("turn"))
+
+
+@pytest.mark.parametrize("case", ["odd", "clashing", "nothing"])
+def test_pipeline_odd(spark, odd, clashing, nothing, tmp_path, case):
+    import corpus_pipeline as p
+
+    docs = {"odd": odd, "clashing": clashing, "nothing": nothing}[case]
+    good = " ".join(f"good{i}" for i in range(70))
+    docs = docs.unionByName(spark.createDataFrame([(50, good, "en", "b", 9), (51, f"{good} almost", "en", "b", 9), (52, None, None, None, None)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema), allowMissingColumns=True) if case != "nothing" else docs
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = seen.columns
+    for name, stage in p.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == names, name
+        seen = spark.createDataFrame(seen.collect(), seen.schema)
+    kept = sorted(r.doc_id for r in seen.collect())
+    assert kept == ([] if case == "nothing" else [1, 50])  # 2 is a copy, 51 a near one, 8 repeats itself, words of 9 and 10 are twice as long as others, the rest are too short or have no text
+    assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == kept
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioflow.llm import scratch
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(far)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """Wide rows come in batches of 64 MiB at most (Spark's own bound), whatever the number of rows."""
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 1 << 26
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    wide = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 1000000) AS text")
+    got = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 290_000_000 and max(got) < 80_000_000
