@@ -31,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": sql.NEAR_DEDUP, "op3_decontaminate": sql.DECONTAMINATE, "op7_chat": sql.CHAT}
+    return {"op2_near_dedup": sql.NEAR_DEDUP, "op3_decontaminate": sql.DECONTAMINATE, "op4_quality": sql.QUALITY, "op7_chat": sql.CHAT}

@@ -590,3 +590,56 @@ def test_pipeline(spark, small):
     assert decontaminate.contamination(seen, queries.table(spark, small, "benchmark")).where("n_hit > 0").count() == 0
     assert near_dedup.near_duplicates(seen).where("not kept").count() == 0
     assert sorted(r.doc_id for r in p.run(spark, small).collect()) == sorted(r.doc_id for r in seen.collect())
+
+
+def duck(sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, small, name):
+    sf = small.replace("0.001", "0.01")
+    df = queries.queries()[name](spark, sf)
+    want = duck(sf).sql(queries.oracle_sql()[name])
+    order = sorted(df.columns)
+    assert sorted(want.columns) == order
+    rows = sorted(tuple(r[want.columns.index(c)] for c in order) for r in want.fetchall())
+    assert sorted(tuple(r[c] for c in order) for r in df.collect()) == rows
+
+
+# runs of whole lines that reach ten words, the shortest from each line on and back from it; a line goes if a run over it stands in an earlier document
+REMOVED = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(list_transform(x, lambda y: regexp_extract_all(y, '[^\x20\x09-\x0D]+'))) AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+k AS (SELECT doc_id, n, array_to_string(w, ' ') AS t, row_number() OVER o AS k, sum(len(w)) OVER o AS upto, sum(len(w)) OVER o - len(w) AS before FROM l WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+run AS (SELECT a.doc_id, a.k AS first, min(b.k) AS last FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k AND a.k + 9 AND b.upto - a.before >= 10 GROUP BY ALL
+UNION SELECT a.doc_id, max(b.k), a.k FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k - 9 AND a.k AND a.upto - b.before >= 10 GROUP BY ALL),
+said AS (SELECT r.doc_id, first, last, string_agg(t, chr(10) ORDER BY k) AS t FROM run r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN first AND last GROUP BY ALL),
+gone AS (SELECT doc_id, first, last FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS owner FROM said) WHERE owner < doc_id)
+SELECT doc_id, list_sort(list(DISTINCT n)) AS removed FROM gone JOIN k USING (doc_id) WHERE k.k BETWEEN first AND last GROUP BY doc_id"""
+
+
+def test_every_shared_passage_of_documents_is_found(spark, small):
+    """Against all documents at once: no passage that two of them share is lost, and nothing else goes."""
+    sf = small.replace("0.001", "0.01")
+    want = {d: r for d, r in duck(sf).sql(REMOVED).fetchall()}
+    got = {r.doc_id: r.removed for r in queries.op1_line_dedup(spark, sf).collect()}
+    assert len(want) > 50 and {d: r for d, r in got.items() if r} == want
+
+
+def test_passages_pair_documents_without_the_first_holder(spark):
+    rows = [(1, "one two three four five six\njunk\nx1 x2 x3 x4 x5 x6"), (2, "one two three four five six\nx1 x2 x3 x4 x5 x6\nown words"), (3, "some other\none two three four five six\nx1 x2 x3 x4 x5 x6")]
+    rows += [(10 + k, "\n".join(f"t{i} u{i} v{i}" for i in range(40))) for k in range(2)]
+    got = {r.doc_id: (r.removed, r.owners) for r in line_dedup.shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ([], []) and got[3] == ([1, 2], [2]) and got[11] == (list(range(40)), [10])
+
+
+@pytest.mark.parametrize("copies", [1000, 1001, 5000])
+def test_copies_lose_the_same_however_many(spark, copies):
+    text = "\n".join(" ".join(f"c{k}w{i}" for i in range(6)) for k in range(10))
+    got = line_dedup.shared_lines(spark.range(copies).withColumnRenamed("id", "doc_id").withColumn("text", F.lit(text)))
+    assert got.where("size(removed) = 10").count() == copies - 1 == got.where("owners = array(0L)").count()
