@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow import config
 from folioflow.functions import text as T
-from folioflow.operators import folds
+from folioflow.operators import folds, layout
 
 
 class Translator(Protocol):
@@ -48,6 +48,26 @@ class LayoutReader(Protocol):
     def extract_page_markdown(self, pdf: bytes, page_num: int) -> tuple[str, dict]: ...
 
 
+class Renderer(Protocol):
+    """Draws a page of a PDF file: (PNG bytes, width, height)."""
+
+    def render(self, pdf: bytes, page_num: int, zoom: float) -> tuple[bytes, int, int]: ...
+
+
+class ImageTools(Protocol):
+    """What OCR wants done to a page's image."""
+
+    def size(self, image: bytes) -> tuple[int, int]: ...
+
+    def prepare(self, image: bytes, crop_below: int, width: int, height: int, pad: int, contrast: float, sharpness: float) -> bytes: ...
+
+
+class ColumnFinder(Protocol):
+    """Columns of a native page: (x0, x1) from the left, of its blocks (x0, y0, x1, y1)."""
+
+    def columns(self, blocks: list[tuple[float, float, float, float]], width: float) -> list[tuple[float, float]]: ...
+
+
 def might_contain_table(text: str) -> bool:
     """As functions.text.might_contain_table, for a worker that has just read the text."""
     return text.count("|") > 4 or "\t" in text or sum("   " in line.strip() for line in text.split("\n")) > 3
@@ -136,6 +156,68 @@ def read_pdfs(spark: SparkSession, path: str, parse: Callable[[bytes], list[dict
     return files.mapInArrow(run, "path string, page_no int, page string")
 
 
+def render_pages(pages: DataFrame, renderer: Renderer, zoom: float = 2.0) -> DataFrame:
+    """(page_id, image, width, height) of pages (page_id, image: struct(pdf, page_no)); nulls where drawing fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, page in zip(batch.column(0), batch.column(1), strict=True):  # an image at a time
+                try:
+                    drawn = renderer.render(page["pdf"].as_py(), page["page_no"].as_py(), zoom)
+                except Exception:
+                    drawn = (None, None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), *(pa.array([v], k) for v, k in zip(drawn, (pa.binary(), pa.int32(), pa.int32()), strict=True))], ["page_id", "image", "width", "height"])
+
+    return pages.select(F.col("page_id").cast("long"), "image").mapInArrow(run, "page_id long, image binary, width int, height int")
+
+
+def side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(page_id, before, after): rendered pages of an original and its translation, for a viewer or a writer; pages that both have."""
+    return before.select("page_id", F.col("image").alias("before")).join(after.select("page_id", F.col("image").alias("after")), "page_id")
+
+
+def prepared_images(images: DataFrame, tools: ImageTools, most: int = 3000, least: int = 300, crop_below: int = 240, contrast: float = 1.3, sharpness: float = 1.5) -> DataFrame:
+    """(page_id, image) of rendered pages made ready for OCR: cropped, shrunk to `most` and padded to `least` pixels (layout.fitted()), with more contrast and sharpness; unchanged where the tools fail.
+
+    Where OCR then finds nothing, callers render at three quarters of the resolution and try again.
+    """
+
+    def one(image: bytes) -> bytes:
+        try:
+            width, height = tools.size(image)
+            scale = min(1.0, most / max(width, height))
+            return tools.prepare(image, crop_below, max(int(width * scale), 1), max(int(height * scale), 1), least, contrast, sharpness)
+        except Exception:
+            return image
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, image in zip(batch.column(0), batch.column(1), strict=True):
+                value = image.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([None if value is None else one(value)], pa.binary())], ["page_id", "image"])
+
+    return images.select(F.col("page_id").cast("long"), "image").mapInArrow(run, "page_id long, image binary")
+
+
+def native_columns(blocks: DataFrame, finder: ColumnFinder | None = None) -> DataFrame:
+    """(page_id, col_no, x0, x1) of blocks (page_id, type, x0, y0, x1, y1, width) by an engine's column finder; without one, by gaps (layout.columns_by_gap())."""
+    if finder is None:
+        return layout.columns_by_gap(blocks)
+    boxes = F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1")))
+    pages = blocks.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(boxes.alias("boxes"), F.max("width").cast("double").alias("width"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, some, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = finder.columns([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in some], width)
+                rows += [(key, k, float(x0), float(x1)) for k, (x0, x1) in enumerate(found)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["page_id", "col_no", "x0", "x1"])
+
+    return pages.mapInArrow(run, "page_id long, col_no long, x0 double, x1 double")
+
+
 def read_scans(pages: DataFrame, engine: Recognizer, tables: bool = True) -> DataFrame:
     """(page_id, text) of page images (page_id, image); null where the engine isn't there, fails or finds nothing."""
 

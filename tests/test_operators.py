@@ -288,3 +288,30 @@ def test_stream_resumes(spark, tmp_path):
 def test_events_by_window(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     assert event_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_images_and_columns_of_engines(spark):
+    class Draws:
+        def render(self, pdf, page_num, zoom):
+            return pdf + b"!" * page_num, int(100 * zoom), 1 // (2 - page_num)
+
+    class Tools:
+        def size(self, image):
+            return (6000, 3) if image.startswith(b"big") else (1 // (len(image) - 3), 9)
+
+        def prepare(self, image, crop_below, width, height, pad, contrast, sharpness):
+            return f"{width}x{height}".encode()
+
+    class Halves:
+        def columns(self, blocks, width):
+            return [(0, width / 2), (width / 2, width)] if len(blocks) > 1 else [(0, width)]
+
+    pages = spark.createDataFrame([(1, (bytearray(b"big"), 1)), (2, (bytearray(b"x"), 2)), (3, None)], "page_id long, image struct<pdf: binary, page_no: int>")
+    drawn = adapters.render_pages(pages, Draws(), 1.5)
+    assert {r.page_id: (bytes(r.image), r.width) if r.image else None for r in drawn.collect()} == {1: (b"big!", 150), 2: None, 3: None}
+    images = spark.createDataFrame([(1, bytearray(b"big")), (2, bytearray(b"bad")), (3, None)], "page_id long, image binary")
+    assert {r.page_id: r.image and bytes(r.image) for r in adapters.prepared_images(images, Tools()).collect()} == {1: b"3000x1", 2: b"bad", 3: None}
+    assert [r.page_id for r in adapters.side_by_side(images, images.where("page_id = 2")).collect()] == [2]
+    blocks = spark.createDataFrame([(1, "text", float(k), 0.0, k + 1.0, 1.0, 600.0) for k in range(2)] + [(2, "text", 0.0, 0.0, 1.0, 1.0, 600.0)], "page_id long, type string, x0 double, y0 double, x1 double, y1 double, width double")
+    assert sorted(map(tuple, adapters.native_columns(blocks, Halves()).collect())) == [(1, 0, 0.0, 300.0), (1, 1, 300.0, 600.0), (2, 0, 0.0, 600.0)]
+    assert adapters.native_columns(blocks).count() == 0
