@@ -58,33 +58,11 @@ def normalized_for_page(c: Column | str, ocr: bool = True) -> Column:
     return T.mapped(nfkc(T.col(c)), config.PAGE_QUOTES | config.PAGE_DASHES) if ocr else nfkc(T.col(c))
 
 
-def aligned(sentences: list[str], lines: int) -> list[str]:
-    """Sentences over lines: merged where there are more of them, else their words spread."""
-    if lines <= 0 or not sentences:
-        return [" ".join(sentences)] if lines <= 0 and sentences else [""] * max(lines, 0)
-    if len(sentences) <= lines:
-        return list(sentences) if len(sentences) == lines else spread(" ".join(sentences), lines)
-    out, start = [], 0
-    for k in range(1, lines + 1):
-        end = len(sentences) if k == lines else max(round(k * (len(sentences) / lines)), start + 1)
-        out.append(" ".join(sentences[start:end]))
-        start = end
-    return out
-
-
-def spread(sentence: str, lines: int) -> list[str]:
-    w = sentence.split()
-    base, extra = divmod(len(w), lines)
-    if lines == 1 and w:
-        return [sentence]
-    if len(w) <= lines:
-        return w + [""] * (lines - len(w))
-    ends = [base * k + min(k, extra) for k in range(lines + 1)]
-    return [" ".join(w[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-
-
 def align_sentences(sentences: Column | str, lines: Column) -> Column:
-    """aligned() as an expression. Where sentences outnumber lines, an end is the rounded share of lines before it: shares of more than one never round to the same end."""
+    """Sentences over lines, as an array: merged where there are more of them, else their words spread; no lines give one, no sentences blank ones.
+
+    Where sentences outnumber lines, an end is the rounded share of lines before it: shares of more than one never round to the same end.
+    """
     s = T.col(sentences)
     n = F.size(s)
     end = lambda k: F.when(k >= lines, n).otherwise(F.bround(k * (n / lines)).cast("int"))

@@ -66,15 +66,40 @@ def test_sentences(spark):
     assert [r.sentence for r in sentences(df).orderBy("doc_id", "sent_no").collect()] == ["Mr. Smith came.", "He paid 3.14. for J. Doe!", "Then left"]
 
 
+def aligned(sentences: list[str], lines: int) -> list[str]:
+    """Sentences over lines: merged where there are more of them, else their words spread."""
+    if lines <= 0 or not sentences:
+        return [" ".join(sentences)] if lines <= 0 and sentences else [""] * max(lines, 0)
+    if len(sentences) <= lines:
+        return list(sentences) if len(sentences) == lines else spread(" ".join(sentences), lines)
+    out, start = [], 0
+    for k in range(1, lines + 1):
+        end = len(sentences) if k == lines else max(round(k * (len(sentences) / lines)), start + 1)
+        out.append(" ".join(sentences[start:end]))
+        start = end
+    return out
+
+
+def spread(sentence: str, lines: int) -> list[str]:
+    w = sentence.split()
+    base, extra = divmod(len(w), lines)
+    if lines == 1 and w:
+        return [sentence]
+    if len(w) <= lines:
+        return w + [""] * (lines - len(w))
+    ends = [base * k + min(k, extra) for k in range(lines + 1)]
+    return [" ".join(w[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 @given(WORDS, st.integers(1, 8))
 def test_spreading_keeps_words(words, lines):
-    got = folds.spread(" ".join(words), lines)
+    got = spread(" ".join(words), lines)
     assert len(got) == lines and " ".join(got).split() == words
 
 
 @given(WORDS, st.integers(1, 8))
 def test_alignment_keeps_words(words, lines):
-    got = folds.aligned(words, lines)
+    got = aligned(words, lines)
     assert len(got) == lines and " ".join(got).split() == " ".join(words).split()
 
 
@@ -84,10 +109,16 @@ def test_shares_add_up(counts, total):
     assert sum(got) == total and all(n >= 1 for n in got[:-1])
 
 
+def test_alignment_in_spark(spark):
+    rows = [([f"s{i} x" for i in range(n)], k) for n in range(23) for k in range(7)]
+    df = spark.createDataFrame(rows, "s array<string>, k int").withColumn("got", folds.align_sentences("s", F.col("k")))
+    assert all(r.got == aligned(list(r.s), r.k) for r in df.collect())
+
+
 def test_distribution_in_spark(spark):
     rows = [(" ".join("abcdefghij"[:n]), k) for n in range(11) for k in range(1, 6)]
     df = spark.createDataFrame(rows, "s string, k int").withColumn("got", T.distributed(F.col("s"), F.col("k")))
-    assert all(r.got == ([r.s] if r.k == 1 and r.s else folds.spread(r.s, r.k)) for r in df.collect())
+    assert all(r.got == ([r.s] if r.k == 1 and r.s else spread(r.s, r.k)) for r in df.collect())
 
 
 def test_rows_are_anchored():
