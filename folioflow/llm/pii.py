@@ -96,6 +96,16 @@ def base_spans(value: str) -> list[tuple[int, int, int]]:
     return out
 
 
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[ord("@"), *range(0x30, 0x3A)]] = True
+
+
+def suspects(raw: np.ndarray, at: np.ndarray) -> list[int]:
+    """Rows with a digit or an @; no pattern matches in others."""
+    total = np.concatenate([[0], np.cumsum(_SIGNS[raw])])
+    return np.flatnonzero(total[at[1:]] > total[at[:-1]]).tolist()
+
+
 def _hash(words: list[str]) -> np.ndarray:
     raw, at = text.flat(pa.array(words, pa.string()))
     return text.hashes(raw, at[:-1], at[1:], True).astype(np.int64)
@@ -166,8 +176,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = raw[at[i] : at[j]]
             steps += np.bincount(_steps(part, _terms(part, at[i : j + 1] - at[i])[1])[0], minlength=1 << 16)
         entity, term, around = [], [], []
-        for value in batch.column("text").to_pylist():
-            spans = base_spans(value) if value else []
+        for k in suspects(raw, at):
+            value = raw[at[k] : at[k + 1]].tobytes().decode()
+            spans = base_spans(value)
             seen = set()
             mark = signature(value) if spans else []
             for who, words in contexts(value, spans) if spans else ():
@@ -327,11 +338,13 @@ def _find(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, table = shared.value
         for batch in batches:
+            raw, at = text.flat(batch.column("text"))
+            out: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
             if "spans" in batch.schema.names:
                 out = [[(s["start"], s["kind"], s["end"]) for s in row] for row in batch.column("spans").to_pylist()]
             else:
-                out = [base_spans(value) if value else [] for value in batch.column("text").to_pylist()]
-            raw, at = text.flat(batch.column("text"))
+                for k in suspects(raw, at):
+                    out[k] = base_spans(raw[at[k] : at[k + 1]].tobytes().decode())
             for i, j in text.chunks(at):
                 part, bounds = raw[at[i] : at[j]], at[i : j + 1] - at[i]
                 hashed, w = _terms(part, bounds)
