@@ -459,13 +459,13 @@ def span_join(spark, sf_dir):
     return spans.joined(view(spark, sf_dir, "spans"))
 
 
-@query(
-    f"""SELECT page_id, block_no, line_no, CAST(run_no AS BIGINT) AS run_no, bold, italic, string_agg(CASE WHEN NOT new AND wide THEN ' ' ELSE '' END || text, '' ORDER BY span_no) AS text, count(*) AS n_spans FROM (
+Q_RUNS = f"""SELECT page_id, block_no, line_no, CAST(run_no AS BIGINT) AS run_no, bold, italic, string_agg(CASE WHEN NOT new AND wide THEN ' ' ELSE '' END || text, '' ORDER BY span_no) AS text, count(*) AS n_spans FROM (
 SELECT *, sum(CAST(new AS BIGINT)) OVER (PARTITION BY page_id, block_no, line_no ORDER BY span_no) - 1 AS run_no FROM (
 SELECT *, lag(key) OVER w IS DISTINCT FROM key AS new, coalesce(x0 - lag(x1) OVER w >= 0.3 * lag(size) OVER w, false) AS wide FROM (
-SELECT *, concat_ws('|', bold, italic, size, color, font[:10]) AS key FROM {Q_FLAGS}) WINDOW w AS (PARTITION BY page_id, block_no, line_no ORDER BY span_no))) GROUP BY ALL""",
-    ("spans",),
-)
+SELECT *, concat_ws('|', bold, italic, size, color, font[:10]) AS key FROM {Q_FLAGS}) WINDOW w AS (PARTITION BY page_id, block_no, line_no ORDER BY span_no))) GROUP BY ALL"""
+
+
+@query(Q_RUNS, ("spans",))
 def format_runs(spark, sf_dir):
     return spans.runs(view(spark, sf_dir, "spans"))
 
@@ -806,7 +806,7 @@ def columns_ocr_gap(spark, sf_dir):
     return folds.columns_by_ocr_gaps(view(spark, sf_dir, "boxes"))
 
 
-@query("SELECT page_id, box_no, dense_rank() OVER (PARTITION BY page_id ORDER BY y_min - box_no % 1000 % 3) - 1 AS row FROM boxes", ("boxes",))
+@query("SELECT page_id, box_no, dense_rank() OVER (PARTITION BY page_id ORDER BY floor((y_min - 100) / 20)) - 1 AS row FROM boxes", ("boxes",))
 def anchored_rows(spark, sf_dir):
     return folds.anchored_rows(view(spark, sf_dir, "boxes"))
 
@@ -818,6 +818,36 @@ def _segments(spark, sf_dir):
     return lines.withColumn("translated", T.translated(F.array_join(F.transform("segments", lambda s: s["text"]), " ")))
 
 
+_LINE = "page_id, block_no, line_no"
+# segments of each line: neighbouring runs of equal bold and italic; the line's translation, and its words
+_SEGMENTED = f""", g AS (SELECT {_LINE}, part AS k, bold, italic, string_agg(text, ' ' ORDER BY run_no) AS text FROM (
+SELECT *, sum(CAST(step AS BIGINT)) OVER (PARTITION BY {_LINE} ORDER BY run_no) - 1 AS part FROM (SELECT *, lag(bold::INT * 2 + italic::INT) OVER (PARTITION BY {_LINE} ORDER BY run_no) IS DISTINCT FROM bold::INT * 2 + italic::INT AS step FROM ({Q_RUNS}))) GROUP BY ALL),
+t AS (SELECT {_LINE}, '[TR] ' || string_agg(text, ' ' ORDER BY k) AS translated, count(*) AS m, bool_or(bold OR italic) AS styled FROM g GROUP BY ALL),
+tw AS (SELECT *, {q_words("translated")} AS w FROM t)"""
+
+
+def q_tagged(x: str, bold: str = "bold", italic: str = "italic") -> str:
+    return f"concat(CASE WHEN {bold} THEN '<b>' ELSE '' END, CASE WHEN {italic} THEN '<i>' ELSE '' END, {q_escape(x)}, CASE WHEN {italic} THEN '</i>' ELSE '' END, CASE WHEN {bold} THEN '</b>' ELSE '' END)"
+
+
+# words for each segment in turn: its share, one at least while the later ones keep one, the rest for the last
+_SHARED = f""", n AS (SELECT g.*, len({q_words("text")}) AS n, sum(len({q_words("text")})) OVER (PARTITION BY {_LINE}) AS whole, m, len(w) AS total, w FROM g JOIN tw USING ({_LINE})),
+p AS (SELECT *, 0 AS given, CASE WHEN m = 1 THEN total ELSE least(greatest(1, CAST(round_even(CAST(n AS DOUBLE) / whole * total, 0) AS INT)), total - (m - 1)) END AS size FROM n WHERE k = 0
+UNION ALL SELECT n.*, p.given + p.size, CASE WHEN n.k = n.m - 1 THEN n.total - p.given - p.size ELSE least(greatest(1, CAST(round_even(CAST(n.n AS DOUBLE) / n.whole * n.total, 0) AS INT)), n.total - p.given - p.size - (n.m - n.k - 1)) END FROM p JOIN n USING ({_LINE}) WHERE n.k = p.k + 1),
+proportional AS (SELECT {_LINE}, string_agg({q_tagged("array_to_string(w[CAST(given + 1 AS INT) : CAST(given + size AS INT)], ' ')")}, ' ' ORDER BY k) AS html FROM p GROUP BY {_LINE})"""
+# the first similar word that is still free for each short bold or italic segment in turn
+_SIMILAR = "NOT list_contains(places, i) AND want <> '' AND bare[i + 1] <> '' AND (starts_with(bare[i + 1], want[:4]) OR contains(bare[i + 1], want) OR contains(want, bare[i + 1]))"
+_MATCHED = f""", q AS (SELECT {_LINE}, row_number() OVER (PARTITION BY {_LINE} ORDER BY k) AS j, lower({q_strip("text")}) AS want, bold, italic FROM g WHERE (bold OR italic) AND len({q_words("text")}) <= 3),
+b AS (SELECT {_LINE}, w, list_transform(w, lambda x: trim(lower(x), '.,;:!?"''()-')) AS bare FROM tw),
+f AS (SELECT {_LINE}, 0::BIGINT AS j, []::BIGINT[] AS places, []::BIGINT[] AS styles FROM b
+UNION ALL SELECT {_LINE}, j, CASE WHEN place IS NULL THEN places ELSE list_append(places, place) END, CASE WHEN place IS NULL THEN styles ELSE list_append(styles, style) END FROM (
+SELECT {_LINE}, q.j, places, styles, q.bold::BIGINT * 2 + q.italic::BIGINT AS style, list_filter(range(len(bare)), lambda i: {_SIMILAR})[1] AS place FROM f JOIN q USING ({_LINE}) JOIN b USING ({_LINE}) WHERE q.j = f.j + 1)),
+last AS (SELECT {_LINE}, arg_max(places, j) AS places, arg_max(styles, j) AS styles FROM f GROUP BY {_LINE}),
+wd AS (SELECT {_LINE}, w, unnest(range(len(w))) AS i, places, styles FROM last JOIN b USING ({_LINE})),
+keyword AS (SELECT {_LINE}, CASE WHEN any_value(len(places)) > 0 THEN string_agg({q_tagged("w[i + 1]", "style >= 2", "style % 2 = 1")}, ' ' ORDER BY i) END AS html FROM (
+SELECT *, coalesce(styles[list_position(places, i)], 0) AS style FROM wd) GROUP BY {_LINE})"""
+
+
 @query()
 def keyword_format_map(spark, sf_dir):
     return _segments(spark, sf_dir).select(*spans.LINE, folds.keyword_format_map("segments", "translated").alias("html"))
@@ -833,6 +863,17 @@ def format_map(spark, sf_dir):
     return _segments(spark, sf_dir).select(*spans.LINE, folds.format_map("segments", "translated").alias("html"))
 
 
+def _recursive(rest: str) -> str:
+    return _cte(["spans"], _SEGMENTED + rest).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLES["keyword_format_map"] = _recursive(f"{_MATCHED} SELECT * FROM keyword")
+ORACLES["proportional_map"] = _recursive(f"{_SHARED} SELECT * FROM proportional")
+ORACLES["format_map"] = _recursive(
+    f"{_MATCHED}{_SHARED} SELECT {_LINE}, CASE WHEN NOT styled THEN translated WHEN m = 1 THEN {q_tagged('translated', 'one.bold', 'one.italic')} ELSE coalesce(k.html, p.html) END AS html FROM t JOIN (SELECT {_LINE}, bold, italic FROM g WHERE k = 0) one USING ({_LINE}) JOIN keyword k USING ({_LINE}) JOIN proportional p USING ({_LINE})"
+)
+
+
 # the documents hold no character that NFKC changes; those put before them do
 @query("SELECT doc_id, concat('fi 1⁄2 \"a\" - ', {}) AS text FROM documents".format(q_mapped("text", *Q_MT)))
 def nfkc_normalize(spark, sf_dir):

@@ -8,7 +8,7 @@ from folioflow.functions import text as T
 from folioflow.operators import elements as E
 from folioflow.operators import extraction, folds, layout, metrics, reports, spans
 from folioflow.operators.sentences import sentence_list
-from folioflow.plans.catalog import _AFTER, Q_ELEMENTS, Q_FLAGS, Q_MT, Q_NARROW, Q_PAGE, _after, _cte, _page_blocks, docs, q_kind, q_cleaned, q_mapped, q_post, q_prefix, q_ratio, q_strip, q_tidy, q_words, query, rounded, table
+from folioflow.plans.catalog import _AFTER, Q_ELEMENTS, Q_FLAGS, Q_MT, Q_NARROW, Q_PAGE, Q_SENTENCES, _after, _cte, _page_blocks, docs, q_kind, q_cleaned, q_mapped, q_post, q_prefix, q_ratio, q_strip, q_tidy, q_words, query, rounded, table
 from folioflow.plans.catalog import ORACLES as ORACLES
 from folioflow.plans.fixtures import view
 from folioflow.sources import adapters
@@ -340,6 +340,11 @@ def sentence_chunks(spark, sf_dir):
     return found.select("doc_id", F.posexplode(folds.packed_sentences("sentences", F.lit(1500))).alias("chunk_no", "text"))
 
 
+ORACLES["sentence_chunks"] = f"""WITH RECURSIVE s AS (SELECT doc_id, sent_no, sentence, length(sentence) AS n FROM {Q_SENTENCES}),
+r AS (SELECT doc_id, sent_no, sentence, CASE WHEN n > 1500 THEN 1 ELSE 0 END AS chunk, n AS total FROM s WHERE sent_no = 0
+UNION ALL SELECT s.doc_id, s.sent_no, s.sentence, CASE WHEN total + n > 1500 THEN chunk + 1 ELSE chunk END, CASE WHEN total + n > 1500 THEN n ELSE total + n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.sent_no = r.sent_no + 1)
+SELECT doc_id, chunk AS chunk_no, string_agg(sentence, ' ' ORDER BY sent_no) AS text FROM r GROUP BY ALL UNION ALL SELECT doc_id, 0, '' FROM s WHERE sent_no = 0 AND n > 1500"""
+
 # formats
 
 
