@@ -796,16 +796,44 @@ def align_sentences(spark, sf_dir):
     return found.select("doc_id", F.posexplode(folds.align_sentences("sentences", F.lit(5))).alias("line", "text"))
 
 
+# rows of boxes lie 20 points apart here and vary by 2, so a row is a multiple of 20; the rules of columns and of order are those of any page
+_COLUMNS = """, bx AS (SELECT *, (y_min + y_max) / 2 AS y, CAST(floor((y_min - 100) / 20) AS BIGINT) AS row, avg(y_max - y_min) OVER (PARTITION BY page_id) AS tall, count(*) OVER (PARTITION BY page_id) AS n FROM boxes),
+pg AS (SELECT page_id, any_value(width) AS width, any_value(tall) AS tall, any_value(n) AS n, count(*) FILTER (k >= 2) AS several, count(*) AS rows_ FROM (SELECT page_id, row, any_value(width) AS width, any_value(tall) AS tall, any_value(n) AS n, count(*) AS k FROM bx GROUP BY ALL) GROUP BY page_id),
+gaps AS (SELECT page_id, least(199, greatest(0, CAST(trunc((x_max + follow) / 2 / (width / 200)) AS INT))) AS slot FROM (SELECT *, lead(x_min) OVER (PARTITION BY page_id, row ORDER BY x_min, box_no) AS follow FROM bx) WHERE follow - x_max >= 1.5 * tall),
+smooth AS (SELECT page_id, s, count(*) AS k FROM (SELECT page_id, unnest(range(slot - 2, slot + 3)) AS s FROM gaps) WHERE s BETWEEN 0 AND 199 GROUP BY ALL),
+peak AS (SELECT page_id, s, sum(CASE WHEN s - before > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY s) AS island FROM (SELECT page_id, s, lag(s) OVER (PARTITION BY page_id ORDER BY s) AS before FROM smooth JOIN pg USING (page_id) WHERE k >= greatest(3, floor(0.25 * several)) AND rows_ >= 3 AND several >= 3)),
+edge AS (SELECT page_id, x FROM (SELECT page_id, (min(s) + max(s)) / 2.0::DOUBLE * (any_value(width) / 200) AS x, any_value(width) AS width FROM peak JOIN pg USING (page_id) GROUP BY page_id, island) WHERE x > 0.05 * width AND x < 0.95 * width UNION ALL SELECT page_id, 0 FROM pg UNION ALL SELECT page_id, width FROM pg),
+piece AS (SELECT page_id, a, b, sum(CASE WHEN a = 0 OR b - a >= 0.08 * width THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY a) AS island FROM (SELECT page_id, x AS a, lead(x) OVER (PARTITION BY page_id ORDER BY x) AS b FROM edge) JOIN pg USING (page_id) WHERE b IS NOT NULL),
+merged AS (SELECT page_id, min(a) AS a, max(b) AS b FROM piece GROUP BY page_id, island),
+held AS (SELECT m.page_id, a, b FROM merged m JOIN pg USING (page_id) JOIN bx ON bx.page_id = m.page_id AND x_min >= a - bx.tall AND x_max <= b + bx.tall GROUP BY m.page_id, a, b HAVING count(*) >= greatest(3, 0.05 * any_value(pg.n))),
+several_ AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS k FROM held),
+cols AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS col_no, a AS x0, b AS x1 FROM several_ WHERE k > 1
+UNION ALL SELECT page_id, 0, 0.0, width FROM pg WHERE page_id NOT IN (SELECT page_id FROM several_ WHERE k > 1))"""
+
+
 @query()
 def reading_order(spark, sf_dir):
     return folds.reading_order(view(spark, sf_dir, "boxes"))
 
 
+# no box is wide enough here to stand across columns
+ORACLES["reading_order"] = _cte(
+    ["boxes"],
+    f"""{_COLUMNS}, home AS (SELECT bx.page_id, box_no, row, y, x_min, txt, any_value(bx.tall) AS tall, arg_max(col_no, greatest(0, least(x_max, x1) - greatest(x_min, x0)) * 1000 - col_no) AS col FROM bx JOIN cols USING (page_id) GROUP BY ALL),
+line AS (SELECT page_id, col, row, min(y) AS y, any_value(tall) AS tall, string_agg(txt, ' ' ORDER BY x_min, box_no) AS t FROM home GROUP BY page_id, col, row),
+spaced AS (SELECT page_id, col, row, CASE WHEN y - lag(y) OVER (PARTITION BY page_id, col ORDER BY row) > 1.5 * tall THEN chr(10) || t ELSE t END AS t FROM line)
+SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY col) AS text FROM (SELECT page_id, col, string_agg(t, chr(10) ORDER BY row) AS t FROM spaced GROUP BY page_id, col) GROUP BY page_id""",
+)
+
+
 @query()
 def columns_ocr_gap(spark, sf_dir):
     return folds.columns_by_ocr_gaps(view(spark, sf_dir, "boxes"))
 
 
+ORACLES["columns_ocr_gap"] = _cte(["boxes"], f"{_COLUMNS} SELECT * FROM cols")
+
+
 @query("SELECT page_id, box_no, dense_rank() OVER (PARTITION BY page_id ORDER BY floor((y_min - 100) / 20)) - 1 AS row FROM boxes", ("boxes",))
 def anchored_rows(spark, sf_dir):
     return folds.anchored_rows(view(spark, sf_dir, "boxes"))
