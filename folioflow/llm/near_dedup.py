@@ -41,7 +41,7 @@ BASE, RATE = 1.2, 20.0
 #: Five standard deviations of the estimate below the threshold.
 LEAST_ESTIMATE = 0.70
 #: Documents of a bucket that are compared at once, and bytes of their sets.
-BLOCK, BLOCK_BYTES = 2048, 1 << 25
+BLOCK, BLOCK_BYTES = 512, 1 << 25
 #: Registers on which two documents agree to be compared on full sets. At the threshold they agree on one with a probability of 0.862, so on fewer with one of 5e-9.
 LEAST_SAME = 107
 _seed = np.random.default_rng(88172645463325252)
