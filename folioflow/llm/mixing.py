@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.scratch import saved
-from folioflow.llm.sharding import NUMBERED, size_of
+from folioflow.llm.sharding import size_of
 
-BLOCK_BYTES = 1 << 16
+#: Bytes of a block at least, and blocks of a schedule at most: beyond 256 GiB blocks grow instead of the one task that plans them.
+BLOCK_BYTES, MOST_BLOCKS = 1 << 16, 1 << 22
+#: Rows of all sources whose places are summed in one task, on average; of one source, its share of them.
+NUMBERED = 4096
 #: Blocks of a schedule in an Arrow batch.
 PLANNED = 1 << 14
 #: No source makes up more than this share of the mixture, unless all do.
@@ -103,10 +106,11 @@ def _planned(weights: dict[str | None, float] | None, top: list[str | None], mos
     return run
 
 
-def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, most: float = MOST_SHARE) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int | None = None, most: float = MOST_SHARE) -> DataFrame:
     """doc_id, source, block, slot and scheduled of each row.
 
-    A source's rows, in an order that depends on doc_id alone, fill blocks of block_bytes. Sorted by slot they are the
+    A source's rows, in an order that depends on doc_id alone, fill blocks of block_bytes (BLOCK_BYTES, or as many as keep the
+    schedule within MOST_BLOCKS, unless given). Sorted by slot they are the
     mixture, in which each source keeps to its weight within a block until it ends. scheduled is true up to the
     point at which the first source ends, and false for rows beyond it: they are the surplus of sources that have
     more than their weight. Without weights, natural shares hold, none above `most`; sources whose
@@ -120,6 +124,7 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
     cells = saved(slim.groupBy("source", "task").agg(F.sum("size").alias("bytes")))
     sizes = saved(cells.groupBy("source").agg(F.sum("bytes").alias("bytes")))
     all_ = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    block_bytes = block_bytes or max(BLOCK_BYTES, -(-all_.bytes // MOST_BLOCKS))
     share = max(Fraction(most).limit_denominator(1000), Fraction(1, max(1, all_.n)))
     largest = [(r.source, r.bytes) for r in sizes.orderBy(F.desc("bytes"), "source").limit(int(1 / share) + 1).collect()] if weights is None and share * max(1, all_.n) > 1 else []
     plan = saved(sizes.coalesce(1).mapInArrow(_planned(weights, at_top(largest, all_.bytes, share), share, block_bytes), "s string, j long, slot long"))
@@ -136,7 +141,7 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, blo
     return out.select("doc_id", "source", "block", "slot", F.coalesce(F.col("first") < F.col("end"), F.lit(False)).alias("scheduled"))
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int | None = None) -> DataFrame:
     """Documents, whole and in the order of their slots, by ranges of slots over the output's files.
 
     Without weights every row stays: natural shares hold, so all sources end together, and rows without an id come last.

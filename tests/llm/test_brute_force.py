@@ -567,6 +567,14 @@ def test_mixture(spark, monkeypatch):
     assert len({s for s, _, _ in kept}) == len({(s, k) for s, k, _ in kept})  # a slot has one source
 
 
+def test_blocks_grow_beyond_a_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('x', 9) AS text")
+    got = [(r.source, r.block, r.slot) for r in mixing.mixture(docs).collect()]
+    assert len(got) == 3000 and len(set(got)) <= 21 and {len([1 for s, b, _ in set(got) if s == k]) for k in ("s0", "s1", "s2")} == {7}
+
+
 def test_mixed_keeps_every_row(spark):
     rows = [(i, "x" * 99, "hot" if i % 40 else f"s{i // 40 % 3}") for i in range(1200)] + [(5000, None, None), (None, "y", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
