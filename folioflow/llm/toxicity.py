@@ -109,7 +109,7 @@ def _present(shared):
 
 def _fit(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by accelerated gradient descent over sparse rows: the features that each has, at their scale; and the bias."""
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], int)
     feature = np.concatenate([*rows, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(rows)), size)
     weight = weight / weight.sum()
@@ -138,20 +138,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit to labels (doc_id, toxic) of rows that aren't held out. Without both classes the model gives everything their rate."""
+    """Fit to labels (doc_id, toxic) of rows that aren't held out. Without both classes, or documents of both, the model gives everything their rate."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = saved(known)
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
+    p = min(max(share, 1e-6), 1 - 1e-6)
+    rate_alone = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
     if not 0 < share < 1:
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
+        return rate_alone
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING) for k in (0, 1)]
     chosen = F.broadcast(saved(some[0].union(some[1])))  # 2 * TRAINING rows at most
     rows = saved(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"))
     counts = rows.mapInArrow(_frequencies, "slot long, pos int, neg int").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    if not pos or not neg:
+        return rate_alone
     rate = lambda c, n: (F.col(c) + SMOOTHING) / (n + 2 * SMOOTHING)
     ratio = F.log(rate("pos", pos) / rate("neg", neg))
     # how much the feature tells about the class: difference of rates times log ratio
