@@ -1,4 +1,4 @@
-"""Every query with SQL equals it; the others give their rows."""
+"""Every query equals its SQL."""
 
 import duckdb
 import pytest
@@ -28,9 +28,8 @@ def test_equals_sql(spark, small, duck, name):
     assert normal(df.collect(), df.columns) == normal(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
