@@ -245,6 +245,26 @@ def test_differencing_partitions(sizes, shards):
     assert len(found) == len(sizes) and all(0 <= s < shards for s in found)
 
 
+@given(st.lists(st.integers(1, 1000), min_size=1, max_size=40), st.integers(2, 6))
+def test_spread_is_at_most_the_largest_size(sizes, shards):
+    of = [0] * shards
+    for s, k in zip(sizes, sharding.differencing(sizes, shards), strict=True):
+        of[k] += s
+    assert max(of) - min(of) <= max(sizes) and sum(of) == sum(sizes)
+
+
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=8))
+@settings(max_examples=60)
+def test_differencing_is_near_the_best_halves(sizes):
+    """Against every way to halve: the larger half is at most 7/6 of the least possible one."""
+    halves = [sum(s for k, s in enumerate(sizes) if way >> k & 1) for way in range(1 << len(sizes))]
+    best = min(max(h, sum(sizes) - h) for h in halves)
+    found = [0, 0]
+    for s, k in zip(sizes, sharding.differencing(sizes, 2), strict=True):
+        found[k] += s
+    assert 6 * max(found) <= 7 * best
+
+
 def test_differencing_beats_its_rivals():
     r = random.Random(9)
     sizes = [r.randint(1, 10**6) for _ in range(400)]
@@ -327,6 +347,39 @@ def test_layouts_beside_metadata(spark):
     assert {r.conv_id: r.n_turns for r in chat.digests(chat.formatted(turns)).collect()} == {1: 2, 2: 2, 4: 1, 5: 2}
 
 
+@given(st.lists(st.text(st.sampled_from("abC é.\n1É字😀-"), max_size=20), max_size=6))
+@settings(max_examples=150)
+def test_grams_are_those_within_words(values):
+    """As many distinct ones of each row as plain Python finds, alike in rows of equal grams."""
+
+    def plain(value):
+        low = "".join(" " if ord(c) < 128 and not c.isalnum() else c.lower() for c in value)
+        padded = f" {low} "
+        return {padded[i : i + n] for n in toxicity.GRAMS for i in range(len(padded) - n + 1) if " " not in padded[i + 1 : i + n - 1]}
+
+    raw, at = text.flat(pa.array(values, pa.string()))
+    row, slot = toxicity.grams(raw, at)
+    got = [set(slot[row == k].tolist()) for k in range(len(values))]
+    want = [plain(v) for v in values]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(len(values)) for b in range(a))
+
+
+def test_fit_finds_the_least_loss():
+    """The gradient of the weighted, regularised loss vanishes at the fit."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [np.sort(r.choice(12, r.integers(0, 6), replace=False)).astype(np.int32) for _ in range(300)]
+    scale, y, weight = r.normal(size=12), r.integers(0, 2, 300).astype(float), r.uniform(0.5, 2, 300)
+    w, bias = toxicity._fit(rows, scale, y, weight)
+    x = np.zeros((300, 12))
+    for k, some in enumerate(rows):
+        x[k, some] = scale[some]
+    off = weight / weight.sum() * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+    assert np.abs(x.T @ off + toxicity.L2 * w).max() < 1e-4 and abs(off.sum()) < 1e-4
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abdeginorstu") for _ in range(r.randint(3, 8)))
