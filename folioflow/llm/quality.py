@@ -5,7 +5,7 @@ each (language, source) is kept as a quantile sketch of logarithmic buckets:
 a count per bucket, so sketches merge by adding counts, first within tasks,
 then across them, and up from source to language to corpus. A feature's limit is drawn from the
 sketch alone: where a feature varies among all texts, the median plus a multiple of the spread of the lower half, which junk
-cannot move until it is half of a source; where most texts have none of it, from the upper quantile.
+cannot move until it is half of a source; where most texts have none of it (capitals in Chinese, say), from the upper quantile.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ FEATURES: dict[str, tuple[str, str, bool]] = {
     "repeats": ("n_repeat_words", "n_words", False),
 }
 VARIED = [name for name, (_, _, varies) in FEATURES.items() if varies]
-#: A limit is MID's quantile and SPREADS times its distance to LOW's; or TAILS times HIGH's distance from MID's above that.
+#: A limit is MID's quantile and SPREADS times its distance to LOW's; where that says nothing, TAILS times HIGH's distance from MID's above it.
 MID, LOW, HIGH = 0.5, 0.1, 0.995
 SPREADS, TAILS = 8.0, 2.0
 #: A group whose texts are alike (copies, say) has at least this part of the distance that the next coarser group has, in features in which all texts vary.
@@ -151,7 +151,8 @@ def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
     value = F.when(F.col("bucket") < -(1 << 19), F.lit(0.0)).otherwise(F.pow(F.lit(1 + STEP), F.col("bucket")) * (2 / (2 + STEP)))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), value))
     found = seen.groupBy(*by).agg(quantile(MID).alias("mid"), quantile(LOW).alias("low"), quantile(HIGH).alias("high"), F.max("all").alias("docs"))
-    reach = F.when(F.col("feature").isin(VARIED), SPREADS * (F.col("mid") - F.col("low"))).otherwise(TAILS * (F.col("high") - F.col("mid")))
+    spread = F.col("feature").isin(VARIED) & (F.col("mid") > F.col("low"))  # else half of the texts have none of it, or as much
+    reach = F.when(spread, SPREADS * (F.col("mid") - F.col("low"))).otherwise(TAILS * (F.col("high") - F.col("mid")))
     return found.select(*by, "docs", "mid", reach.alias("reach"))
 
 

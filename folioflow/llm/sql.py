@@ -50,7 +50,7 @@ _KEYS = "lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_wor
 def _level(groups: str) -> str:
     """mid, reach and docs of each feature in each group, from buckets 2 % wide."""
     keys = f"{groups}, " if groups else ""
-    return f"""(SELECT {keys}feature, docs, mid, CASE WHEN varies THEN 8.0 * (mid - low) ELSE 2.0 * (high - mid) END AS reach FROM (
+    return f"""(SELECT {keys}feature, docs, mid, CASE WHEN varies AND mid > low THEN 8.0 * (mid - low) ELSE 2.0 * (high - mid) END AS reach FROM (
 SELECT {keys}feature, varies, any_value(docs) AS docs, min(value) FILTER (upto >= 0.5::DOUBLE * docs) AS mid, min(value) FILTER (upto >= 0.1::DOUBLE * docs) AS low, min(value) FILTER (upto >= 0.995::DOUBLE * docs) AS high FROM (
 SELECT {keys}feature, varies, CASE WHEN bucket IS NULL THEN 0 ELSE pow(1.02::DOUBLE, bucket) * (2 / 2.02::DOUBLE) END AS value, sum(n) OVER (PARTITION BY {keys}feature) AS docs, sum(n) OVER (PARTITION BY {keys}feature ORDER BY coalesce(bucket, -1048576)) AS upto
 FROM (SELECT {keys}feature, varies, bucket, count(*) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}feature, varies))"""

@@ -199,7 +199,7 @@ def test_limits_are_those_of_exact_quantiles(spark, small):
         top, bottom, varies = quality.FEATURES[f]
         x = np.sort([r[top] / r[bottom] if r[bottom] else 0.0 for r in some])
         mid, low, high = (x[int(np.ceil(q * len(x))) - 1] for q in (quality.MID, quality.LOW, quality.HIGH))
-        reach = quality.SPREADS * (mid - low) if varies else quality.TAILS * (high - mid)
+        reach = quality.SPREADS * (mid - low) if varies and mid > low else quality.TAILS * (high - mid)
         if up is None:
             return mid, reach * (1 + quality.PRIOR / len(x))
         reach = max(reach, quality.LEAST_PART * up[1]) if varies else reach
@@ -220,6 +220,13 @@ def test_hardly_any_limit_is_another_groups(spark, small):
     assert all(c.limit < 0.5 for c in cells if c.feature == "repeats")
 
 
+def test_features_that_a_language_lacks(spark):
+    """Texts without capitals or marks but for a few: those stay, as the upper quantile says, and texts of capitals go."""
+    rows = [(k, prose(k, capitals=2 if k % 50 == 0 else 0, marks=1 if k % 40 == 0 else 0), "zh", f"s{k % 3}") for k in range(900)] + [(2000, prose(7, capitals=80), "zh", "s1")]
+    got = {r.doc_id for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").collect()}
+    assert got == {2000}
+
+
 def test_copies_do_not_narrow_a_source(spark):
     rows = [(k, prose(k, capitals=4 + k % 5, marks=3 + k % 5), "en", f"s{k % 4}") for k in range(400)] + [(1000 + k, prose(5000), "en", "s1") for k in range(400)]
     got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not kept").count()
