@@ -131,15 +131,18 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("doc"), pa.array(j)], ["leader", "doc", "j"])
 
 
+def _in_filter(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = (text.mix(ids.astype(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
+    return np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+
+
 def _filtered_sets(wanted) -> object:
     """Set bytes of the documents whose id is in the filter (a superset of those wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            slot = (text.mix(ids.astype(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
-            keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            keep = _in_filter(batch.column(0).to_numpy(), bits)
             if not len(keep):
                 continue
             batch = batch.take(pa.array(keep))
@@ -149,6 +152,17 @@ def _filtered_sets(wanted) -> object:
     return run
 
 
+def _filtered(wanted) -> object:
+    """Rows whose first column is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            yield batch.take(pa.array(_in_filter(batch.column(0).to_numpy(), bits)))
+
+    return run
+
+
 def _bits(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
@@ -161,6 +175,15 @@ def _bits(size: int):
     return run
 
 
+def _marked(ids: DataFrame, size: int):
+    """A broadcast filter of size bytes that lets these ids (a column of longs) through, and few others while there are at most as many as it has bytes."""
+    marks = ids.distinct().mapInArrow(_bits(size), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()  # size rows at most
+    bits = np.zeros(size, np.uint8)
+    for at, x in marks:
+        bits[at] = x
+    return ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -304,10 +327,9 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
     are null or without a word have no shingle and stand alone. Rows that repeat a doc_id are one node with the links of all their texts. Two documents
     at the threshold miss each other in all 26 bands with a probability of 5e-6, and less above it.
 
-    Empty tables give empty results; extra columns are not read. filter_bytes bounds the broadcast id filter: beyond what it
+    Empty tables give empty results; extra columns are not read. filter_bytes bounds the broadcast id filters: beyond what one
     can tell apart it only lets more sets through.
     """
-    spark = docs.sparkSession
     base = saved(sketches(docs))
     reps = base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("s")).select("digest", "doc", "s.*")
     reps = saved(reps)
@@ -328,23 +350,21 @@ def near_duplicates(docs: DataFrame, filter_bytes: int = 1 << 20) -> DataFrame:
         .agg((-F.max(F.struct("j", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
     )
     pairs = saved(pairs)
-    marks = members.select("doc").distinct().mapInArrow(_bits(filter_bytes), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    bits = np.zeros(filter_bytes, np.uint8)
-    for at, x in marks:
-        bits[at] = x
-    wanted = spark.sparkContext.broadcast(bits.tobytes())
-    sets = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_filtered_sets(wanted), "doc long, set binary")
-    sets = saved(sets.join(members.select("doc").distinct(), "doc", "left_semi"))
+    # sets are moved only where a filter of the ids that a join needs lets them through; the joins are exact
+    wanted = _marked(members.select("doc"), filter_bytes)
+    sets = saved(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_filtered_sets(wanted), "doc long, set binary"))
+    some = lambda ids: sets.mapInArrow(_filtered(_marked(ids, filter_bytes)), "doc long, set binary")
     first = (
-        pairs.join(sets.select("doc", F.col("set").alias("sa")), "doc")
-        .join(sets.select(F.col("doc").alias("leader"), F.col("set").alias("sb")), "leader")
+        pairs.join(some(pairs.select("leader")).select(F.col("doc").alias("leader"), F.col("set").alias("sb")), "leader")
+        .join(some(pairs.select("doc")).select("doc", F.col("set").alias("sa")), "doc")
         .mapInArrow(_confirmed, "a long, b long")
     )
     root = components(first)
     rooted = members.select("bucket", "doc").join(root.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rooted = saved(rooted.join(open_, "bucket").join(reps.select("doc", "n_shingles", "registers"), "doc"))
-    more = _in_groups(_open_pairs(rooted).join(sets, "doc")).mapInArrow(_block_links, "a long, b long")
+    alike = _open_pairs(rooted)
+    more = _in_groups(alike.join(some(alike.select("doc")), "doc")).mapInArrow(_block_links, "a long, b long")
     merged = components(more)
     final = root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     # a node of the later components is a root of the first ones, so it has no row there
