@@ -2,6 +2,7 @@
 
 Every stage but the last returns the columns of documents, whatever further ones there are. Null and empty texts fail the quality rules, so they end there, as do
 rows without an id; rows that repeat an id end in the second stage, which keeps one. Null languages and sources are groups of their own. An empty table gives an empty result.
+The mixture is the order of the rows that its stage returns: the last stage numbers each shard's rows in it, so that shards read from their first rows on hold sources in their shares throughout.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard of sixteen and its place there."""
-    return sharding.sharded(docs, 16)
+    """Each document's shard of sixteen and its place there, in the order of docs."""
+    return sharding.sharded(docs, 16, in_order=True)
 
 
 STAGES = [("quality", rules), ("near_duplicates", duplicates), ("decontamination", benchmarks), ("mixing", mixture), ("sharding", shards)]

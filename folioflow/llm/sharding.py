@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.scratch import saved
+from folioflow.llm.scratch import place, saved
 
 BUNDLES = 8192
 #: Rows numbered in one task.
@@ -97,25 +97,35 @@ def _shards(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", F.coalesce("own", "common")).drop("own", "common", "bundle")
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """df with `name`, the row's place in its group from 0, counted over many tasks."""
-    tasks = max(1, -(-df.count() // NUMBERED))
-    df = df.withColumn("__task", F.pmod(F.xxhash64(*order), F.lit(tasks)))
+def numbered(df: DataFrame, group: str, order: list[str], name: str, task: Column | None = None) -> DataFrame:
+    """df with `name`, the row's place in its group from 0, counted over many tasks: by task, which bounds the rows that are sorted at once, then by order.
+
+    Without a task rows are dealt by hashes of their order, and places follow no order as a whole.
+    """
+    if task is None:
+        tasks = max(1, -(-df.count() // NUMBERED))
+        task = F.pmod(F.xxhash64(*order), F.lit(tasks))
+    df = df.withColumn("__task", task)
     counts = df.groupBy(group, "__task").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy(group, "__task").orderBy(*order)) - 1
-    return df.withColumn(name, place).join(counts, [group, "__task"]).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__task", "__before")
+    nth = F.row_number().over(Window.partitionBy(group, "__task").orderBy(*order)) - 1
+    return df.withColumn(name, nth).join(counts, [group, "__task"]).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__task", "__before")
 
 
-def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 16, in_order: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document; equal texts share a shard.
 
     size is the UTF-8 bytes of the text plus 1; a null text counts as an empty one, and shares its group. A
     group that is larger than a fair shard makes its shard the largest. slot numbers a shard's rows from 0 without gaps,
-    in no meaningful order. Repeated rows each have a slot. Empty tables give empty results; extra columns are not read.
+    in no meaningful order, or in_order: as the rows follow each other in docs (scratch.place). Repeated rows each have a slot. Empty tables give empty results; extra columns are not read.
     """
     t = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", F.md5(t).alias("key"), size_of(F.col("text")).alias("size"), F.crc32(t).alias("text_crc32"))
+    at = [c.alias(name) for c, name in zip(place(docs), ("part", "at"), strict=True)] if in_order else []
+    slim = docs.select("doc_id", F.md5(t).alias("key"), size_of(F.col("text")).alias("size"), F.crc32(t).alias("text_crc32"), *at)
     out = saved(_shards(saved(slim), shards))
-    return numbered(out, "shard", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    if in_order:
+        out = numbered(out, "shard", ["at"], "slot", F.struct("part", F.floor(F.col("at") / NUMBERED).alias("chunk")))
+    else:
+        out = numbered(out, "shard", ["doc_id", "text_crc32"], "slot")
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot")

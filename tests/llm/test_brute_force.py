@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, queries, sharding, text, token_count, toxicity
+from folioflow.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, queries, scratch, sharding, text, token_count, toxicity
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -643,6 +643,64 @@ def test_mixed_keeps_every_row(spark):
     assert Counter(r.source for r in mixing.mixed(docs, given_, block_bytes=1000).collect())["hot"] < 30
 
 
+@pytest.fixture
+def many_files(spark):
+    """Tables of a dozen files and more, of which a scan reads the largest first."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12", "spark.sql.files.maxRecordsPerFile": "30"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("form", ["saved", "narrowed", "plan"])
+def test_shards_follow_the_mixture(spark, tmp_path, monkeypatch, many_files, form):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(sharding, "NUMBERED", 20)
+    r = random.Random(4)
+    rows = [(i, f"{i} {'x' * r.randint(1, 300)}", "hot" if i % 3 else f"s{i % 7}", "x", "x") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, part string, _metadata string")
+    mixed = p.mixture(spark, docs, "")
+    if form != "plan":
+        mixed.write.parquet(str(tmp_path / "mixed"))
+        mixed = spark.read.parquet(str(tmp_path / "mixed"))
+        assert len(mixed.inputFiles()) > 12 and [x.doc_id for x in mixed.collect()] != sorted(range(900))
+    if form == "narrowed":
+        mixed = mixed.where("doc_id >= 0").select("text", "doc_id")
+    order = [i for _, i in sorted((x.slot, x.doc_id) for x in mixing.mixture(docs, most=1.0).collect())]
+    got = defaultdict(dict)
+    for x in p.shards(spark, mixed, "").collect():
+        got[x["shard"]][x.slot] = x.doc_id
+    assert len(got) == 16 and sum(map(len, got.values())) == 900
+    for shard in got.values():
+        assert [shard[k] for k in range(len(shard))] == [i for i in order if i in set(shard.values())]
+
+
+def test_run_numbers_shards_in_the_order_of_its_mixture(spark, small, monkeypatch, many_files):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 1000)
+    want = {tuple(x) for x in p.run(spark, small).collect()}
+    monkeypatch.setattr(p, "STAGES", [s for s in p.STAGES if s[0] != "mixing"])
+    other = {tuple(x) for x in p.run(spark, small).collect()}
+    assert {x[:4] for x in want} == {x[:4] for x in other} and want != other
+
+
+def test_places_follow_the_numbers_of_files(spark, tmp_path):
+    names = ["part-00002-a-c000", "part-00002-a-c001", "part-00002-a-c1000", "part-00010-a-c000", "part-99999-a-c000", "part-100000-a-c000"]
+    (tmp_path / "t").mkdir()
+    for k, name in enumerate(names):
+        spark.range(3 * k, 3 * k + 3, 1, 1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / "t" / f"{name}.parquet")
+    df = spark.read.parquet(str(tmp_path / "t"))
+    part, at = scratch.place(df)
+    assert [x.id for x in df.select("id", part.alias("part"), at.alias("at")).orderBy("part", "at").collect()] == list(range(18))
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as p
 
